@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import chat, quality, shards
 
 QUERIES = {
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op4_sharding": shards.op4_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": shards.OP4_SQL,
+}
