@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, quality, shards
+from . import chat, quality, shards, suffix
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op4_sharding": shards.op4_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
