@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, quality, shards, suffix
+from . import chat, neardup, quality, shards, suffix
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_sharding": shards.op4_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_neardup": neardup.OP3_SQL,
     "op4_sharding": shards.OP4_SQL,
 }
