@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, quality, shards, suffix
+from . import chat, neardup, quality, shards, suffix, toxicity
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_sharding": shards.op4_sharding,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
 
