@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, quality, shards, suffix, toxicity
+from . import chat, decontam, neardup, packing, quality, shards, suffix, toxicity
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_sharding": shards.op4_sharding,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
