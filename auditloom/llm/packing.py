@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 
 from .common import WorkDir, column, table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed values of the vocabulary: how texts are cut before merging, and the free id that ends a document.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_DOCUMENT = 50256

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, neardup, packing, quality, shards, suffix, toxicity
+from . import chat, decontam, neardup, packing, quality, shards, suffix, tokencounts, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_sharding": shards.op4_sharding,
+    "op5_token_counts": tokencounts.op5_token_counts,
+    "op6_url_filters": urls.op6_url_filters,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -18,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_neardup": neardup.OP3_SQL,
     "op4_sharding": shards.OP4_SQL,
+    "op6_url_filters": urls.OP6_SQL,
 }
