@@ -21,4 +21,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_neardup": neardup.OP3_SQL,
     "op4_sharding": shards.OP4_SQL,
     "op6_url_filters": urls.OP6_SQL,
+    "op10_suffix_dedup": suffix.OP10_SQL,
 }

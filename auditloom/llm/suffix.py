@@ -453,3 +453,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages leave the texts; n_chars follows. Documents stay, even those left empty."""
     return dedup_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+OP10_SQL = """
+WITH base AS (
+  SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), windows AS (
+  SELECT rid, p, md5(substr(h, 2 * p + 1, 400)) AS w FROM (SELECT rid, h, unnest(range(0, greatest(n - 199, 0))) AS p FROM base)
+), twice AS (
+  SELECT rid, p FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1
+), numbered AS (
+  SELECT rid, p, sum(CASE WHEN p - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS g
+  FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM twice)
+), spans AS (
+  SELECT rid, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY rid, g
+), pieces AS (
+  SELECT rid, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS since FROM spans
+), kept AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM pieces JOIN base USING (rid) GROUP BY rid
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM base LEFT JOIN kept USING (rid)
+"""
