@@ -27,14 +27,15 @@ from .common import column, table
 #: Control strings of common chat templates, and the opening of this one's marks.
 CONTROL = ("<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
 _CONTROL = re.compile("|".join(map(re.escape, (*CONTROL, "\\"))))
+_IN_ROLE = re.compile(_CONTROL.pattern + r"|\|")
 _TURN = re.compile(r"<\|turn:((?:[^\\|]|\\.)*)\|>\n(.*?)<\|end\|>\n", re.S)
 _PIECE = re.compile(r"\w+|[^\w\s]")
 
 WINDOWS = "conv_id long, window long, n_repeated int, n_turns int, n_tokens long, over_budget boolean, loss array<struct<start:int,end:int>>, text string"
 
 
-def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+def escape(text: str, what: re.Pattern = _CONTROL) -> str:
+    return what.sub(lambda m: f"\\{m[0]}" if len(m[0]) == 1 else f"{m[0][0]}\\{m[0][1:]}", text)
 
 
 def unescape(text: str) -> str:
@@ -48,7 +49,7 @@ def count_pieces(text: str) -> int:
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """The formatted turn, and where its text starts and ends in it."""
-    head, body = f"<|turn:{escape(role).replace('|', chr(92) + '|')}|>\n", escape(text)
+    head, body = f"<|turn:{escape(role, _IN_ROLE)}|>\n", escape(text)
     return f"{head}{body}<|end|>\n", len(head), len(head) + len(body)
 
 

@@ -128,9 +128,9 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, n_probes: int = 64, group_sha
     """The input's columns with size, shard and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     work = WorkDir(spark, "shards")
-    names = [c for c in docs.columns if c not in ("size", "shard", "slot", "_key", "_doc", "_part")]
-    named = docs.select(*names, text_key().alias("_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_doc"), text_size().alias("size"))
-    rows = work.cut(named.select(F.col("_key").alias("key"), F.col("_doc").alias("doc_id"), "size"), "keys")
+    names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    named = docs.select(F.struct(*names).alias("row"), text_key().alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), text_size().alias("size"))
+    rows = work.cut(named.select("key", "doc_id", "size"), "keys")
     splitters = find_splitters(rows, n_shards, n_probes, group_share)
 
     where = shard_of(splitters).alias("shard")
@@ -146,11 +146,9 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, n_probes: int = 64, group_sha
         before[shard] = before.get(shard, 0) + n
     at = spark.createDataFrame(offsets, "shard int, interval int, way int, _part int, _offset long")
 
-    keyed = named.withColumnsRenamed({"doc_id": "_id", "_key": "key", "_doc": "doc_id"}).withColumns({"shard": where, "interval": interval})
-    out = dealt(keyed).join(F.broadcast(at), ["shard", "interval", "way"])
+    out = dealt(named.withColumns({"shard": where, "interval": interval})).join(F.broadcast(at), ["shard", "interval", "way"])
     rank = F.row_number().over(W.partitionBy("_part").orderBy("key", "doc_id"))
-    out = out.withColumn("slot", F.col("_offset") + rank - 1)
-    return out.select(*(F.col("_id").alias("doc_id") if c == "doc_id" else c for c in names), "size", "shard", F.col("slot").cast("long").alias("slot"))
+    return out.select(*(F.col("row")[c].alias(c) for c in names), "size", "shard", (F.col("_offset") + rank - 1).cast("long").alias("slot"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
