@@ -1,7 +1,8 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Sets. A text's words are lower-cased (A-Z) and hashed; the set holds the 64-bit hashes of its distinct 5-word shingles
-   (with fewer words: of the whole sequence). A signature of BANDS * ROWS minima, 16 bits each, is kept for each set.
+   (with fewer words: of the whole sequence). A signature is kept for each set: BANDS * ROWS minima of 16 bits, and EXTRA
+   of 8 bits that let the sequential test tell 0.75 from 0.68.
    Documents with equal sets form a class; only one document of a class goes on.
 2. Candidates. Classes that share a band lie in one bucket. Each is paired with the least of its bucket (partial minima,
    so no bucket is gathered anywhere), which is linear in the bucket's size.
@@ -11,8 +12,10 @@
 4. Exact verification. Survivors are confirmed on their full sets: 100 * |A and B| >= 75 * |A or B|.
 5. Rest. Buckets whose members are not one component by now are finished exactly: every member outside the component of
    the bucket's least is compared with all members of other components, in blocks of at most BLOCK by BLOCK signatures,
-   by the same two verifications. Members of the least's component are not compared with one another again, so a group of
-   copies costs no more than its size. No partner and no bucket is capped.
+   by the same two verifications. For ROUNDS rounds (one is enough in practice) only the partner whose signature agrees most is verified, which joins
+   nearly all members of a group to it; the last round verifies every pair of different components that is left.
+   Members of the least's component are not compared with one another again, so a group of copies costs no more than its
+   size. No partner and no bucket is capped.
 6. Components by alternating large and small stars on tables of links.
 
 A pair at the threshold shares no band with probability (1 - threshold**ROWS)**BANDS, about 5e-8, and is pruned with at
@@ -39,12 +42,15 @@ WORDS = 5
 THRESHOLD = 75
 BANDS, ROWS = 44, 4
 BATCH = 22
-MISS = 1e-9
+#: Further minima, 8 bits each, that only the sequential test reads.
+EXTRA, EXTRA_BATCH = 528, 66
+MISS = 1e-6
+ROUNDS = 1
 BLOCK = 512
 
 _rng = np.random.default_rng(7)
-_XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 2**32, BANDS * ROWS + EXTRA, dtype=np.uint32)
+_MUL = _rng.integers(0, 2**31, BANDS * ROWS + EXTRA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = _rng.integers(0, 2**63, (BANDS, 1), dtype=np.uint64)
 
 
@@ -68,14 +74,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return grams, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int64)
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Minima of each non-empty set under BANDS * ROWS hash functions; only their low 16 mixed bits are kept."""
-    full = np.flatnonzero(np.diff(at))
-    low = (sets >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((len(at) - 1, BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
-        out[full, k] = np.minimum.reduceat((low ^ _XOR[k]) * _MUL[k], at[full])
-    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+class Signatures:
+    """BANDS * ROWS minima of 16 bits and EXTRA of 8 bits for each set, as rows of two matrices."""
+
+    width = 2 * BANDS * ROWS + EXTRA
+
+    def __init__(self, wide: np.ndarray, narrow: np.ndarray):
+        self.wide, self.narrow = wide, narrow
+
+    @classmethod
+    def of(cls, sets: np.ndarray, at: np.ndarray) -> Signatures:
+        """Minima of each non-empty set under as many hash functions; only mixed bits of them are kept."""
+        full = np.flatnonzero(np.diff(at))
+        low = (sets >> np.uint64(32)).astype(np.uint32)
+        out = np.zeros((len(at) - 1, BANDS * ROWS + EXTRA), np.uint32)
+        for k in range(out.shape[1]):
+            out[full, k] = np.minimum.reduceat((low ^ _XOR[k]) * _MUL[k], at[full])
+        out *= np.uint32(0x9E3779B1)
+        return cls((out[:, : BANDS * ROWS] >> np.uint32(16)).astype(np.uint16), (out[:, BANDS * ROWS :] >> np.uint32(24)).astype(np.uint8))
+
+    @classmethod
+    def read(cls, raw: list[bytes]) -> Signatures:
+        grid = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), cls.width)
+        return cls(np.ascontiguousarray(grid[:, : 2 * BANDS * ROWS]).view(np.uint16), grid[:, 2 * BANDS * ROWS :])
+
+    def rows(self) -> list[bytes]:
+        grid = np.concatenate([self.wide.view(np.uint8), self.narrow], axis=1)
+        return [x.tobytes() for x in grid]
+
+    def take(self, at) -> Signatures:
+        return Signatures(self.wide[at], self.narrow[at])
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -87,11 +115,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return K.mix(packed ^ _BAND.T)
 
 
-def prune_below(threshold: float = THRESHOLD / 100, miss: float = MISS, total: int = BANDS * ROWS, batch: int = BATCH) -> list[tuple[int, int]]:
+def prune_below(threshold: float = THRESHOLD / 100, miss: float = MISS) -> list[tuple[int, int]]:
     """(n, least m) after each batch: with fewer than m of n minima equal, the posterior that the similarity reaches the
     threshold is below `miss`. P(Beta(m + 1, n - m + 1) >= t) = P(Binomial(n + 1, t) <= m)."""
-    out = []
-    for n in range(batch, total + 1, batch):
+    out, wide = [], BANDS * ROWS
+    for n in [*range(BATCH, wide + 1, BATCH), *range(wide + EXTRA_BATCH, wide + EXTRA + 1, EXTRA_BATCH)]:
         tail, m = 0.0, 0
         while m <= n:
             tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -102,20 +130,18 @@ def prune_below(threshold: float = THRESHOLD / 100, miss: float = MISS, total: i
     return out
 
 
-def similar_enough(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """Which pairs of signatures (row by row) survive every batch."""
-    alive, equal, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+def similar_enough(a: Signatures, b: Signatures, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of signatures (row by row; one row of `a` goes with all) survive every batch, and their equal minima."""
+    one, wide, done = len(a.wide) == 1, BANDS * ROWS, 0
+    alive, equal = np.arange(len(b.wide)), np.zeros(len(b.wide), np.int64)
     for n, least in steps:
-        equal[alive] += (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
+        x, y, lo, hi = (a.wide, b.wide, done, n) if n <= wide else (a.narrow, b.narrow, done - wide, n - wide)
+        equal[alive] += ((x[:, lo:hi] if one else x[alive, lo:hi]) == y[alive, lo:hi]).sum(axis=1)
         alive = alive[equal[alive] >= least]
         done = n
         if not len(alive):
             break
-    return alive
-
-
-def _sigs(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), BANDS * ROWS)
+    return alive, equal[alive]
 
 
 def doc_sets(docs: DataFrame) -> DataFrame:
@@ -126,13 +152,11 @@ def doc_sets(docs: DataFrame) -> DataFrame:
             data, offsets = text_bytes(column(batch, "text"))
             for i, j, part, at in slices(data, offsets):
                 sets, where = shingle_sets(part, at)
-                n, sig = np.diff(where), signatures(sets, where)
+                n, sig = np.diff(where), Signatures.of(sets, where)
                 mixed = [np.concatenate([[np.uint64(0)], np.cumsum(K.mix(sets ^ np.uint64(salt)))]) for salt in (0x5BF0_3635, 0x27D4_EB2F_1656_67C5)]
                 hashes = [(m[where[1:]] - m[where[:-1]]).view(np.int64) for m in mixed]
-                raw = sig.tobytes()
-                width = 2 * BANDS * ROWS
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").slice(i, j - i), pa.array(n), pa.array(hashes[0]), pa.array(hashes[1]), pa.array([raw[k * width : (k + 1) * width] for k in range(j - i)], pa.binary())],
+                    [column(batch, "doc_id").slice(i, j - i), pa.array(n), pa.array(hashes[0]), pa.array(hashes[1]), pa.array(sig.rows(), pa.binary())],
                     ["doc_id", "n_shingles", "h1", "h2", "sig"],
                 )
 
@@ -145,7 +169,7 @@ def _bands(classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = column(batch, "id").to_numpy(zero_copy_only=False)
-            keys = band_keys(_sigs(column(batch, "sig"))) if len(ids) else np.zeros((0, BANDS), np.uint64)
+            keys = band_keys(Signatures.read(column(batch, "sig").to_pylist()).wide) if len(ids) else np.zeros((0, BANDS), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["bucket", "id"])
 
     return classes.select("id", "sig").mapInArrow(run, "bucket long, id long")
@@ -158,7 +182,7 @@ def _survivors(pairs: DataFrame, classes: DataFrame, steps: list[tuple[int, int]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keep = similar_enough(_sigs(column(batch, "sa")), _sigs(column(batch, "sb")), steps)
+            keep, _ = similar_enough(*(Signatures.read(column(batch, c).to_pylist()) for c in ("sa", "sb")), steps)
             yield batch.select(["a", "b"]).take(pa.array(keep))
 
     sig = classes.select("id", "sig")
@@ -222,26 +246,26 @@ def components(links: DataFrame, work: WorkDir) -> DataFrame:
     """(id, root) for every id that has a link, root being the least id of its component. Alternating stars: each round
     leaves a table, and large neighbourhoods are only ever reduced by partial minima and joined back."""
     edges = work.cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = work.cut(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = work.cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        if _same(edges, small):
-            return small.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        edges = small
+        edges = work.cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        was, state = state, _digest(edges)
+        if state == was:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(of(x)) == tuple(of(y))
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that pass the sequential test. members: bucket, id, least."""
+def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, steps: list[tuple[int, int]], block: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket that pass the sequential test; with `best`, for each member
+    outside its bucket's first component only the partner whose signature agrees most. members: bucket, id, least."""
     root = roots.select("id", "root")
     of = members.join(root, "id", "left").select("bucket", "id", "least", F.coalesce("root", "id").alias("root"))
     head = root.select(F.col("id").alias("least"), F.col("root").alias("head"))
@@ -262,14 +286,19 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, steps: list[
 
     def solve(rows: list[dict]):
         rows = list({x["id"]: x for x in rows}.values())
-        ids, root = np.array([x["id"] for x in rows]), np.array([x["root"] for x in rows])
-        main = np.array([x["main"] for x in rows])
-        sig = np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(len(rows), -1)
+        ids, root, main = (np.array([x[k] for x in rows]) for k in ("id", "root", "main"))
+        sig = Signatures.read([x["sig"] for x in rows])
+        keys = band_keys(sig.wide)
+        bucket = np.int64(rows[0]["bucket"]).view(np.uint64)
         for i in np.flatnonzero(~main):
-            js = np.flatnonzero((root != root[i]) & (main | (np.arange(len(rows)) > i)))
+            js = np.flatnonzero((root != root[i]) & (best | main | (np.arange(len(rows)) > i)))
+            # a pair belongs to the first bucket that it shares; both its members are in there, one of them outside the main component
+            js = js[keys[i][(keys[js] == keys[i]).argmax(axis=1)] == bucket]
             if len(js):
-                keep = js[similar_enough(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], steps)]
-                for j in keep:
+                keep, equal = similar_enough(sig.take([i]), sig.take(js), steps)
+                if best and len(keep) > 1:
+                    keep = keep[[equal.argmax()]]
+                for j in js[keep]:
                     yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches):
@@ -312,9 +341,17 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, miss: float = MIS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     links = work.cut(_confirmed(texts, near, percent, work), "links")
     roots = work.cut(components(links, work), "roots")
-    more = work.cut(_rest(members, named, roots, steps, block).distinct(), "more")
-    if more.take(1):
-        links = links.unionByName(work.cut(_confirmed(texts, more, percent, work), "links"))
+    tested = near
+    for left in range(ROUNDS, -1, -1):  # rounds of best partners, then one of all pairs that no round has tested
+        more = _rest(members, named, roots, steps, block, best=left > 0).distinct()
+        more = work.cut(more.join(tested, ["a", "b"], "left_anti"), "more")
+        if not more.take(1):
+            continue
+        found = work.cut(_confirmed(texts, more, percent, work), "links")
+        tested = tested.unionByName(more)
+        if found.take(1):
+            links = links.unionByName(found)
+            roots = work.cut(components(links, work), "roots") if left else roots
     final = work.cut(components(links.unionByName(same), work), "final").select(F.col("id").alias("doc_id"), "root")
     out = sets.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))
