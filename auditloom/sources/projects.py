@@ -9,9 +9,9 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..schema import FILES
 
 #: Folders that are never scanned, and the largest file that is read.
 ALWAYS_IGNORED = ["node_modules", ".git", "dist", "build", ".next", "__pycache__", ".venv", "venv", ".cache", "coverage", ".nyc_output", ".turbo"]
@@ -25,16 +25,48 @@ def _lines(path: str) -> list[str]:
         return f.read().splitlines()
 
 
+def ignores(lines: list[str]):
+    """path -> whether an ignore file's lines ignore it; the last pattern that fits decides."""
+    rules = []
+    for line in lines:
+        line = line.strip()
+        if line and not line.startswith("#"):
+            keep = line.startswith("!")
+            rules.append((re.compile(P.glob_regex(line[1:] if keep else line), re.S), not keep))
+
+    def test(path: str) -> bool:
+        out = False
+        for pattern, verdict in rules:
+            if pattern.match(path):
+                out = verdict
+        return out
+
+    return test
+
+
 def scan_project(spark: SparkSession, root: str, project_id: str | None = None, ignore_file: str = ".gitignore", extra_ignore: str = ".auditignore") -> DataFrame:
-    """Files of one tree: relative path, size and content (null where it is too large). Spark's binary source lists and
-    reads; ignore files become expressions on the path, so ignored content is never read."""
+    """Files of one tree: relative path, size and content (null where it is too large or cannot be read). One tree lies on
+    the driver's machine and is walked there, as Spark's file sources pass over names that begin with a dot or underscore;
+    links are not followed, and ignored folders are not entered. A corpus of trees is a table with the same columns."""
     root = os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(f"file://{root}")
-    path = F.substring(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/"), len(root) + 2, 2**31 - 1)
-    named = raw.select(F.lit(project_id or os.path.basename(root)).alias("project_id"), path.alias("path"), F.col("length").alias("size"), "content")
-    rules = [*ALWAYS_IGNORED, *_lines(f"{root}/{ignore_file}"), *_lines(f"{root}/{extra_ignore}")]
-    kept = named.where(~P.ignored(F.col("path"), rules))
-    return kept.select("project_id", "path", "size", F.when(F.col("size") <= MAX_READ, F.decode("content", "UTF-8")).alias("content"))
+    ignored = ignores([*ALWAYS_IGNORED, *_lines(f"{root}/{ignore_file}"), *_lines(f"{root}/{extra_ignore}")])
+    rows, name = [], project_id or os.path.basename(root)
+    for top, dirs, names in os.walk(root):
+        at = lambda x: os.path.relpath(os.path.join(top, x), root).replace(os.sep, "/")  # noqa: B023, E731
+        dirs[:] = sorted(d for d in dirs if not os.path.islink(os.path.join(top, d)) and not ignored(at(d) + "/x"))
+        for n in sorted(names):
+            full = os.path.join(top, n)
+            if os.path.islink(full) or ignored(at(n)):
+                continue
+            try:
+                size, content = os.path.getsize(full), None
+                if size <= MAX_READ:
+                    with open(full, encoding="utf-8", errors="replace", newline="") as f:
+                        content = f.read()
+            except OSError:
+                continue
+            rows.append((name, at(n), size, content))
+    return spark.createDataFrame(rows, FILES)
 
 
 def scan_folders(root: str, spark: SparkSession, project_id: str | None = None) -> DataFrame:
