@@ -87,31 +87,31 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 1500.0, rounds:
         return constant
     size = 1 << BITS
     flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     p = alpha + np.bincount(flat[toxic[owner]], minlength=size)
     q = alpha + np.bincount(flat[~toxic[owner]], minlength=size)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    value = ratio[flat]
+    value = ratio.astype(np.float32)[flat]
     # each class weighs as much as the other, so that a rare class is not drowned
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     scale = np.sqrt(np.bincount(owner, weights=value**2, minlength=len(rows)).mean())
-    value = value / scale
-    w, bias, y = np.zeros(size), 0.0, toxic.astype(float)
+    value /= np.float32(scale)
+    w, bias, y = np.zeros(size, np.float32), 0.0, toxic.astype(float)
     v, vb, m, mb = np.zeros(size), 0.0, np.zeros(size), 0.0
     for t in range(1, rounds + 1):  # Adam over all rows
         z = np.bincount(owner, weights=value * w[flat], minlength=len(rows)) + bias
-        err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        err = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
         g = np.bincount(flat, weights=value * err[owner], minlength=size) + l2 * w / len(rows) / 100
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.3 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+        w -= (0.3 * (m / c1) / (np.sqrt(v / c2) + 1e-8)).astype(np.float32)
         bias -= 0.3 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     return Model((w * ratio / scale).astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2500) -> Model:
     """Learn from at most `max_docs` labelled documents that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
