@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased (A-Z and Latin-1). Every n-gram of every test item is a seed; one pass counts, over
-all documents, in how many each seed occurs, and each item keeps its rarest seeds (a share of its own, so an item that has
-leaked into a third of the corpus keeps as many as any other). A second pass joins documents to items on these seeds and
+Words are runs of letters and digits, lower-cased (A-Z and Latin-1). Every n-gram of every test item is a seed, however common
+in the documents: an edited copy may hold no other. One pass joins documents to items on the seeds and
 aligns each item's words with the document's words around its seeds: match 2, other word -1, gap -1. The score is the best
-local alignment over that of the item with itself; at `threshold` or more the document holds a copy, edited or not.
+local alignment over that of the item with itself; at `threshold` or more the document holds a copy, edited or not. A copy
+without n consecutive words of its item is not seen.
 
 Items are broadcast in blocks of at most BLOCK_BYTES of text, whatever the size of the benchmark; documents are only ever
 read, never shuffled, and every seed hit is aligned.
@@ -27,7 +27,6 @@ from . import kernels as K
 from .common import column, slices, table, text_bytes
 
 N = 3
-RARE_SHARE, LEAST_SEEDS = 0.6, 16
 THRESHOLD = 0.45
 BLOCK_BYTES = 8_000_000
 MATCH, OTHER, GAP = 2, 1, 1
@@ -59,11 +58,6 @@ class Items:
     at: np.ndarray
     table: np.ndarray  # of 2**k flags, true where some seed's low bits fall
 
-    def keep(self, of: np.ndarray) -> Items:
-        """Only the postings marked in `of`."""
-        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.posting))[of]
-        return _indexed(self.ids, self.words, self.first, self.sizes, self.seeds[seed], self.item[of], self.at[of])
-
     def lookup(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of grams that are seeds, and which."""
         maybe = np.flatnonzero(self.table[grams & np.uint64(len(self.table) - 1)])
@@ -202,44 +196,18 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def rare_items(docs: DataFrame, block: DataFrame, n: int = N, rare_share: float = RARE_SHARE) -> Items:
-    """A block of items with the seeds that are rare in the documents."""
-    items = build_items(sorted(map(tuple, block.collect()), key=str), n)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches):
-        own = shared.value
-        df = np.zeros(len(own.seeds), np.int64)
-        for batch in batches:
-            data, offsets = text_bytes(column(batch, "text"))
-            for _, _, part, at in slices(data, offsets):
-                words, row = _words(part, at)
-                where, seed = _hits(own, words, row)
-                df += np.bincount(np.unique(row[where] * np.int64(len(df)) + seed) % max(1, len(df)), minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["seed", "df"])
-
-    got = docs.select("text").mapInArrow(count, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).collect()  # at most one row a seed
-    df = np.zeros(len(items.seeds), np.int64)
-    for r in got:
-        df[r["seed"]] = r["df"]
-    of_posting = np.repeat(df, np.diff(items.posting))
-    order = np.lexsort((items.at, of_posting, items.item))
-    item = items.item[order]
-    rank = np.arange(len(order)) - np.searchsorted(item, item, "left")
-    total = np.bincount(items.item, minlength=len(items.ids))[item]
-    keep = np.zeros(len(order), bool)
-    keep[order] = rank < np.maximum(np.ceil(rare_share * total), LEAST_SEEDS)
-    return items.keep(keep)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare_share: float = RARE_SHARE, threshold: float = THRESHOLD) -> DataFrame:
+def block_items(block: DataFrame, n: int = N) -> Items:
+    """A block of items with all their seeds."""
+    return build_items(sorted(map(tuple, block.collect()), key=str), n)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, and the words first_word..end_word of the document that align best."""
     spark = docs.sparkSession
     out = None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, first_word long, end_word long"
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(rare_items(docs, block, n, rare_share))
+        shared = spark.sparkContext.broadcast(block_items(block, n))
 
         def run(batches, shared=shared):
             items = shared.value
@@ -258,11 +226,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare_share: fl
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare_share: float = RARE_SHARE, threshold: float = THRESHOLD) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text holds no copy of a test item, untouched."""
     out = docs
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(rare_items(docs, block, n, rare_share))
+        shared = docs.sparkSession.sparkContext.broadcast(block_items(block, n))
 
         def run(batches, shared=shared):
             for batch in batches:

@@ -224,6 +224,32 @@ def test_leaks(spark, docs, none):
     assert decontam.find_leaks(frame, bench.limit(0)).count() == 0 and decontam.without_leaks(frame, bench.limit(0)).count() == 7
 
 
+@pytest.mark.parametrize("beside", [False, True])
+def test_leaks_of_edited_copies_match_all_pairs(spark, beside):
+    r = random.Random(9)
+    items = [(k, " ".join(f"{r.choice(VOCAB)}{r.randrange(50)}" for _ in range(38))) for k in range(12)]
+    rows = []
+    for k, text in items:
+        fourth, some = text.split(), text.split()
+        for i in range(3, 38, 4):
+            fourth[i] = f"changed{i}"
+        for i in r.sample(range(38), 11):
+            some[i] = f"other{i}"
+        rows += [(100 + k, " ".join(fourth)), (200 + k, f"{prose(30, r)} {' '.join(some)} {prose(30, r)}"), (300 + k, prose(80, r))]
+        rows += [(400 + 20 * j + k, text) for j in range(5)] if beside else []
+    words_in = lambda t: decontam._words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    want = {}
+    for (d, text), (k, item) in itertools.product(rows, items):
+        a, b = decontam._padded([words_in(item)]), decontam._padded([words_in(text)])
+        score = decontam.align(*a, *b)[0][0] / (decontam.MATCH * 38)
+        if score >= decontam.THRESHOLD:
+            want[d, k] = score
+    assert {(100 + k, k) for k, _ in items} | {(200 + k, k) for k, _ in items} <= set(want)
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontam.find_leaks(frame, bench).collect()} == pytest.approx(want)
+    assert sorted(x["doc_id"] for x in decontam.without_leaks(frame, bench).collect()) == sorted(d for d, _ in rows if d not in {d for d, _ in want})
+
+
 # 1 packing
 
 
