@@ -6,7 +6,8 @@ each splitter's target lies, until that gap holds one key. Then rows are exchang
 
 Law `bytes`: with equal texts as groups, a group of at most GROUP_SHARE of a shard stays together and goes where its first
 byte falls; the rows of larger groups are cut by doc_id. So shard sizes differ from the mean by at most that share and one
-row. A task never holds a hot key: rows are dealt by key interval, and intervals that hold too many rows by doc_id too.
+row. A task never holds a hot key: rows are dealt by key interval, and intervals that hold too many rows are cut into ranges
+of (key, doc_id), so that slots follow (key, doc_id) at every size.
 
 Defined results: null text has size 1 and crc32 0; null doc_id sorts first; rows equal in key and doc_id stay together; an
 empty table gives no rows; other columns pass through untouched, but for those named like an output column, which go.
@@ -14,6 +15,7 @@ empty table gives no rows; other columns pass through untouched, but for those n
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +31,8 @@ KEY_BITS = 60
 LOWEST = -(2**63)
 #: Groups of equal texts up to this share of a shard are never cut.
 GROUP_SHARE = 0.05
-#: Key intervals for the exchange, and the rows from which an interval is dealt by doc_id too. The driver holds a row for
-#: each interval and for each PART_ROWS rows.
+#: Key intervals for the exchange, and the rows from which an interval is cut into ranges of (key, doc_id). The driver holds
+#: a row for each interval and for each PART_ROWS rows.
 INTERVALS = 1024
 PART_ROWS = 200_000
 
@@ -86,8 +88,9 @@ def _crossings(rows: DataFrame, by: str, targets: list[tuple[int, int]], n_probe
         for gap, size, least, most in _histogram(rows, by, edges):
             gaps.append((below, size, least, most))
             below += size
+        ends = [g[0] + g[1] for g in gaps]
         for name in list(open_):
-            before, size, least, most = next(g for g in gaps if g[0] + g[1] >= goal[name])
+            before, size, least, most = gaps[bisect_left(ends, goal[name])]
             if least == most:
                 done[name] = (least, before, size)
                 del open_[name]
@@ -124,6 +127,31 @@ def shard_of(splitters: list[Splitter]) -> Column:
     return out
 
 
+def find_cuts(rows: DataFrame, counts: dict[tuple[int, int], int], part_rows: int, n_probes: int = 64) -> dict[tuple[int, int], list[Splitter]]:
+    """For each (shard, interval), of which counts has the rows: where to cut it, in order, so that no part has more than
+    twice part_rows rows, but for rows equal in key and doc_id. Both names grow with (key, doc_id), so ranks are those of the whole table."""
+    goals, before = {}, 0
+    for cell, n in sorted(counts.items()):
+        goals |= {(*cell, k): before + k * part_rows for k in range(1, -(-n // part_rows))}
+        before += n
+    if not goals:
+        return {}
+    ones = rows.withColumn("size", F.lit(1).cast("long"))
+    found = _crossings(ones, "key", list(goals.items()), n_probes)
+    out = {name: Splitter(key, None) for name, (key, _, _) in found.items()}
+    large: dict[int, list[tuple[tuple, int]]] = {}
+    for name, (key, below, n) in found.items():
+        if n > part_rows:
+            large.setdefault(key, []).append((name, goals[name] - below))
+    for key, wanted in large.items():  # at most one key for each part_rows rows
+        for name, (doc, _, _) in _crossings(ones.where(F.col("key") == key), "doc_id", wanted, n_probes).items():
+            out[name] = Splitter(key, doc + 1)
+    cuts: dict[tuple[int, int], list[Splitter]] = {}
+    for name in goals:
+        cuts.setdefault(name[:2], []).append(out[name])
+    return cuts
+
+
 def shard_rows(docs: DataFrame, n_shards: int = 8, n_probes: int = 64, group_share: float = GROUP_SHARE, part_rows: int = PART_ROWS) -> DataFrame:
     """The input's columns with size, shard and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
@@ -136,10 +164,12 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, n_probes: int = 64, group_sha
     where = shard_of(splitters).alias("shard")
     interval = F.shiftright(F.col("key"), KEY_BITS - INTERVALS.bit_length() + 1).cast("int").alias("interval")
     counts = rows.groupBy(where, interval).count().collect()  # at most n_shards * INTERVALS, and in sum one more than INTERVALS for each splitter
-    ways = {(r["shard"], r["interval"]): -(-r["count"] // part_rows) for r in counts}
-    split = spark.createDataFrame([(*k, n) for k, n in ways.items()], "shard int, interval int, ways int")
-    dealt = lambda df: df.join(F.broadcast(split), ["shard", "interval"]).withColumn("way", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int"))  # noqa: E731  (bounded: one row for each interval)
-    parts = sorted(map(tuple, dealt(rows.select(where, interval, "doc_id")).groupBy("shard", "interval", "way").count().collect()))
+    counts = {(r["shard"], r["interval"]): r["count"] for r in counts}
+    cuts = find_cuts(rows, counts, part_rows, n_probes)
+    split = spark.createDataFrame([(*k, [(c.key, c.doc) for c in cuts.get(k, [])]) for k in counts], "shard int, interval int, cuts array<struct<cut: long, doc: long>>")
+    beyond = lambda c: (F.col("key") > c["cut"]) | ((F.col("key") == c["cut"]) & (F.col("doc_id") >= c["doc"]))
+    dealt = lambda df: df.join(F.broadcast(split), ["shard", "interval"]).withColumn("way", F.size(F.filter("cuts", beyond)))  # noqa: E731  (bounded: one row for each interval, one cut for each part_rows rows)
+    parts = sorted(map(tuple, dealt(rows.select(where, interval, "key", "doc_id")).groupBy("shard", "interval", "way").count().collect()))
     offsets, before = [], {}
     for part, (shard, k, way, n) in enumerate(parts):
         offsets.append((shard, k, way, part, before.get(shard, 0)))

@@ -421,6 +421,21 @@ def test_shards(spark, docs, none, part_rows):
     assert shards.shard_rows(none).count() == 0
 
 
+def test_slots_follow_key_and_doc_id_at_every_part_size(spark):
+    r = random.Random(12)
+    rows = [(i, t) for i, t in TEXTS] + [(r.randrange(10**6) - 500_000, "hot " * 20) for _ in range(200)] + [(7, "same row")] * 9 + [(900 + i, prose(r.randint(1, 60), r)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    place = lambda x: (hashlib.md5((x["text"] or "").encode()).hexdigest()[:15], -(2**63) if x["doc_id"] is None else x["doc_id"])
+    whole = None
+    for part_rows in (200_000, 3, 40):
+        got = sorted(shards.shard_rows(df, 8, n_probes=5, part_rows=part_rows).collect(), key=lambda x: (x["shard"], x["slot"]))
+        assert [place(x) for x in got] == sorted(place(x) for x in got)
+        # null and empty texts share a key
+        named = [(x["doc_id"], x["text"] or "", x["size"], x["shard"], x["slot"]) for x in got]
+        whole = whole or named
+        assert named == whole and len(named) == len(rows)
+
+
 # kernels
 
 
