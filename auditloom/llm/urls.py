@@ -5,7 +5,8 @@ instant on, `remove` takes it off; an entry stands until the next one for its pa
 [valid_from, valid_to), and every capture is judged by the intervals that hold at its fetch time: an as-of join.
 
 A pattern is a host, which covers its subdomains, or host/path, which covers that path's segments and below. The most
-specific pattern decides: more host labels, then more path segments. Everything is DataFrame operations. Captures and
+specific pattern decides: more host labels, then more path segments. URLs are tried down to as many path segments as the
+longest entry has. Everything is DataFrame operations. Captures and
 intervals meet on (pattern, period), intervals being entered in each period that they touch between the first and last
 fetch, so a pattern with a long history, or a host with a third of all captures, is spread over periods, and no capture is
 compared with entries of other times.
@@ -25,7 +26,6 @@ from pyspark.sql import Window as W
 from .common import table
 
 PERIOD_S = 30 * 86_400
-PATH_DEPTH = 2
 OUT = ("host", "blocked", "action", "pattern", "since")
 
 
@@ -39,7 +39,7 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns_of(host: Column, path: Column, depth: int = PATH_DEPTH) -> Column:
+def patterns_of(host: Column, path: Column, depth: int) -> Column:
     """(labels, segments, pattern) of every pattern that covers a URL, down to `depth` path segments."""
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("labels"), F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".").alias("host")))
@@ -64,11 +64,17 @@ def validity(entries: DataFrame) -> DataFrame:
     return spans.where("rank > 0").select("pattern", F.when(F.col("rank") == 2, "block").otherwise("allow").alias("action"), "valid_from", "valid_to")
 
 
-def judge_urls(captures: DataFrame, entries: DataFrame, depth: int = PATH_DEPTH, period_s: int = PERIOD_S) -> DataFrame:
+def list_depth(entries: DataFrame) -> int:
+    """The greatest number of path segments of any entry."""
+    parts = F.filter(F.split("pattern", "/"), lambda x: x != "")
+    return max(0, (entries.agg(F.max(F.size(parts))).first()[0] or 0) - 1)
+
+
+def judge_urls(captures: DataFrame, entries: DataFrame, period_s: int = PERIOD_S) -> DataFrame:
     """captures: url, fetched_at and more. Adds host, blocked, and the deciding entry's action, pattern and start."""
     seconds = lambda c: F.floor(F.unix_micros(c) / (period_s * 1_000_000))
     seen = captures.where("fetched_at is not null").select("url", "fetched_at").distinct().withColumn("host", url_host(F.col("url"))).where("host <> ''")
-    keys = seen.select("url", "fetched_at", F.explode(patterns_of(F.col("host"), url_path(F.col("url")), depth)).alias("p")).select("url", "fetched_at", "p.*", seconds(F.col("fetched_at")).alias("period"))
+    keys = seen.select("url", "fetched_at", F.explode(patterns_of(F.col("host"), url_path(F.col("url")), list_depth(entries))).alias("p")).select("url", "fetched_at", "p.*", seconds(F.col("fetched_at")).alias("period"))
     first, last = captures.agg(F.min("fetched_at"), F.max("fetched_at")).first()
     spans = validity(entries)
     if first is None:

@@ -341,6 +341,19 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0), listed).count() == 0
 
 
+def test_entries_of_four_segments_judge(spark):
+    t = lambda d: f"2024-01-{d:02d} 00:00:00"
+    entries = [("deep.net/a", "allow", t(1)), ("deep.net/a/b/c/d", "block", t(2)), ("deep.net/a/b/c", "allow", t(2)), ("deep.net/a/b/c/d", "remove", t(9)), ("open.net", "block", t(1)), ("open.net/x/y/z/page.html/", "allow", t(1))]
+    captures = [
+        (1, "http://deep.net/a/b/c/d", t(3), "block", "deep.net/a/b/c/d"), (2, "http://www.deep.net/a/b//c/d/e/f?q", t(3), "block", "deep.net/a/b/c/d"), (3, "http://deep.net/a/b/c/dd", t(3), "allow", "deep.net/a/b/c"), (4, "http://deep.net/a/b/c/d", t(10), "allow", "deep.net/a/b/c"),
+        (5, "http://deep.net/a/b/c/d", t(1), "allow", "deep.net/a"), (6, "http://open.net/x/y/z/page.html", t(3), "allow", "open.net/x/y/z/page.html"), (7, "http://open.net/x/y/z", t(3), "block", "open.net"), (8, "http://deep.net/b/c/d", t(3), None, None),
+    ]
+    df = spark.createDataFrame([(i, u, a) for i, u, a, *_ in captures], "page_id long, url string, at string").withColumn("fetched_at", F.col("at").cast("timestamp"))
+    listed = spark.createDataFrame(entries, "pattern string, action string, at string").withColumn("listed_at", F.col("at").cast("timestamp"))
+    got = {r["page_id"]: (r["action"], r["pattern"]) for r in urls.judge_urls(df, listed).collect()}
+    assert got == {i: (action, pattern) for i, _, _, action, pattern in captures}
+
+
 # 9 toxicity
 
 
