@@ -85,6 +85,20 @@ def top_per_project(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(W.partitionBy("project_id").orderBy(*order))).where(F.col("rn") <= n)
 
 
+def god_files(files: DataFrame) -> DataFrame:
+    return measured_files(files).withColumn("tier", god_tier(F.col("loc"))).where("tier is not null")
+
+
+def structure_overflow(files: DataFrame) -> DataFrame:
+    """project_id, id, n_cut: how many large files, cycles and dead files `structure` leaves out beyond MAX_FINDINGS."""
+    found = {"STR-011": god_files(files), "STR-012": graph.cycles(graph.import_graph(files)), "STR-013": graph.dead_files(files)}
+    out = None
+    for rule, rows in found.items():
+        n = rows.groupBy("project_id").agg(F.greatest(F.count("*") - MAX_FINDINGS[rule], F.lit(0)).alias("n_cut")).select("project_id", F.lit(rule).alias("id"), "n_cut")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def structure(files: DataFrame, meta: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
     """dirs (project_id, path, parent, is_dir) is known where folders were scanned; without it no folder is empty."""
     styles = F.array_compact(F.array(F.when(F.col("kebab") > 0, "k"), F.when(F.col("camel") > 0, "c"), F.when(F.col("snake") > 0, "s")))
@@ -107,8 +121,7 @@ def structure(files: DataFrame, meta: DataFrame, dirs: DataFrame | None = None)
         one(large & ~F.col("test_dir"), "STR-010", "medium", 10),
     ]
     out = project_rows(m, hits, 0)
-    gods = measured_files(files).withColumn("tier", god_tier(F.col("loc"))).where("tier is not null")
-    gods = top_per_project(gods, [F.desc("loc"), F.col("path")], MAX_FINDINGS["STR-011"])
+    gods = top_per_project(god_files(files), [F.desc("loc"), F.col("path")], MAX_FINDINGS["STR-011"])
     penalty = F.when(F.col("tier") == "high", 10).when(F.col("tier") == "medium", 5).otherwise(2)
     out = out.unionByName(findings(gods, [F.array(hit("STR-011", F.col("tier"), penalty, note=F.col("loc")))], 1))
     rings = graph.cycles(graph.import_graph(files)).where(F.col("n") < MAX_FINDINGS["STR-012"])

@@ -17,7 +17,8 @@ from ..sinks import render
 
 @dataclass
 class Audit:
-    """Tables of an audit. findings carry ord, instance and fingerprint; suppressed ones lie apart."""
+    """Tables of an audit. findings carry ord, instance and fingerprint; suppressed ones lie apart. overflow has how many
+    findings of capped rules were left out, by project and rule, where structure was audited."""
 
     meta: DataFrame
     findings: DataFrame
@@ -25,6 +26,7 @@ class Audit:
     stale: DataFrame | None
     scores: DataFrame
     overall: DataFrame
+    overflow: DataFrame | None = None
 
     def reports(self) -> DataFrame:
         return render.reports(self.scores, self.overall, self.findings, __version__)
@@ -86,7 +88,8 @@ def run_audit(files: DataFrame, categories=CATEGORIES, suppressions: list[dict]
         found_kept = found
     scores = A.category_scores(files.select("project_id"), found, earned, categories, refund)
     kept = A.with_fingerprints(A.with_instances(found_kept), files)
-    return Audit(meta, kept, hidden, stale, scores, A.overall_score(scores))
+    overflow = RP.structure_overflow(files) if "structure" in categories else None
+    return Audit(meta, kept, hidden, stale, scores, A.overall_score(scores), overflow)
 
 
 def run_isolated(files: DataFrame, categories=CATEGORIES, **kw) -> tuple[DataFrame, dict[str, str]]:

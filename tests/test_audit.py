@@ -121,6 +121,16 @@ def test_graph_and_dead_files(spark):
     assert {n for _, i, _, n in rows if i == "STR-012"} == {"src/b.ts > src/a.ts > src/b.ts", "src/self.ts > src/self.ts"}
 
 
+def test_capped_findings_are_counted(spark):
+    tree = {f"src/big{k:02}.ts": "let x = 1;\n" * 2000 for k in range(27)} | {f"src/self{k:02}.ts": f"import './self{k:02}';\n" for k in range(23)}
+    audit = run_audit(corpus(spark, {"many": tree | {"src/index.ts": ""}, "few": {"src/big.ts": "let x = 1;\n" * 2000}}), ("structure",))
+    shown = {(r["project_id"], r["id"]): r["count"] for r in audit.findings.where(F.col("id").isin("STR-011", "STR-012", "STR-013")).groupBy("project_id", "id").count().collect()}
+    cut = {(r["project_id"], r["id"]): r["n_cut"] for r in audit.overflow.collect()}
+    assert shown["many", "STR-011"] == 25 and cut["many", "STR-011"] == 2 and cut["few", "STR-011"] == 0
+    assert shown["many", "STR-012"] == 20 and cut["many", "STR-012"] == 3
+    assert shown["many", "STR-013"] == 20 and cut["many", "STR-013"] >= 7
+
+
 def test_every_category_scores_empty_project(spark):
     audit = run_audit(corpus(spark, {"e": {"notes.txt": ""}}))
     got = {r["category"]: r["tenths"] for r in audit.scores.collect()}
