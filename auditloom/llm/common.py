@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
@@ -20,21 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, a local one."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process (as in
+    tests) gets a folder of its own; on a cluster that is an error, as no other folder is known to be shared."""
+    sc = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if there is None:
-        there = tempfile.mkdtemp(prefix="auditloom-")
-        spark.sparkContext.setCheckpointDir(there)
-        there = spark.sparkContext.getCheckpointDir()
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="auditloom-"))
+        there = sc.getCheckpointDir()
     return there.rstrip("/")
 
 
 class WorkDir:
-    """A folder of its own below the shared one, for tables that cut lineage; it goes with `drop()` or when Python ends."""
+    """A folder of its own below the shared one, for tables that cut lineage. `free` drops tables that nothing reads any more,
+    `drop` the folder; what is left goes when Python ends."""
+
+    opened: list[WorkDir] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        WorkDir.opened.append(self)
         atexit.register(self.drop)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -42,15 +52,69 @@ class WorkDir:
         self._n += 1
         to = f"{self.path}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(to)
-        return self.spark.read.schema(df.schema).parquet(to)
+        out = self.spark.read.schema(df.schema).parquet(to)
+        out._work_table = to
+        return out
+
+    def _delete(self, at: str) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def free(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._delete(df._work_table)
 
     def drop(self) -> None:
-        try:
-            sc = self.spark.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may have ended before Python does
-            pass
+        with contextlib.suppress(Exception):  # the session may have ended before Python does
+            self._delete(self.path)
+
+    @classmethod
+    def drop_since(cls, n: int) -> None:
+        """Drop all folders but the first n that were opened: for a caller that has written what it made of them."""
+        while len(cls.opened) > n:
+            cls.opened.pop().drop()
+
+
+def row_struct(df: DataFrame, *without: str) -> Column:
+    """All columns of a table but some, as one: its fields cannot clash with columns that an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without))
+
+
+def text_id() -> Column:
+    """128 bits of the SHA-256 of `text`, null counting as empty: names a text whatever its row's doc_id."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32))
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """tid and text of each row."""
+    return docs.select(text_id().alias("tid"), F.col("text").alias("text"))
+
+
+class Seen:
+    """Which rows of a task hold a text for the first time in it, or for the first `times` times."""
+
+    def __init__(self, times: int = 1):
+        self.times, self.count = times, Counter()
+
+    def __call__(self, tids: pa.Array) -> pa.Array:
+        fresh = np.zeros(len(tids), bool)
+        for i, t in enumerate(tids.to_pylist()):
+            if self.count[t] < self.times:
+                self.count[t] += 1
+                fresh[i] = True
+        return pa.array(fresh)
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """rows with a tid: each task lets a text through once, however many copies it reads."""
+
+    def run(batches):
+        seen = Seen()
+        for batch in batches:
+            yield batch.filter(seen(column(batch, "tid")))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

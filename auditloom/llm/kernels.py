@@ -13,6 +13,8 @@ BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_LOWER = BYTE[LOWER]
+#: A permutation of the bytes: hashes of permuted bytes stand beside those of the bytes themselves.
+OTHER = np.random.default_rng(77).permutation(256).astype(np.uint8)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -1,32 +1,39 @@
 """Suffix-array dedup: bytes covered by a `size`-byte string that also starts anywhere else are removed.
 
-Only suffixes that may tie over `size` bytes are ever sorted, and they are sorted block by block:
+The suffix array is built blockwise with a difference cover, over those suffixes that may tie over `size` bytes:
 
-1. Buckets. Each window of `size` bytes has an anchor: its leftmost least hash of GRAM bytes. Anchor and the window's
+1. Candidates. Each window of `size` bytes has an anchor: its leftmost least hash of GRAM bytes. Anchor and the window's
    offset to it depend on the window's bytes alone, so equal windows meet at one anchor, aligned. Windows around an anchor
    that follow one another form a cell; a cell lies in one half of the offsets, and its key hashes the bytes that all
-   windows of that half share. Keys are counted (with partial sums); a cell whose key occurs once holds no repeat.
-2. Pre-aggregation. Cells of one key with the same bytes collapse into one with a count. Where that leaves a single cell,
-   all its windows repeat, and no byte has been moved.
-3. Suffix sort of the other buckets. Their bytes (at most `size` + half a span each) are fetched once. A block of buckets
-   is sorted at a time: positions at every STEP-th offset from the anchor form the cover sample, whose ranks over STEP,
-   2 STEP, 4 STEP, ... bytes are computed first; a suffix is then compared by the word before its first sample position and
-   the two ranks from there on, so ties of any length up to `size` cost three comparisons. As suffixes of a bucket are
-   aligned at the anchor, every pair is congruent, and one residue is a full difference cover.
-   A bucket with more than `block` cells is split first: its cells are cut in halves by offset and keyed by the longer
+   windows of that half share. Keys are counted (with partial sums); a cell whose key occurs once holds no repeat. That drops
+   no repeat, and keeps what is sorted in proportion to what repeats instead of to the corpus.
+2. Pre-aggregation. Cells of one key with the same bytes collapse into one kind with a count. A task lets a text's cells go
+   on twice at most, however many copies it reads.
+3. Blocks. The bytes of each kind (at most `size` + half a span) are fetched once. Kinds with one key lie in one block; a block
+   of about `block` kinds is sorted at a time (`BlockSort`):
+   - Positions with a remainder in COVER modulo PERIOD are the sample: a difference cover, so for any two positions there is a
+     step under PERIOD that takes both into it. Sample suffixes are ranked first, by prefix doubling up to `depth` bytes.
+   - The block's suffixes are dealt into buckets by their two leading bytes, sized by a histogram, and one bucket at a time is
+     sorted: by the 8 leading bytes and the 16 last of the `size`, and suffixes that tie there by the precomputed ranks of
+     their sample positions. So a tie of any length costs a comparison of ranks, never a scan of the text.
+   A key with more than `block` kinds is split first: its cells are cut in halves by offset and keyed by the longer
    stretch that those windows share, again and again, down to single windows. Memory is bounded by the block, not by a group.
-4. The repeated windows go back to all cells by a join on (key, bytes), then to documents by doc_id.
+4. The repeated windows go back to all cells by a join on (key, bytes), then to rows by the text's digest.
 
-Matches never cross documents. Hashes have 64 bits, and two must agree (key and bytes) for cells to count as equal.
+Matches never cross documents. Texts are named by 128 bits of their SHA-256, so rows that repeat a doc_id, or have none, never
+mix; cells count as equal where three hashes of 64 bits agree (key, and two of the bytes).
 
 Defined results: a null text counts as empty (0 bytes, nothing removed, digest of the empty string); texts under `size`
-bytes stay whole; rows with the same doc_id and text are two documents (each repeats the other) and get the same spans; a
-null doc_id is kept; an empty table gives no rows; further columns pass through `dedup_texts`.
+bytes stay whole; rows with the same text are two documents (each repeats the other) and get the same spans, whether they
+share a doc_id or not; a null doc_id is kept; a very long text is taken in stretches of 2**POS_BITS bytes that overlap; an empty
+table gives no rows; further columns, whatever their names, pass through `dedup_texts`.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +42,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import WorkDir, column, slices, table, text_bytes
+from .common import Seen, WorkDir, column, first_copies, named_texts, row_struct, slices, table, text_bytes, text_id
 
 SIZE = 200
 GRAM = 16
-STEP = 8
-#: Cells of one bucket from which it is split; also the cells that a task sorts at a time.
+#: A difference cover: every remainder modulo PERIOD is the difference of two of its members.
+PERIOD, COVER = 7, (0, 1, 3)
+#: Kinds of one key from which it is split; also the kinds that a task sorts at a time.
 BLOCK = 32_768
-NO_ID = -(2**63)
+#: Suffixes from which a bucket of a block ends, at the next pair of leading bytes.
+BUCKET = 131_072
 
 
 class Plan:
     """Fixed numbers of a window size."""
 
     def __init__(self, size: int):
-        if size < 2 * GRAM + STEP:
-            raise ValueError(f"size must be at least {2 * GRAM + STEP}")
+        if size < 2 * GRAM + PERIOD:
+            raise ValueError(f"size must be at least {2 * GRAM + PERIOD}")
         self.size, self.span = size, size - GRAM + 1
+        self.depth = (size - PERIOD + 1) // PERIOD * PERIOD  # bytes by which the sample is ranked
         self.half = (self.span + 1) // 2
 
     def halves(self) -> list[tuple[int, int]]:
@@ -76,8 +86,8 @@ POS_BITS = 22
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> dict[str, np.ndarray]:
-    """Cells of the texts: row, anchor and first and last offset (r_lo..r_hi), key and fingerprint."""
-    out = {k: [] for k in ("row", "anchor", "r_lo", "r_hi", "key", "fp")}
+    """Cells of the texts: row, anchor and first and last offset (r_lo..r_hi), key and two fingerprints."""
+    out = {k: [] for k in ("row", "anchor", "r_lo", "r_hi", "key", "fp", "fp2")}
     step = (1 << POS_BITS) - plan.size
     long = np.flatnonzero(np.diff(offsets) >= plan.size)
     if not len(long):
@@ -120,77 +130,77 @@ def _cells_of(data: np.ndarray, edges: np.ndarray, plan: Plan) -> dict[str, np.n
     r_hi, r_lo = r[first], r[last]
     lo, hi = np.where(side, plan.half, 0), np.where(side, plan.span - 1, plan.half - 1)
     key = K.span_hash(prefix, anchor - lo, anchor - hi + plan.size) + side.astype(np.uint64)
-    fp = K.mix(K.span_hash(prefix, anchor - r_hi, anchor - r_lo + plan.size) + (r_lo * 65536 + r_hi).astype(np.uint64))
-    return {"row": row, "anchor": anchor, "r_lo": r_lo, "r_hi": r_hi, "key": key.view(np.int64), "fp": fp.view(np.int64)}
+    place = (r_lo * 65536 + r_hi).astype(np.uint64)
+    fp = K.mix(K.span_hash(prefix, anchor - r_hi, anchor - r_lo + plan.size) + place)
+    other = K.prefix_hash(K.OTHER[data])
+    fp2 = K.mix(K.span_hash(other, anchor - r_hi, anchor - r_lo + plan.size) ^ place)
+    return {"row": row, "anchor": anchor, "r_lo": r_lo, "r_hi": r_hi, "key": key.view(np.int64), "fp": fp.view(np.int64), "fp2": fp2.view(np.int64)}
 
 
-def _text_tag(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits of a text's hash: with doc_id it names a text."""
-    tag = K.span_hash(K.prefix_hash(data), offsets[:-1], offsets[1:])
-    return (tag >> np.uint64(33)).astype(np.int32)
-
-
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    ids = column(batch, "doc_id")
-    return (ids.fill_null(NO_ID) if ids.null_count else ids).to_numpy(zero_copy_only=False)
+def _fresh_texts(batches, times: int):
+    """(tids, bytes, offsets) of slices of those rows that a task lets through."""
+    seen = Seen(times)
+    for batch in batches:
+        batch = batch.filter(seen(column(batch, "tid")))
+        data, offsets = text_bytes(column(batch, "text"))
+        for i, j, part, at in slices(data, offsets):
+            yield column(batch, "tid").slice(i, j - i), part, at
 
 
 def _keys(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            data, offsets = text_bytes(column(batch, "text"))
-            for _, _, part, at in slices(data, offsets):
-                got = _cells(part, at, plan)
-                yield pa.RecordBatch.from_arrays([pa.array(got["key"])], ["key"])
+        for _, part, at in _fresh_texts(batches, 2):
+            yield pa.RecordBatch.from_arrays([pa.array(_cells(part, at, plan)["key"])], ["key"])
 
-    return docs.select("text").mapInArrow(run, "key long")
+    return named_texts(docs).mapInArrow(run, "key long")
 
 
-CELL = "key long, fp long, doc_id long, tag int, anchor int, r_lo short, r_hi short"
+CELL = "key long, fp long, fp2 long, tid binary, anchor int, r_lo short, r_hi short"
 
 
 def _all_cells(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            data, offsets = text_bytes(column(batch, "text"))
-            ids = _ids(batch)
-            for i, j, part, at in slices(data, offsets):
-                got, tags = _cells(part, at, plan), _text_tag(part, at)
-                row = got["row"].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (got["key"], got["fp"], ids[i:j][row], tags[row], got["anchor"].astype(np.int32), got["r_lo"].astype(np.int16), got["r_hi"].astype(np.int16))],
-                    ["key", "fp", "doc_id", "tag", "anchor", "r_lo", "r_hi"],
-                )
+        for tids, part, at in _fresh_texts(batches, 2):
+            got = _cells(part, at, plan)
+            columns = [got["key"], got["fp"], got["fp2"], None, got["anchor"].astype(np.int32), got["r_lo"].astype(np.int16), got["r_hi"].astype(np.int16)]
+            yield pa.RecordBatch.from_arrays([tids.take(pa.array(got["row"].astype(np.int64))) if x is None else pa.array(x) for x in columns], [x.split()[0] for x in CELL.split(", ")])
+
+    return named_texts(docs).mapInArrow(run, CELL)
 
-    return docs.select("doc_id", "text").mapInArrow(run, CELL)
 
+NAMES = ("key", "fp", "fp2")
+CONTEXT = "key long, fp long, fp2 long, n long, lo short, hi short, r_lo short, r_hi short, bytes binary"
 
-CONTEXT = "key long, fp long, n long, lo short, hi short, r_lo short, r_hi short, bytes binary"
+
+def _numbers(array: pa.Array) -> np.ndarray:
+    return array.to_numpy(zero_copy_only=False)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """The bytes of one occurrence of each wanted cell. wanted: doc_id, tag, cells (array of key, fp, n, anchor, r_lo, r_hi)."""
+    """The bytes of one occurrence of each wanted cell. wanted: tid, cells (array of NAMES, n, anchor, r_lo, r_hi)."""
+    schema = pa.schema([(k, pa.int64()) for k in (*NAMES, "n")] + [(k, pa.int16()) for k in ("lo", "hi", "r_lo", "r_hi")] + [("bytes", pa.binary())])
 
     def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16()), ("r_lo", pa.int16()), ("r_hi", pa.int16()), ("bytes", pa.binary())])
         for batch in batches:
-            tags, wants = column(batch, "tag").to_pylist(), column(batch, "cells").to_pylist()
+            if not batch.num_rows:
+                continue
             data, offsets = text_bytes(column(batch, "text"))
-            rows = {k: [] for k in schema.names}
-            for i, (tag, cells) in enumerate(zip(tags, wants)):
-                text = data[offsets[i] : offsets[i + 1]]
-                if int(_text_tag(text, np.array([0, len(text)]))[0]) != tag:
-                    continue
-                raw = text.tobytes()
-                for c in cells:
-                    a, lo, hi = c["anchor"], c["r_lo"], c["r_hi"]
-                    half = plan.halves()[hi >= plan.half]
-                    for k, v in zip(rows, (c["key"], c["fp"], c["n"], *half, lo, hi, raw[a - hi : a - lo + plan.size])):
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema)
-
-    joined = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "text").join(wanted, "doc_id").select("text", "tag", "cells")
-    return joined.mapInArrow(run, CONTEXT)  # rows that repeat doc_id and text give a cell twice, with n >= 2: that changes nothing
+            wants = column(batch, "cells")
+            size = np.diff(_numbers(wants.offsets).astype(np.int64))
+            cells = wants.flatten()
+            field = {k: _numbers(cells.field(k)) for k in (*NAMES, "n", "anchor", "r_lo", "r_hi")}
+            base = np.repeat(offsets[:-1], size) + field["anchor"]
+            begin, end = (base - field["r_hi"]).tolist(), (base - field["r_lo"] + plan.size).tolist()
+            side, raw = field["r_hi"] >= plan.half, data.tobytes()
+            lo, hi = np.where(side, plan.half, 0).astype(np.int16), np.where(side, plan.span - 1, plan.half - 1).astype(np.int16)
+            for a in range(0, len(begin), 20_000):
+                b = a + 20_000
+                arrays = [pa.array(field[k][a:b]) for k in (*NAMES, "n")] + [pa.array(x[a:b]) for x in (lo, hi, field["r_lo"], field["r_hi"])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([raw[i:j] for i, j in zip(begin[a:b], end[a:b])], pa.binary())], schema=schema)
+
+    # copies go no further than the task that reads them, and not beyond the task that joins them
+    joined = first_copies(first_copies(named_texts(docs)).join(wanted.hint("merge"), "tid"))
+    return joined.select("text", "cells").mapInArrow(run, CONTEXT)
 
 
 def _split(contexts: DataFrame, plan: Plan) -> DataFrame:
@@ -198,7 +208,7 @@ def _split(contexts: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = {k: [] for k in ("key", "fp", "n", "lo", "hi", "r_lo", "r_hi", "bytes", "parent_key", "parent_fp")}
+            rows = {k: [] for k in batch.schema.names}
             for x in batch.to_pylist():
                 mid = (x["lo"] + x["hi"]) // 2
                 for lo, hi in ((x["lo"], mid), (mid + 1, x["hi"])):
@@ -209,175 +219,176 @@ def _split(contexts: DataFrame, plan: Plan) -> DataFrame:
                     own = x["bytes"][at - b : at - a + plan.size]
                     shared = x["bytes"][at - lo : at - hi + plan.size]
                     name = f"{x['key']} {lo} {hi} ".encode()
-                    rows["key"].append(int.from_bytes(hashlib.blake2b(name + shared, digest_size=8).digest(), "little", signed=True))
-                    rows["fp"].append(int.from_bytes(hashlib.blake2b(b"%d %d " % (a, b) + own, digest_size=8).digest(), "little", signed=True))
-                    for k, v in (("n", x["n"]), ("lo", lo), ("hi", hi), ("r_lo", a), ("r_hi", b), ("bytes", own), ("parent_key", x["parent_key"]), ("parent_fp", x["parent_fp"])):
+                    digest = hashlib.blake2b(b"%d %d " % (a, b) + own, digest_size=16).digest()
+                    new = x | {"key": int.from_bytes(hashlib.blake2b(name + shared, digest_size=8).digest(), "little", signed=True), "lo": lo, "hi": hi, "r_lo": a, "r_hi": b, "bytes": own}
+                    new |= {"fp": int.from_bytes(digest[:8], "little", signed=True), "fp2": int.from_bytes(digest[8:], "little", signed=True)}
+                    for k, v in new.items():
                         rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, batch.schema)
 
     return contexts.mapInArrow(run, contexts.schema)
 
 
-def sort_block(bucket: np.ndarray, n: np.ndarray, anchor: np.ndarray, r_lo: np.ndarray, r_hi: np.ndarray, grid: np.ndarray, lo: int, hi: int, plan: Plan) -> np.ndarray:
-    """Which windows of a block of cells repeat: one row a cell, one column an offset from lo to hi.
-
-    grid holds each cell's bytes with the anchor at column `anchor`; bytes a cell lacks are zeros, and windows that would
-    need them are never looked at. Ranks of the cover sample come first, then each suffix bucket (an offset) is sorted.
-    """
-    n_words = grid.shape[1] - 7
-    sample = np.arange(anchor % STEP, n_words, STEP)
-    words = np.zeros((len(grid), len(sample)), np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | grid[:, sample + k]
-    top = 1
-    while 2 * top * STEP <= plan.size - STEP:
-        top *= 2  # the longest power of STEP that fits
-    ranks = {STEP: np.empty((len(grid), len(sample)), np.int64)}
-    for c in range(len(sample)):
-        ranks[STEP][:, c] = np.unique(words[:, c], return_inverse=True)[1]
-    length = STEP
-    while length < top * STEP:
-        half, wide = ranks[length], 2 * length
-        ranks[wide] = np.zeros_like(half)
-        shift = length // STEP
-        for c in range(half.shape[1] - shift):
-            ranks[wide][:, c] = np.unique(half[:, c] * np.int64(len(grid)) + half[:, c + shift], return_inverse=True)[1]
-        length = wide
-
-    def parts(total: int) -> list[tuple[int, int]]:
-        """(start, length) of ranks that together cover `total` bytes, a multiple of STEP."""
-        out, at = [], 0
-        while at < total:
-            size = max(k for k in ranks if k <= total - at)
-            out.append((at, size))
-            at += size
+#: STEPS[a][b]: the least step that takes positions of remainders a and b into the cover at once.
+STEPS = [[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)]
+
+
+def _ties(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's class (rows with equal keys), in sorted order of the keys, and which rows are not alone in theirs."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    new = np.ones(len(order), bool)
+    for k, key in enumerate(keys):
+        ordered = key[order]
+        new[1:] = (ordered[1:] != ordered[:-1]) | (new[1:] if k else False)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, (np.bincount(number, minlength=1) > 1)[number]
+
+
+class BlockSort:
+    """Sorts the suffixes of one block of text, bucket by bucket, by their first `plan.size` bytes."""
+
+    def __init__(self, data: np.ndarray, plan: Plan):
+        self.plan, n = plan, -(-len(data) // PERIOD) + plan.depth // PERIOD + 1
+        padded = np.zeros(n * PERIOD + PERIOD + 8, np.uint8)
+        padded[: len(data)] = data
+        #: the 8 bytes from each position on, as one number
+        self.words = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
+        self.ranks = self._sample(n)
+
+    def _sample(self, n: int) -> np.ndarray:
+        """Ranks of the sample suffixes by `depth` bytes: one row for each member of the cover, by prefix doubling."""
+        at = np.arange(n) * PERIOD
+        rank = np.stack([self.words[at + c].astype(np.uint64) >> np.uint64(64 - 8 * PERIOD) for c in COVER])
+        rank = np.unique(rank.ravel(), return_inverse=True)[1].reshape(len(COVER), n).astype(np.int64)
+        length = PERIOD
+        while length < self.plan.depth:
+            step = min(length, self.plan.depth - length) // PERIOD  # the last step overlaps what is ranked already
+            then = np.zeros_like(rank)
+            then[:, :-step] = rank[:, step:] + 1
+            rank = np.unique((rank * (n * len(COVER) + 1) + then).ravel(), return_inverse=True)[1].reshape(rank.shape).astype(np.int64)
+            length += step * PERIOD
+        return rank
+
+    def rank_at(self, position: np.ndarray) -> np.ndarray:
+        row = np.full(PERIOD, -1)
+        row[list(COVER)] = np.arange(len(COVER))
+        return self.ranks[row[position % PERIOD], position // PERIOD]
+
+    def repeated(self, start: np.ndarray, bucket: int = BUCKET) -> np.ndarray:
+        """Which of the suffixes that start there share their first `size` bytes with another of them."""
+        lead = self.words[start].astype(np.uint64)
+        top = (lead >> np.uint64(48)).astype(np.uint16)
+        ends = np.cumsum(np.bincount(top, minlength=65_536))
+        order = np.argsort(top, kind="stable")
+        out, a = np.zeros(len(start), bool), 0
+        while a < len(start):
+            b = int(ends[min(np.searchsorted(ends, a + bucket), 65_535)])
+            here = order[a:b]
+            out[here] = self._bucket(start[here], lead[here])
+            a = b
+        return out
+
+    def _bucket(self, start: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), bool)
+        left = np.flatnonzero(_ties(lead)[1])
+        size = self.plan.size
+        tail = [self.words[start[left] + size - k].astype(np.uint64) for k in (16, 8)]
+        number, tied = _ties(lead[left], *tail) if len(left) else (left, np.zeros(0, bool))
+        left, number = left[tied], number[tied]
+        rest = start[left] % PERIOD
+        by_rest = [np.flatnonzero(rest == r) for r in range(PERIOD)]
+        for a, b in combinations(range(PERIOD), 2):  # equal remainders are compared along the way
+            two = np.concatenate([by_rest[a], by_rest[b]])
+            if len(two) > 1:
+                rank = self.rank_at(start[left[two]] + STEPS[a][b])
+                out[left[two]] |= _ties(number[two] * np.int64(self.ranks.size + 1) + rank)[1]
         return out
 
-    covered = plan.size // STEP * STEP - STEP
-    cover = parts(covered)
-    flags = np.zeros((len(grid), hi - lo + 1), bool)
-    for r in range(lo, hi + 1):
-        here = np.flatnonzero((r_lo <= r) & (r <= r_hi))
-        if not len(here):
-            continue
-        begin = anchor - r
-        head = -(begin - anchor % STEP) % STEP  # bytes before the first sample position
-        first = (begin + head - anchor % STEP) // STEP
-        keys = [ranks[size][here, first + at // STEP] for at, size in cover]
-        edge = grid[here][:, [*range(begin, begin + head), *range(begin + head + covered, begin + plan.size)]]
-        while edge.shape[1]:
-            chunk = np.zeros((len(here), 8), np.uint8)
-            take = min(8, edge.shape[1])
-            chunk[:, :take] = edge[:, :take]
-            keys.append(chunk.view(np.uint64).ravel().astype(np.int64, copy=False))
-            edge = edge[:, take:]
-        order = np.lexsort([*keys, bucket[here]])
-        same = np.ones(len(here) - 1, bool)
-        for k in [*keys, bucket[here]]:
-            same &= k[order[1:]] == k[order[:-1]]
-        twice = n[here] >= 2
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        flags[here, r - lo] = twice
-    return flags
-
-
-RESULT = "key long, fp long, starts array<struct<r_lo:short,r_hi:short>>"
+
+FOUND = "key long, fp long, fp2 long, lo short, hi short"
 
 
 def _sort_buckets(contexts: DataFrame, plan: Plan, block: int) -> DataFrame:
-    """Runs of repeated offsets of each cell. Buckets lie together in sorted partitions; a block of them is sorted at a time."""
-
-    def solve(rows: list[dict], lo: int, hi: int):
-        anchor = hi
-        width = anchor - lo + plan.size + 8
-        grid = np.zeros((len(rows), width), np.uint8)
-        for i, x in enumerate(rows):
-            at = anchor - x["r_hi"]
-            grid[i, at : at + len(x["bytes"])] = np.frombuffer(x["bytes"], np.uint8)
-        pick = lambda k, t: np.array([x[k] for x in rows], t)
-        flags = sort_block(pick("key", np.int64), pick("n", np.int64), anchor, pick("r_lo", np.int64), pick("r_hi", np.int64), grid, lo, hi, plan)
-        edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        out = {"key": [], "fp": [], "starts": []}
-        for i, x in enumerate(rows):
-            if flags[i].any():
-                out["key"].append(x["parent_key"])
-                out["fp"].append(x["parent_fp"])
-                out["starts"].append([{"r_lo": lo + int(a), "r_hi": lo + int(b) - 1} for a, b in zip(np.flatnonzero(edge[i] == 1), np.flatnonzero(edge[i] == -1))])
-        return out
+    """Runs of repeated offsets of each kind. Keys lie together in sorted partitions; a block of them is sorted at a time."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        get = lambda k: _numbers(rows[k].combine_chunks()).astype(np.int64)
+        texts = rows["bytes"].combine_chunks()
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        hi, count = get("r_hi"), get("r_hi") - get("r_lo") + 1
+        cell = np.repeat(np.arange(len(hi)), count)
+        place = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)  # the window's number in its cell
+        flags = BlockSort(data, plan).repeated(offsets[cell] - offsets[0] + place) | (get("n") >= 2)[cell]
+        edge = np.ones(len(cell), bool)
+        edge[1:] = cell[1:] != cell[:-1]
+        begins = flags & (edge | ~np.concatenate([[False], flags[:-1]]))
+        ends = flags & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([flags[1:], [False]]))
+        first, last, of = place[begins], place[ends], cell[begins]
+        arrays = [pa.array(get(f"parent_{k}")[of]) for k in NAMES] + [pa.array((hi[of] - x).astype(np.int16)) for x in (last, first)]
+        return pa.RecordBatch.from_arrays(arrays, [*NAMES, "lo", "hi"])
 
     def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("starts", pa.list_(pa.struct([("r_lo", pa.int16()), ("r_hi", pa.int16())])))])
-        held: dict[tuple[int, int], list[dict]] = {}
-        last, count = None, 0
+        held, count = [], 0
         for batch in batches:
-            for x in batch.to_pylist():
-                now = x["key"]
-                if now != last and count >= block:
-                    for (lo, hi), rows in held.items():
-                        yield pa.RecordBatch.from_pydict(solve(rows, lo, hi), schema)
-                    held, count = {}, 0
-                last = now
-                held.setdefault((x["lo"], x["hi"]), []).append(x)
-                count += 1
-        for (lo, hi), rows in held.items():
-            yield pa.RecordBatch.from_pydict(solve(rows, lo, hi), schema)
+            held, count = [*held, batch], count + batch.num_rows
+            if count >= block:
+                rows = pa.Table.from_batches(held)
+                keys = _numbers(rows["key"].combine_chunks())
+                whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+                if whole:
+                    yield solve(rows.slice(0, whole))
+                held, count = rows.slice(whole).to_batches(), count - whole
+        if count:
+            yield solve(pa.Table.from_batches(held))
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, RESULT)
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
 
 
 def repeated_starts(docs: DataFrame, work: WorkDir, size: int = SIZE, block: int = BLOCK) -> DataFrame:
-    """doc_id, tag and runs (first, last) of window starts whose `size` bytes also start elsewhere."""
+    """tid and runs (first, last) of window starts whose `size` bytes also start elsewhere."""
     plan = Plan(size)
-    twice = _keys(docs, plan).groupBy("key").count().where("count > 1").select("key")
-    cells = work.cut(_all_cells(docs, plan).join(twice, "key"), "cells")
-
-    kinds = cells.groupBy("key", "fp").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "tag", "anchor", "r_lo", "r_hi")))  # any one occurrence, of one row
-    kinds = work.cut(kinds, "kinds")
-    many = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    alone = many.where("kinds = 1").select("key")
-    wanted = (
-        kinds.join(many.where("kinds > 1").select("key"), "key")
-        .groupBy("doc_id", "tag")
-        .agg(F.collect_list(F.struct("key", "fp", "n", "anchor", "r_lo", "r_hi")).alias("cells"))  # bounded by the text's length
-    )
-    contexts = work.cut(_contexts(docs, wanted, plan).withColumns({"parent_key": F.col("key"), "parent_fp": F.col("fp")}), "contexts")
+    twice = work.cut(_keys(docs, plan).groupBy("key").count().where("count > 1").select("key"), "twice")
+    cells = work.cut(_all_cells(docs, plan).join(twice.hint("merge"), "key"), "cells")  # both sides are plain exchanges, so a hot key is split
+    one = F.min(F.struct("tid", "anchor", "r_lo", "r_hi"))  # any one occurrence
+    kinds = work.cut(cells.groupBy(*NAMES).agg(F.count("*").alias("n"), one.alias("one")).select(*NAMES, "n", "one.*"), "kinds")
+    wanted = kinds.groupBy("tid").agg(F.collect_list(F.struct(*NAMES, "n", "anchor", "r_lo", "r_hi")).alias("cells"))  # bounded by the text's length
+    parents = {f"parent_{k}": F.col(k) for k in NAMES}
+    contexts = work.cut(_contexts(docs, work.cut(wanted, "wanted"), plan).withColumns(parents), "contexts")
 
     results = []
     while True:  # at most log2(size) rounds: offsets are halved in each
         hot = contexts.groupBy("key", "lo", "hi").count().where((F.col("count") > block) & (F.col("lo") < F.col("hi"))).select("key")
+        hot = work.cut(hot, "hot")
         if not hot.take(1):
             break
-        hot = work.cut(hot, "hot")
         results.append(_sort_buckets(contexts.join(hot, "key", "left_anti"), plan, block))
         parts = work.cut(_split(contexts.join(hot, "key"), plan), "parts")
-        sums = parts.groupBy("key").agg(F.sum("n").alias("seen"), (F.min("fp") == F.max("fp")).alias("equal")).where("seen > 1")
-        one = F.array(F.struct("r_lo", "r_hi"))  # cells of a key that are all equal need no sorting; single windows always are
-        results.append(parts.join(sums.where("equal").select("key"), "key").select(F.col("parent_key").alias("key"), F.col("parent_fp").alias("fp"), one.alias("starts")))
+        alike = (F.min("fp") == F.max("fp")) & (F.min("fp2") == F.max("fp2"))
+        sums = work.cut(parts.groupBy("key").agg(F.sum("n").alias("seen"), alike.alias("equal")).where("seen > 1"), "sums")
+        # cells of a key that are all equal need no sorting; single windows always are
+        results.append(parts.join(sums.where("equal").select("key"), "key").select(*(F.col(f"parent_{k}").alias(k) for k in NAMES), F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi")))
         contexts = work.cut(parts.join(sums.where(~F.col("equal")).select("key"), "key").select(*contexts.columns), "contexts")
     results.append(_sort_buckets(contexts, plan, block))
-    sorted_ = results[0]
-    for more in results[1:]:
-        sorted_ = sorted_.unionByName(more)
-    sorted_ = sorted_.select("key", "fp", F.explode("starts").alias("s")).select("key", "fp", F.col("s.r_lo").alias("lo"), F.col("s.r_hi").alias("hi"))
-    whole = kinds.join(alone, "key").select("key", "fp", F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi"))
-    found = whole.unionByName(sorted_)
-    return cells.join(found, ["key", "fp"]).select("doc_id", "tag", (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo")).alias("last"))
+    found = reduce(DataFrame.unionByName, results)
+    found = work.cut(found, "found")
+    return cells.select(*NAMES, "tid", "anchor").join(found.hint("merge"), [*NAMES]).select("tid", (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo")).alias("last"))
 
 
 def removed_spans(docs: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:
-    """The input's columns and `_runs`: runs of repeated window starts by text tag (null where there are none)."""
+    """row (the input's columns), text and runs: runs of repeated window starts (null where there are none)."""
     work = WorkDir(docs.sparkSession, "suffix")
     runs = repeated_starts(docs, work, size, block)
-    runs = runs.groupBy("doc_id").agg(F.collect_set(F.struct("tag", "first", "last")).alias("_runs"))  # bounded by the text's length
-    runs = work.cut(runs, "runs")
-    return docs.join(runs.withColumnRenamed("doc_id", "_doc"), F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
+    runs = work.cut(runs.groupBy("tid").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "runs")  # bounded by the text's length
+    rows = docs.select(row_struct(docs, "text").alias("row"), F.col("text").alias("text"))
+    return rows.withColumn("tid", text_id()).join(runs.hint("merge"), "tid", "left").select("row", "text", "runs")
 
 
-def _spans(runs, tag: int, size: int) -> list[tuple[int, int]]:
+def _spans(runs, size: int) -> list[tuple[int, int]]:
     """Maximal removed byte runs of a text."""
     out: list[list[int]] = []
-    for first, last in sorted((r["first"], r["last"]) for r in runs or () if r["tag"] == tag):
+    for first, last in sorted((r["first"], r["last"]) for r in runs or ()):
         if out and first <= out[-1][1]:
             out[-1][1] = max(out[-1][1], last + size)
         else:
@@ -405,12 +416,9 @@ def _whole_chars(raw: bytes, a: int, b: int) -> tuple[int, int]:
 def _text_spans(batch: pa.RecordBatch, size: int):
     """(row, bytes, removed spans) of each text of a batch."""
     data, offsets = text_bytes(column(batch, "text"))
-    runs = column(batch, "_runs")
+    runs = column(batch, "runs")
     for i in range(batch.num_rows):
-        text = data[offsets[i] : offsets[i + 1]]
-        found = runs[i].as_py()
-        tag = int(_text_tag(text, np.array([0, len(text)]))[0]) if found else 0
-        yield i, text.tobytes(), _spans(found, tag, size)
+        yield i, data[offsets[i] : offsets[i + 1]].tobytes(), _spans(runs[i].as_py(), size)
 
 
 def dedup_report(docs: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:
@@ -426,7 +434,7 @@ def dedup_report(docs: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataF
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = removed_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, block)
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("row.doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:
@@ -439,11 +447,10 @@ def dedup_texts(docs: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFr
             for i, raw, spans in _text_spans(batch, size):
                 if spans:
                     texts[i] = _cut(raw, [_whole_chars(raw, a, b) for a, b in spans]).decode()
-            at = batch.schema.get_field_index("text")
-            out = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
-            yield out.select([c for c in out.schema.names if c != "_runs"])
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name != "_runs"]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,7 +458,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated passages leave the texts; n_chars follows. Documents stay, even those left empty."""
+    """Pipeline stage: repeated passages leave the texts; n_chars follows. Documents stay, even those left empty; null texts
+    stay null, rows that repeat lose the same bytes, an empty table stays empty, and all columns keep their names."""
     return dedup_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
