@@ -3,7 +3,7 @@
 1. Sets. A text's words are lower-cased (A-Z) and hashed; the set holds the 64-bit hashes of its distinct 5-word shingles
    (with fewer words: of the whole sequence). A signature is kept for each set: BANDS * ROWS minima of 16 bits, and EXTRA
    of 8 bits that let the sequential test tell 0.75 from 0.68.
-   Documents with equal sets form a class; only one document of a class goes on.
+   Texts with equal sets form a class, which has an id of its own; only one text of a class goes on.
 2. Candidates. Classes that share a band lie in one bucket. Each is paired with the least of its bucket (partial minima,
    so no bucket is gathered anywhere), which is linear in the bucket's size.
 3. Sequential verification. Signatures of a pair are compared BATCH minima at a time; with m of n equal, the posterior of
@@ -16,14 +16,18 @@
    nearly all members of a group to it; the last round verifies every pair of different components that is left.
    Members of the least's component are not compared with one another again, so a group of copies costs no more than its
    size. No partner and no bucket is capped.
-6. Components by alternating large and small stars on tables of links.
+   A bucket in which that would be more than `crowd` comparisons is dealt anew first, by the exact prefix filter: with
+   shingles in order of their number in all such buckets, rare ones first, two sets at the threshold share one of the first
+   |A| - ceil(0.75 |A|) + 1 of each. So texts that share a template, and little else, meet only where they share a rare shingle.
+6. Components by alternating large and small stars on tables of links. A doc_id with several texts links their classes.
 
 A pair at the threshold shares no band with probability (1 - threshold**ROWS)**BANDS, about 5e-8, and is pruned with at
 most `miss` a batch. Links, components and sets stay on the executors throughout.
 
-Defined results: null or wordless texts have the empty set and stay alone; rows that repeat a doc_id are one document,
-return a row each and stay or go together; a null doc_id stays alone as its own component (null) and is kept; an empty table gives
-no rows; further columns are ignored here and kept by the pipeline's stage.
+Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; rows that repeat a
+doc_id are one document, linked by each of its texts, and each row reports its own text's set size; a row with a null doc_id is
+kept, linked with nothing, its component_id null; very long texts are hashed whole, one at a time; an empty table gives no rows;
+further columns are ignored, and `keep_one` hands them on untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import WorkDir, column, slices, table, text_bytes
+from .common import WorkDir, column, first_copies, named_texts, row_struct, slices, table, text_bytes, text_id
 
 WORDS = 5
 THRESHOLD = 75
@@ -47,6 +51,8 @@ EXTRA, EXTRA_BATCH = 528, 66
 MISS = 1e-6
 ROUNDS = 1
 BLOCK = 512
+#: Comparisons within a bucket from which it is dealt anew by the prefix filter.
+CROWD = 64_000_000
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS + EXTRA, dtype=np.uint32)
@@ -145,7 +151,7 @@ def similar_enough(a: Signatures, b: Signatures, steps: list[tuple[int, int]]) -
 
 
 def doc_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, and its signature."""
+    """doc_id, tid, n_shingles, two hashes of the set, and its signature."""
 
     def run(batches):
         for batch in batches:
@@ -156,11 +162,11 @@ def doc_sets(docs: DataFrame) -> DataFrame:
                 mixed = [np.concatenate([[np.uint64(0)], np.cumsum(K.mix(sets ^ np.uint64(salt)))]) for salt in (0x5BF0_3635, 0x27D4_EB2F_1656_67C5)]
                 hashes = [(m[where[1:]] - m[where[:-1]]).view(np.int64) for m in mixed]
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").slice(i, j - i), pa.array(n), pa.array(hashes[0]), pa.array(hashes[1]), pa.array(sig.rows(), pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                    [column(batch, c).slice(i, j - i) for c in ("doc_id", "tid")] + [pa.array(n), pa.array(hashes[0]), pa.array(hashes[1]), pa.array(sig.rows(), pa.binary())],
+                    ["doc_id", "tid", "n_shingles", "h1", "h2", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("tid"), "text").mapInArrow(run, "doc_id long, tid binary, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -194,14 +200,15 @@ def _survivors(pairs: DataFrame, classes: DataFrame, steps: list[tuple[int, int]
 FAN = 256
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, work: WorkDir) -> DataFrame:
-    """Pairs (a, b) linked on their full sets. pairs is a table; docs: doc_id, text. Sets are sent to the pairs' first
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, work: WorkDir) -> DataFrame:
+    """Pairs (a, b) of classes linked on their full sets. pairs is a table; docs: tid, text. Sets are sent to the pairs' first
     ids, and stream past that one's set in sorted partitions; the list of uses is a table, so Spark knows its size."""
     roles = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / FAN).cast("int"))).alias("salt"), F.col("a"), F.lit(None).cast("long").alias("b"))
     ways = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / FAN) + 1).cast("int").alias("ways"))
     others = pairs.join(ways, "a").select(F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("salt"), "a", "b")
     wanted = roles.select("id", "salt", "a", "b").unionByName(others)
-    wanted = work.cut(wanted.groupBy("id").agg(F.collect_list(F.struct("a", "salt", "b")).alias("uses")), "uses")  # at most a role for each bucket of a document, and n / FAN as the first of a pair
+    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("a", "salt", "b")).alias("uses"))  # at most a role for each bucket of a class, and n / FAN as the first of a pair
+    wanted = work.cut(wanted.join(classes.select("id", "tid"), "id").select("tid", "uses"), "uses")
 
     def build(batches):
         schema = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("b", pa.int64()), ("shingles", pa.binary())])
@@ -237,7 +244,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, work: WorkDir) -
                         out["b"].append(b.as_py())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    sets = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("text", "uses").mapInArrow(build, "a long, salt int, b long, shingles binary")
+    sets = first_copies(first_copies(docs).join(wanted.hint("merge"), "tid")).select("text", "uses").mapInArrow(build, "a long, salt int, b long, shingles binary")
     sets = sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return sets.mapInArrow(compare, "a long, b long")
 
@@ -249,11 +256,13 @@ def components(links: DataFrame, work: WorkDir) -> DataFrame:
     state = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are tables, so that the joins that follow are plain and a star with many links is split
+        least = work.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+        large = work.cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low = work.cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = work.cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, edges = edges, work.cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        work.free(before, least, large, low)
         was, state = state, _digest(edges)
         if state == was:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
@@ -263,15 +272,45 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, steps: list[tuple[int, int]], block: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that pass the sequential test; with `best`, for each member
-    outside its bucket's first component only the partner whose signature agrees most. members: bucket, id, least."""
+def _sides(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (bucket, id, least) with their root, and whether that is the root of the bucket's least."""
     root = roots.select("id", "root")
     of = members.join(root, "id", "left").select("bucket", "id", "least", F.coalesce("root", "id").alias("root"))
     head = root.select(F.col("id").alias("least"), F.col("root").alias("head"))
-    of = of.join(head, "least", "left").withColumn("main", F.col("root") == F.coalesce("head", "least"))
-    counts = of.groupBy("bucket").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where("n_rest > 0")
-    blocks = counts.select("bucket", *(((F.col(c) + block - 1) / block).cast("int").alias(k) for c, k in (("n_main", "mains"), ("n_rest", "rests"))))
+    return of.join(head, "least", "left").select("bucket", "id", "root", (F.col("root") == F.coalesce("head", "least")).alias("main"))
+
+
+def _sizes(of: DataFrame) -> DataFrame:
+    """Members of each unfinished bucket within and outside its first component."""
+    return of.groupBy("bucket").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where("n_rest > 0")
+
+
+def _prefixes(docs: DataFrame, classes: DataFrame, crowded: DataFrame, percent: int, work: WorkDir) -> DataFrame:
+    """(bucket, id, least) of the classes of crowded buckets, dealt by the shingles of their prefixes."""
+    ids = crowded.select("id").distinct().join(classes.select("id", "tid"), "id").select("tid", "id")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(column(batch, "text"))
+            for i, j, part, at in slices(data, offsets):
+                sets, where = shingle_sets(part, at)
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), np.diff(where)))), pa.array(sets.view(np.int64))], ["id", "shingle"])
+
+    shingles = work.cut(first_copies(first_copies(docs).join(work.cut(ids, "crowd").hint("merge"), "tid")).select("id", "text").mapInArrow(run, "id long, shingle long"), "shingles")
+    often = work.cut(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # those that one class alone has come first and meet nothing: they only use up places
+    ranked = shingles.join(often, "shingle", "left").groupBy("id").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "shingle")))).alias("all"))  # bounded by the text's length
+    alone = F.col("size") - F.size("all")
+    room = F.greatest(F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone, F.lit(0)).cast("int")
+    dealt = work.cut(ranked.select("id", F.explode(F.slice("all", F.lit(1), room)).alias("s")).select(F.col("s.shingle").alias("bucket"), "id"), "prefixes")
+    least = dealt.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
+    return work.cut(dealt.join(work.cut(least, "heads"), "bucket").select("bucket", "id", "least"), "dealt")
+
+
+def _rest(of: DataFrame, sizes: DataFrame, classes: DataFrame, steps: list[tuple[int, int]], block: int, best: bool, bands: bool = True) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket that pass the sequential test; with `best`, for each member
+    outside its bucket's first component only the partner whose signature agrees most. bands: buckets are bands."""
+    blocks = sizes.select("bucket", *(((F.col(c) + block - 1) / block).cast("int").alias(k) for c, k in (("n_main", "mains"), ("n_rest", "rests"))))
     of = of.join(blocks, "bucket").join(classes.select("id", "sig"), "id")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
     of = of.withColumn("own", own)
@@ -293,7 +332,7 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, steps: list[
         for i in np.flatnonzero(~main):
             js = np.flatnonzero((root != root[i]) & (best | main | (np.arange(len(rows)) > i)))
             # a pair belongs to the first bucket that it shares; both its members are in there, one of them outside the main component
-            js = js[keys[i][(keys[js] == keys[i]).argmax(axis=1)] == bucket]
+            js = js[keys[i][(keys[js] == keys[i]).argmax(axis=1)] == bucket] if bands else js
             if len(js):
                 keep, equal = similar_enough(sig.take([i]), sig.take(js), steps)
                 if best and len(keep) > 1:
@@ -320,41 +359,54 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, steps: list[
     return dealt.repartition("bucket", "r", "o").sortWithinPartitions("bucket", "r", "o").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, miss: float = MISS, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id)."""
     work = WorkDir(docs.sparkSession, "neardup")
     steps = prune_below(percent / 100, miss)
+    of_set = ["h1", "h2", "n_shingles"]
     sets = work.cut(doc_sets(docs), "sets")
     some = sets.where("n_shingles > 0 and doc_id is not null")
-    # rows that share a doc_id are one document: its texts are linked through the id
-    classes = work.cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")), "classes")
-    by_class = some.join(classes.select("h1", "h2", "n_shingles", "least"), ["h1", "h2", "n_shingles"]).select("doc_id", "h1", "h2", "n_shingles", "least")
-    same = by_class.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    # a class is named by its least doc_id; where a doc_id has several texts, classes may share it, and the first is searched
-    named = classes.select(F.col("least").alias("id"), "sig")
-
-    bands = _bands(named)
-    buckets = bands.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
-    members = work.cut(_bands(named).join(buckets, "bucket"), "members")
+    one = some.groupBy(*of_set).agg(F.min("tid").alias("tid"), F.first("sig").alias("sig"))  # equal sets have equal signatures
+    classes = work.cut(one.withColumn("id", F.monotonically_increasing_id()), "classes")
+    owned = work.cut(some.select("doc_id", *of_set).join(classes.select("id", *of_set), of_set).select("doc_id", "id"), "owned")
+    # texts that share a doc_id are one document
+    several = work.cut(owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("doc_id", "a"), "several")
+    same = owned.join(several, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+    named = classes.select("id", "sig")
+    buckets = _bands(named).groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket", "least")
+    members = work.cut(_bands(named).join(work.cut(buckets, "buckets"), "bucket"), "members")
     stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     near = work.cut(_survivors(stars, named, steps), "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = work.cut(_confirmed(texts, near, percent, work), "links")
+    texts = named_texts(docs)
+    links = work.cut(_confirmed(texts, classes, near, percent, work).unionByName(same), "links")
     roots = work.cut(components(links, work), "roots")
     tested = near
     for left in range(ROUNDS, -1, -1):  # rounds of best partners, then one of all pairs that no round has tested
-        more = _rest(members, named, roots, steps, block, best=left > 0).distinct()
-        more = work.cut(more.join(tested, ["a", "b"], "left_anti"), "more")
+        of = work.cut(_sides(members, roots), "sides")
+        sizes = work.cut(_sizes(of), "sizes")
+        light = F.col("n_rest") * (F.col("n_main") + F.col("n_rest")) <= crowd
+        more = _rest(of, sizes.where(light), classes, steps, block, best=left > 0)
+        crowded = sizes.where(~light)
+        if not left and crowded.take(1):
+            dealt = _prefixes(texts, classes, of.join(crowded.select("bucket"), "bucket"), percent, work)
+            again = work.cut(_sides(dealt, roots), "sides")
+            more = more.unionByName(_rest(again, work.cut(_sizes(again), "sizes"), classes, steps, block, best=False, bands=False))
+        more = work.cut(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
+        work.free(of)
         if not more.take(1):
             continue
-        found = work.cut(_confirmed(texts, more, percent, work), "links")
+        found = work.cut(_confirmed(texts, classes, more, percent, work), "links")
         tested = tested.unionByName(more)
         if found.take(1):
             links = links.unionByName(found)
-            roots = work.cut(components(links, work), "roots") if left else roots
-    final = work.cut(components(links.unionByName(same), work), "final").select(F.col("id").alias("doc_id"), "root")
-    out = sets.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))
+            roots = work.cut(components(links, work), "roots")
+    # a component is named by the least doc_id that any of its classes has
+    placed = work.cut(owned.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")), "placed")
+    name = work.cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
+    final = work.cut(placed.distinct().join(name, "root").select(F.col("doc_id").alias("_doc"), "component_id"), "final")
+    out = sets.select("doc_id", "n_shingles").join(final.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,10 +414,12 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the least doc_id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    return left.select(*docs.columns)
+    """Pipeline stage: of each group of near copies the document with the least doc_id stays, with all its rows. Documents without
+    words and rows without a doc_id stay; an empty table stays empty; columns, whatever their names, are untouched."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(row_struct(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    left = rows.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 OP3_SQL = """
