@@ -6,8 +6,8 @@ kept only if it is precise there; the rows that it covers leave, and the next ru
 rules cover and keeps the rest. `verdict` writes the list as one ordered Spark `when` chain, so scoring is JVM code.
 
 Defined results: a null text counts as empty (all counts 0, base_failed, not kept); an empty table gives an empty table;
-without labelled rows the list is empty and only the base rules reject; repeated rows are scored each on its own; columns of the input
-whose names clash with a statistic are replaced by it.
+without labelled rows the list is empty and only the base rules reject; repeated rows are scored each on its own; very long texts
+are counted whole, one at a time; further columns are ignored, and `keep_good` hands them on untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import WorkDir, column, slices, table, text_bytes
+from .common import WorkDir, column, row_struct, slices, table, text_bytes
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_lines")
 WINDOW = 8
-PREFIX = "_stat_"
 _SYMBOL, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _MARK[list(b"!?.,;:")] = True
@@ -88,27 +87,27 @@ def text_stats(docs: DataFrame) -> DataFrame:
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """Every column of the input, then the statistics under PREFIX."""
+    """row (every column of the input) and the statistics of its text."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(column(batch, "text"))
             for i, j, part, at in slices(data, offsets):
                 got = _stats(part, at)
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *(pa.array(got[k].astype(np.int64)) for k in STATS)], [*batch.schema.names, *(PREFIX + k for k in STATS)])
+                yield pa.RecordBatch.from_arrays([column(batch, "row").slice(i, j - i), *(pa.array(got[k].astype(np.int64)) for k in STATS)], ["row", *STATS])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(PREFIX + k, T.LongType()) for k in STATS)])
-    return docs.mapInArrow(run, schema)
+    rows = docs.select(row_struct(docs).alias("row"), F.col("text").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *(T.StructField(k, T.LongType()) for k in STATS)]))
 
 
-def base_failed(prefix: str = "") -> Column:
-    words, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed() -> Column:
+    words, repeated = F.col("n_words"), F.col("n_repeat_words")
     return (words < 20) | (100 * repeated > 30 * words)
 
 
-def features(prefix: str = "") -> dict[str, Column]:
+def features() -> dict[str, Column]:
     """Ratios that conditions may test; all defined for empty texts."""
-    c = {k: F.col(prefix + k) for k in STATS}
+    c = {k: F.col(k) for k in STATS}
     words, chars, lines = (F.greatest(c[k], F.lit(1)) for k in ("n_words", "word_chars", "n_lines"))
     return {
         "n_words": c["n_words"].cast("double"),
@@ -235,8 +234,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go, the others stay as they are."""
+    """Pipeline stage: rows that the base or the learned rules reject go, the others stay as they are, whatever the names of their
+    columns. Null and empty texts go; repeated rows are judged each on its own; an empty table stays empty. Texts are read
+    once: rows and statistics are written together, and the list learned from them is applied to that table."""
     work = WorkDir(spark, "quality-stage")
-    rules = fit(work.cut(text_stats(docs), "stats"), table(spark, sf_dir, "labels"))
-    marked = with_stats(docs)
-    return marked.where(~base_failed(PREFIX) & (verdict(rules, features(PREFIX)) < 0)).select(*docs.columns)
+    marked = work.cut(with_stats(docs), "marked")
+    rules = fit(marked.select(F.col("row.doc_id").cast("long").alias("doc_id"), *STATS), table(spark, sf_dir, "labels"))
+    return marked.where(~base_failed() & (verdict(rules, features()) < 0)).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
