@@ -7,8 +7,9 @@ length, without gaps: ranks are counted within (bucket, shard) and offset by the
 holds a bucket, and texts are read once and never shuffled.
 
 Defined results: a null or empty text is one piece of one token (its end); a document longer than `max_len` gives several
-pieces, none is dropped; equal rows get a slot each; a null doc_id is packed like any other; an empty table gives no rows;
-further columns are ignored.
+pieces, none is dropped; equal rows get a slot each; rows with a null doc_id are packed like any other, and dealt over shards by
+their row; a very long text is tokenized in stretches, with the tokens of the whole; an empty table gives no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed values of the vocabulary: how texts are cut before merging, and the free id that ends a document.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_DOCUMENT = 50256
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Places where the pattern ends a piece whatever stands around: before white space, and between ASCII letters, digits and marks
+#: (but for an apostrophe, which may begin an ending such as 's).
+_CUT = re.compile(r"(?<=[!-~])(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9!-/:-@\[-`{-~])|(?<=[0-9])(?=[A-Za-z!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
 STRETCH = 100_000
 
 
@@ -44,14 +47,14 @@ def encoder(vocabulary: str):
 
 
 def encode(text: str, vocabulary: str) -> list[int]:
-    """Token ids of a text; long texts go in stretches that end where the pattern cuts anyway (before a space)."""
+    """Token ids of a text; long texts go in stretches that end where the pattern cuts anyway, however far that is."""
     own = encoder(vocabulary)
     if len(text) <= STRETCH:
         return own.encode_ordinary(text)
     out, at = [], 0
     while at < len(text):
         cut = _CUT.search(text, at + STRETCH)
-        end = cut.start() if cut and cut.start() < at + 2 * STRETCH else min(len(text), at + 2 * STRETCH)
+        end = cut.start() if cut else len(text)
         out += own.encode_ordinary(text[at:end])
         at = end
     return out
@@ -68,6 +71,11 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
+def salted(sizes: DataFrame) -> DataFrame:
+    """A number for each row, to be kept by writing the table."""
+    return sizes.withColumn("salt", F.monotonically_increasing_id())
+
+
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
     """Upper ends of at most n_buckets buckets over sorted distinct lengths, with the least padding: the sum over all
     pieces of (end of its bucket - its length)."""
@@ -95,12 +103,14 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) ->
 
 
 def pack(sizes: DataFrame, max_len: int = 2048, n_buckets: int = 8, budget: int = 32_768, shards: int | None = None) -> DataFrame:
-    """sizes: doc_id, n_tokens. A row a piece: its bucket, batch and slot, and the padding it needs there."""
+    """sizes: doc_id, n_tokens, and as a rule salt, a number of the row, which deals out rows without a doc_id. A row a piece: its
+    bucket, batch and slot, and the padding it needs there. sizes is read several times: it should be a table."""
     spark = sizes.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / max_len), F.lit(1)).cast("int") - 1)).alias("piece")
-    pieces = sizes.select("doc_id", "n_tokens", piece).select(
-        "doc_id", "piece", (F.col("piece").cast("long") * max_len).alias("start"), F.least(F.col("n_tokens") - F.col("piece").cast("long") * max_len, F.lit(max_len)).cast("int").alias("n_tokens")
+    salt = F.col("salt") if "salt" in sizes.columns else F.lit(0)
+    pieces = sizes.select("doc_id", "n_tokens", salt.alias("salt"), piece).select(
+        "doc_id", "salt", "piece", (F.col("piece").cast("long") * max_len).alias("start"), F.least(F.col("n_tokens") - F.col("piece").cast("long") * max_len, F.lit(max_len)).cast("int").alias("n_tokens")
     )
     histogram = sorted(map(tuple, pieces.groupBy("n_tokens").count().collect()))  # at most max_len rows
     ends = best_boundaries(np.array([n for n, _ in histogram], np.int64), np.array([k for _, k in histogram], np.int64), n_buckets)
@@ -110,7 +120,8 @@ def pack(sizes: DataFrame, max_len: int = 2048, n_buckets: int = 8, budget: int
     for e in reversed(ends[:-1]):
         end = F.when(F.col("n_tokens") <= e, F.lit(e)).otherwise(end)
     order = F.xxhash64("doc_id", "piece")
-    placed = pieces.withColumns({"bucket": bucket, "bucket_len": end, "_hash": order, "_shard": F.pmod(order, F.lit(shards)).cast("int")})
+    shard = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("salt", "piece")).otherwise(order), F.lit(shards)).cast("int")
+    placed = pieces.withColumns({"bucket": bucket, "bucket_len": end, "_hash": order, "_shard": shard})
     counts = placed.groupBy("bucket", "_shard").count()  # at most n_buckets * shards rows
     before = counts.select("bucket", "_shard", (F.sum("count").over(W.partitionBy("bucket").orderBy("_shard")) - F.col("count")).alias("_before"))
     rank = F.row_number().over(W.partitionBy("bucket", "_shard").orderBy("_hash", "doc_id", "piece", "n_tokens")) - 1
@@ -123,10 +134,11 @@ def pack(sizes: DataFrame, max_len: int = 2048, n_buckets: int = 8, budget: int
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = WorkDir(spark, "packing")
-    return pack(work.cut(token_counts(table(spark, sf_dir, "documents")), "sizes"))
+    return pack(work.cut(salted(token_counts(table(spark, sf_dir, "documents"))), "sizes"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: the pieces of all that is left."""
+    """Last stage of the pipeline: the pieces of all that is left. Null and empty texts are a piece of one token, repeated rows
+    are packed each, an empty table gives no rows, and columns besides doc_id and text are ignored."""
     work = WorkDir(spark, "packing-stage")
-    return pack(work.cut(token_counts(docs), "sizes"))
+    return pack(work.cut(salted(token_counts(docs)), "sizes"))
