@@ -3,15 +3,17 @@
 A token file is a run of fixed-width ids (little-endian), documents end to end, each ended by one end-of-document id, and
 nothing else: no index, no lengths. Files are read in blocks of BLOCK_BYTES wherever these fall. Each block is searched for
 the id in one vectorised pass and gives its token count, its separators' places and nothing of the tokens. A prefix scan
-over the blocks of a file stitches the boundaries: running sums give each block's first token and first document, a
-running maximum of separator places gives where the document that enters a block began.
+over the blocks' summaries (tokens, separators, last place: a short row a block) stitches the boundaries: running sums give each
+block's first token and first document, a running maximum of separator places gives where the document that enters a block
+began. The carries go back to the blocks by a join, and each block turns its own places into documents.
 
 `write_token_files` makes such files from documents, a file for each partition of the input; a file appears under its name
 only when it is whole, and a task that runs again writes the same bytes again.
 
 Defined results: a null or empty text is a document of 0 tokens; tokens behind a file's last separator form a document
 that is not `complete`; an empty file has no documents; a file whose size is no multiple of the id's width raises; repeated
-rows and null doc_ids are documents like any other; an empty table gives no rows.
+rows and null doc_ids are documents like any other; a very long text is tokenized in stretches, with the tokens of the whole, and
+may run over many blocks; an empty table gives no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -86,24 +88,25 @@ def scan_blocks(files: DataFrame, folder: str, separator: int, dtype: str = DTYP
     return blocks.repartition("file", "block").mapInArrow(run, "file string, block int, n_tokens long, places array<long>")
 
 
+def carries(blocks: DataFrame) -> DataFrame:
+    """What enters each block of a file: tokens and documents before it, where the open document began, and whether it is the last."""
+    summary = blocks.select("file", "block", "n_tokens", F.size("places").cast("long").alias("n"), F.array_max("places").alias("last"))
+    file = W.partitionBy("file").orderBy("block")
+    before = file.rowsBetween(W.unboundedPreceding, -1)
+    summary = summary.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    opened = F.coalesce(F.max(F.col("first") + F.col("last")).over(before) + 1, F.lit(0))
+    return summary.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), opened.alias("opened"), F.lead("block").over(file).isNull().alias("is_last"))
+
+
 def stitch(blocks: DataFrame) -> DataFrame:
     """(file, ordinal, start, n_tokens, complete) of each document, from the blocks of each file."""
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    first = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
-    blocks = blocks.withColumn("first", first).withColumn("last_place", F.col("first") + F.array_max("places"))
-    blocks = blocks.withColumns(
-        {
-            "base": F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)).cast("long"),
-            "opened": F.coalesce(F.max("last_place").over(before) + 1, F.lit(0)),
-            "is_last": F.lead("block").over(W.partitionBy("file").orderBy("block")).isNull(),
-        }
-    )
+    held = blocks.join(carries(blocks).hint("merge"), ["file", "block"])
     ends = F.transform("places", lambda p: p + F.col("first"))
     # what follows the last separator of the file, if anything does
     stop = F.col("first") + F.col("n_tokens")
-    rest = F.col("is_last") & (stop > F.coalesce(F.col("last_place") + 1, F.col("opened")))
+    rest = F.col("is_last") & (stop > F.coalesce(F.col("first") + F.array_max("places") + 1, F.col("opened")))
     ends = F.when(rest, F.concat(ends, F.array(stop))).otherwise(ends)
-    rows = blocks.withColumn("ends", ends).select("file", "base", "opened", "ends", F.size("places").alias("n"), F.posexplode("ends").alias("i", "end"))
+    rows = held.withColumn("ends", ends).select("file", "base", "opened", "ends", F.size("places").alias("n"), F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("opened")).otherwise(F.element_at("ends", F.greatest(F.col("i"), F.lit(1))) + 1)
     return rows.select("file", (F.col("base") + F.col("i")).alias("ordinal"), start.alias("start"), "end", (F.col("i") < F.col("n")).alias("complete")).select(
         "file", "ordinal", "start", (F.col("end") - F.col("start")).alias("n_tokens"), "complete"
@@ -111,8 +114,9 @@ def stitch(blocks: DataFrame) -> DataFrame:
 
 
 def count_tokens(spark: SparkSession, folder: str, separator: int = END_OF_DOCUMENT, dtype: str = DTYPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents of all token files in a folder."""
-    return stitch(scan_blocks(token_files(spark, folder), folder, separator, dtype, block_bytes))
+    """Documents of all token files in a folder, which are read once."""
+    work = WorkDir(spark, "blocks")
+    return stitch(work.cut(scan_blocks(token_files(spark, folder), folder, separator, dtype, block_bytes), "blocks"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,4 +124,4 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = WorkDir(spark, "tokens")
     folder = f"{work.path}/flat"
     places = work.cut(write_token_files(table(spark, sf_dir, "documents"), folder), "places")
-    return places.join(count_tokens(spark, folder), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "complete")
+    return places.hint("merge").join(count_tokens(spark, folder), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "complete")
