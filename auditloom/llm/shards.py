@@ -39,7 +39,7 @@ PART_ROWS = 200_000
 
 @dataclass
 class Splitter:
-    """Rows at or beyond it have key > key, or that key and doc_id >= doc (doc None: none of that key)."""
+    """Rows beyond it have a greater key, or that key and a greater doc_id (doc None: none of that key)."""
 
     key: int
     doc: int | None
@@ -82,7 +82,7 @@ def _crossings(rows: DataFrame, by: str, targets: list[tuple[int, int]], n_probe
         probes = set()
         for lo, hi in open_.values():
             lo, hi = (-(2**62), 2**62) if lo is None else (lo, hi)
-            probes |= {lo, hi + 1} | {lo + (hi - lo + 1) * k // n_probes for k in range(1, n_probes)}
+            probes |= {lo, min(hi + 1, 2**63 - 1)} | {lo + (hi - lo + 1) * k // n_probes for k in range(1, n_probes)}
         edges = np.array(sorted(probes), np.int64)
         below, gaps = 0, []
         for gap, size, least, most in _histogram(rows, by, edges):
@@ -113,7 +113,7 @@ def find_splitters(rows: DataFrame, n_shards: int, n_probes: int = 64, group_sha
             large.setdefault(key, []).append((i, dict(goals)[i] - before))
     for key, wanted in large.items():  # at most n_shards - 1 keys
         for i, (doc, before, size) in _crossings(rows.where(F.col("key") == key), "doc_id", wanted, n_probes).items():
-            out[i] = Splitter(key, doc + 1)
+            out[i] = Splitter(key, doc)
     return [out[i] for i in range(1, n_shards)]
 
 
@@ -122,7 +122,7 @@ def shard_of(splitters: list[Splitter]) -> Column:
     for s in splitters:
         beyond = F.col("key") > s.key
         if s.doc is not None:
-            beyond = beyond | ((F.col("key") == s.key) & (F.col("doc_id") >= s.doc))
+            beyond = beyond | ((F.col("key") == s.key) & (F.col("doc_id") > s.doc))
         out = out + beyond.cast("int")
     return out
 
@@ -145,7 +145,7 @@ def find_cuts(rows: DataFrame, counts: dict[tuple[int, int], int], part_rows: in
             large.setdefault(key, []).append((name, goals[name] - below))
     for key, wanted in large.items():  # at most one key for each part_rows rows
         for name, (doc, _, _) in _crossings(ones.where(F.col("key") == key), "doc_id", wanted, n_probes).items():
-            out[name] = Splitter(key, doc + 1)
+            out[name] = Splitter(key, doc)
     cuts: dict[tuple[int, int], list[Splitter]] = {}
     for name in goals:
         cuts.setdefault(name[:2], []).append(out[name])
@@ -167,7 +167,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, n_probes: int = 64, group_sha
     counts = {(r["shard"], r["interval"]): r["count"] for r in counts}
     cuts = find_cuts(rows, counts, part_rows, n_probes)
     split = spark.createDataFrame([(*k, [(c.key, c.doc) for c in cuts.get(k, [])]) for k in counts], "shard int, interval int, cuts array<struct<cut: long, doc: long>>")
-    beyond = lambda c: (F.col("key") > c["cut"]) | ((F.col("key") == c["cut"]) & (F.col("doc_id") >= c["doc"]))
+    beyond = lambda c: (F.col("key") > c["cut"]) | ((F.col("key") == c["cut"]) & (F.col("doc_id") > c["doc"]))
     dealt = lambda df: df.join(F.broadcast(split), ["shard", "interval"]).withColumn("way", F.size(F.filter("cuts", beyond)))  # noqa: E731  (bounded: one row for each interval, one cut for each part_rows rows)
     parts = sorted(map(tuple, dealt(rows.select(where, interval, "key", "doc_id")).groupBy("shard", "interval", "way").count().collect()))
     offsets, before = [], {}
