@@ -6,12 +6,14 @@ instant on, `remove` takes it off; an entry stands until the next one for its pa
 
 A pattern is a host, which covers its subdomains, or host/path, which covers that path's segments and below. The most
 specific pattern decides: more host labels, then more path segments. URLs are tried down to as many path segments as the
-longest entry has. Everything is DataFrame operations. Captures and
+longest entry has. Everything is DataFrame operations. Distinct hosts are held
+against the list's hosts first, so only captures of listed hosts go on, with the hosts that cover them. Captures and
 intervals meet on (pattern, period), intervals being entered in each period that they touch between the first and last
 fetch, so a pattern with a long history, or a host with a third of all captures, is spread over periods, and no capture is
-compared with entries of other times.
+compared with entries of other times; both joins are plain exchanges, so what is still hot is split.
 
-Defined results: a null, empty or host-less URL, or a null fetch time, matches nothing and is not blocked; entries with a null pattern or
+Defined results: a null, empty or host-less URL, one whose host is no host name as it has over MAX_HOST characters, or a null fetch time, matches nothing and is not blocked;
+very long paths are tried down to the list's depth; entries with a null pattern or
 time or another action are ignored; of entries for one pattern at one instant, `remove` loses to `allow`, and that to
 `block`; repeated captures return a row each; an empty list blocks nothing; further columns of captures pass through, but for
 those named like an output column, which are replaced.
@@ -26,6 +28,8 @@ from pyspark.sql import Window as W
 from .common import table
 
 PERIOD_S = 30 * 86_400
+#: The most characters that a host name can have.
+MAX_HOST = 253
 OUT = ("host", "blocked", "action", "pattern", "since")
 
 
@@ -39,14 +43,16 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns_of(host: Column, path: Column, depth: int) -> Column:
-    """(labels, segments, pattern) of every pattern that covers a URL, down to `depth` path segments."""
+def hosts_of(host: Column) -> Column:
+    """(labels, covering) of a host and its parent domains."""
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("labels"), F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".").alias("host")))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("labels"), F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".").alias("covering")))
+
+
+def paths_of(path: Column, depth: int) -> Column:
+    """(segments, path) of a path and those above it, down to `depth` segments."""
     parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, depth)
-    paths = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("segments"), F.array_join(F.concat(F.array(F.lit("")), F.slice(parts, 1, i)), "/").alias("path")))
-    both = F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h["labels"].alias("labels"), p["segments"].alias("segments"), F.concat(h["host"], p["path"]).alias("pattern"))))
-    return F.flatten(both)
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("segments"), F.array_join(F.concat(F.array(F.lit("")), F.slice(parts, 1, i)), "/").alias("path")))
 
 
 def _host_lower(pattern: Column) -> Column:
@@ -73,8 +79,13 @@ def list_depth(entries: DataFrame) -> int:
 def judge_urls(captures: DataFrame, entries: DataFrame, period_s: int = PERIOD_S) -> DataFrame:
     """captures: url, fetched_at and more. Adds host, blocked, and the deciding entry's action, pattern and start."""
     seconds = lambda c: F.floor(F.unix_micros(c) / (period_s * 1_000_000))
-    seen = captures.where("fetched_at is not null").select("url", "fetched_at").distinct().withColumn("host", url_host(F.col("url"))).where("host <> ''")
-    keys = seen.select("url", "fetched_at", F.explode(patterns_of(F.col("host"), url_path(F.col("url")), list_depth(entries))).alias("p")).select("url", "fetched_at", "p.*", seconds(F.col("fetched_at")).alias("period"))
+    seen = captures.where("fetched_at is not null").select("url", "fetched_at").distinct().withColumn("host", url_host(F.col("url"))).where((F.col("host") != "") & (F.length("host") <= MAX_HOST))
+    listed = entries.select(_host_lower(F.regexp_replace("pattern", r"/+$", "")).alias("pattern")).select(F.substring_index("pattern", "/", 1).alias("covering")).where("covering <> ''").distinct()
+    hosts = captures.select(url_host(F.col("url")).alias("host")).where((F.col("host") != "") & (F.length("host") <= MAX_HOST)).distinct()
+    covered = hosts.select("host", F.explode(hosts_of(F.col("host"))).alias("h")).select("host", "h.*").join(listed, "covering")
+    of_host = covered.groupBy("host").agg(F.collect_list(F.struct("labels", "covering")).alias("covers"))  # at most one for each of a host's labels
+    keys = seen.join(of_host, "host").select("url", "fetched_at", F.explode("covers").alias("h"), seconds(F.col("fetched_at")).alias("period"))
+    keys = keys.select("url", "fetched_at", "h.*", "period", F.explode(paths_of(url_path(F.col("url")), list_depth(entries))).alias("p")).select("url", "fetched_at", "period", "labels", "p.segments", F.concat("covering", "p.path").alias("pattern"))
     first, last = captures.agg(F.min("fetched_at"), F.max("fetched_at")).first()
     spans = validity(entries)
     if first is None:
@@ -145,10 +156,10 @@ WITH captures AS (
   SELECT pattern, rank, 1704067200 + d * 86400 AS from_s, lead(1704067200 + d * 86400) OVER (PARTITION BY pattern ORDER BY d) AS to_s
   FROM (SELECT pattern, d, max(rank) AS rank FROM entries GROUP BY ALL)
 ), labels AS (
-  SELECT page_id, at_s, string_split(host, '.') AS l, parts FROM captures WHERE host <> ''
+  SELECT page_id, at_s, string_split(host, '.') AS l, parts FROM captures WHERE host <> '' AND length(host) <= 253
 ), keys AS (
   SELECT page_id, at_s, i, j, array_to_string(l[len(l) - i + 1:], '.') || CASE WHEN j = 0 THEN '' ELSE '/' || array_to_string(parts[1:j], '/') END AS pattern
-  FROM labels, range(1, 130) a(i), range(0, 3) b(j) WHERE i <= len(l) AND j <= len(parts)
+  FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS j FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM labels))
 ), held AS (
   SELECT page_id, max({'i': i, 'j': j, 'action': CASE rank WHEN 2 THEN 'block' ELSE 'allow' END, 'pattern': k.pattern, 's': from_s}) AS best
   FROM keys k JOIN spans s ON k.pattern = s.pattern AND rank > 0 AND at_s >= from_s AND (to_s IS NULL OR at_s < to_s)
