@@ -10,8 +10,8 @@ Items are broadcast in blocks of at most BLOCK_BYTES of text, whatever the size
 read, never shuffled, and every seed hit is aligned.
 
 Defined results: null or empty documents hold nothing; null or empty items are found nowhere; items under n words are
-seeded by all their words; repeated rows are judged each on its own; rows with a null doc_id or item_id are judged too; empty tables
-give no rows; further columns pass through `without_leaks`.
+seeded by all their words; repeated rows are judged each on its own; rows with a null doc_id or item_id are judged too, and ids may have any type; very
+long texts are searched whole; empty tables give no rows; further columns, whatever their names, pass through `without_leaks`.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from .common import column, slices, table, text_bytes
@@ -138,6 +139,25 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def _regions(doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: np.ndarray) -> list[list[int]]:
+    """(doc, item, first word, end word) of stretches that hold all of [lo, hi), which are at most `width` long. Those that overlap
+    are one stretch; one of over four widths is cut into such that overlap by a width, so each [lo, hi) lies in one whole."""
+    order = np.lexsort((lo, item, doc))
+    doc, item, lo, hi, width = doc[order], item[order], lo[order], hi[order], width[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    far = (int(hi.max()) + 1) * (np.cumsum(new) - 1)  # moves the pairs of document and item apart
+    reach = np.maximum.accumulate(hi + far)
+    new[1:] |= (lo + far)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    begin, end, width = lo[first], np.maximum.reduceat(hi, first), width[first]
+    pieces = np.maximum(1, -(-(end - begin - width) // (3 * width)))
+    of = np.repeat(np.arange(len(first)), pieces)
+    at = begin[of] + 3 * width[of] * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    stop = np.minimum(at + 4 * width[of], end[of])
+    return [list(x) for x in zip(doc[first][of].tolist(), item[first][of].tolist(), at.tolist(), stop.tolist())]
+
+
 def _leaks(items: Items, words: np.ndarray, row: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, end word) of the best copy of each item in each row."""
     at, seed = _hits(items, words, row)
@@ -151,15 +171,7 @@ def _leaks(items: Items, words: np.ndarray, row: np.ndarray, threshold: float) -
     slack = np.maximum(8, length // 4)
     begin, end = np.searchsorted(row, doc, "left"), np.searchsorted(row, doc, "right")
     lo, hi = np.maximum(begin, diag - slack), np.minimum(end, diag + length + slack)
-    order = np.lexsort((lo, item, doc))
-    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
-    regions: list[list[int]] = []
-    for d, t, a, b in zip(doc.tolist(), item.tolist(), lo.tolist(), hi.tolist()):
-        # stretches that overlap are one, up to four items long; beyond that a new one starts, half an item back or more
-        if regions and regions[-1][:2] == [d, t] and a <= regions[-1][3] and b - regions[-1][2] <= 4 * (b - a):
-            regions[-1][3] = max(regions[-1][3], b)
-        else:
-            regions.append([d, t, a, b])
+    regions = _regions(doc, item, lo, hi, length + 2 * slack)
     regions.sort(key=lambda x: (x[3] - x[2], items.first[x[1] + 1] - items.first[x[1]]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     k = 0
@@ -206,6 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: flo
     spark = docs.sparkSession
     out = None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, first_word long, end_word long"
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block_items(block, n))
 
@@ -217,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: flo
                     got = _leaks(items, *_words(part, at), threshold)
                     rows = pa.array([i + r for r, *_ in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [column(batch, "doc_id").take(rows), pa.array([items.ids[t] for _, t, *_ in got], pa.int64()), *(pa.array([g[k] for g in got], kind) for k, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
+                        [column(batch, "doc_id").take(rows), pa.array([items.ids[t] for _, t, *_ in got], kind), *(pa.array([g[k] for g in got], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
                         ["doc_id", "item_id", "score", "first_word", "end_word"],
                     )
 
@@ -250,5 +263,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a copy of a test item go."""
+    """Pipeline stage: rows whose text holds a copy of a test item go; null and empty texts stay, repeated rows are judged each, an
+    empty table or benchmark changes nothing, and columns are untouched."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text"))
