@@ -9,8 +9,9 @@ Training reads at most `max_docs` labelled documents (those with the smallest ha
 these; every document is scored on its whole text. labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null or empty texts score by the bias alone; without labels of both classes every score is the smoothed
-share of toxic labels; where a doc_id has several labels the largest counts; a null doc_id is scored and not held out; an
-empty table gives no rows; further columns are ignored.
+share of toxic labels; where a doc_id has several labels the largest counts; rows that repeat a doc_id are scored each on its
+own text, and each is a training document where the doc_id is labelled; a null doc_id is scored and not held out; a very long
+text is scored whole, on its own; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,43 +80,62 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 1500.0, rounds: int = 60, alpha: float = 1.0) -> Model:
-    """rows: distinct feature numbers of each document."""
+def log_count_ratios(flat: np.ndarray, owner_toxic: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """log((p / |p|) / (q / |q|)) of each feature; owner_toxic: whether the document is toxic of which each entry of flat is a feature."""
+    p = alpha + np.bincount(flat[owner_toxic], minlength=1 << BITS)
+    q = alpha + np.bincount(flat[~owner_toxic], minlength=1 << BITS)
+    return np.log((p / p.sum()) / (q / q.sum()))
+
+
+#: Features that training works on at a time.
+CHUNK = 2_000_000
+
+
+def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 50.0, rounds: int = 60, alpha: float = 1.0) -> Model:
+    """rows: distinct feature numbers of each document. Memory: 4 bytes a feature of each, and a chunk's numbers."""
     share = (toxic.sum() + 1) / (len(toxic) + 2)
     constant = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     if not toxic.any() or toxic.all():
         return constant
     size = 1 << BITS
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    p = alpha + np.bincount(flat[toxic[owner]], minlength=size)
-    q = alpha + np.bincount(flat[~toxic[owner]], minlength=size)
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    value = ratio.astype(np.float32)[flat]
+    length = np.array([len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32, copy=False)
+    at = np.concatenate([[0], np.cumsum(length)])
+    ratio = log_count_ratios(flat, np.repeat(toxic, length), alpha)
+    squares = np.add.reduceat(np.concatenate([(ratio[flat] ** 2).astype(np.float32), [0]]), np.minimum(at[:-1], len(flat)), dtype=np.float64)[length > 0]
+    scale = np.sqrt(squares.sum() / len(rows))
+    value = (ratio / scale).astype(np.float32)
     # each class weighs as much as the other, so that a rare class is not drowned
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
-    scale = np.sqrt(np.bincount(owner, weights=value**2, minlength=len(rows)).mean())
-    value /= np.float32(scale)
     w, bias, y = np.zeros(size, np.float32), 0.0, toxic.astype(float)
     v, vb, m, mb = np.zeros(size), 0.0, np.zeros(size), 0.0
+    cuts = [0]
+    while cuts[-1] < len(rows):  # runs of whole documents of about CHUNK features
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + CHUNK, side="right")) - 1))
     for t in range(1, rounds + 1):  # Adam over all rows
-        z = np.bincount(owner, weights=value * w[flat], minlength=len(rows)) + bias
-        err = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-        g = np.bincount(flat, weights=value * err[owner], minlength=size) + l2 * w / len(rows) / 100
-        gb = err.sum()
+        product, g, gb = value * w, np.zeros(size), 0.0
+        for i, j in zip(cuts, cuts[1:]):
+            part, own = flat[at[i] : at[j]], length[i:j]
+            z = np.full(j - i, bias)
+            if len(part):
+                z[own > 0] += np.add.reduceat(product[part], (at[i:j] - at[i])[own > 0])
+            err = weight[i:j] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j])
+            g += np.bincount(part, weights=np.repeat(err, own), minlength=size)
+            gb += err.sum()
+        g = g * value + l2 * w / len(rows) / 100
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= (0.3 * (m / c1) / (np.sqrt(v / c2) + 1e-8)).astype(np.float32)
         bias -= 0.3 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model((w * ratio / scale).astype(np.float32), float(bias))
+    return Model((w * value).astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model:
     """Learn from at most `max_docs` labelled documents that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # bounded by max_docs
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by max_docs
 
     def run(batches):
         distinct = _Distinct()
