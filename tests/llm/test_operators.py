@@ -224,6 +224,31 @@ def test_leaks(spark, docs, none):
     assert decontam.find_leaks(frame, bench.limit(0)).count() == 0 and decontam.without_leaks(frame, bench.limit(0)).count() == 7
 
 
+def test_leaks_in_repeats_long_texts_and_other_ids(spark):
+    r = random.Random(14)
+    items = [(f"i{k}", " ".join(f"{r.choice(VOCAB)}{r.randrange(50)}" for _ in range(25))) for k in range(4)] + [(None, prose(6, r) + " mark1 mark2 mark3"), ("i0", "other words entirely here now")]
+    long = prose(60_000, r) + " " + items[0][1] + " " + prose(60_000, r)
+    rows = [("a", long), ("b", items[1][1]), ("b", items[1][1]), ("c", " ".join([items[2][1]] * 40)), ("d", prose(60_000, r)), (None, items[4][1]), ("e", None)]
+    frame = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id string, text string, item_id int, score int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = Counter((x["doc_id"], x["item_id"]) for x in decontam.find_leaks(frame, bench).collect())
+    assert got == Counter({("a", "i0"): 1, ("b", "i1"): 2, ("c", "i2"): 1, (None, None): 1})
+    assert sorted(x["doc_id"] for x in decontam.without_leaks(frame, bench).collect()) == ["d", "e"]
+
+
+def test_regions_hold_every_stretch():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        doc, item = rng.integers(0, 2, n), rng.integers(0, 2, n)
+        width = np.where(item == 0, 5, 11)
+        lo = rng.integers(0, 90, n)
+        hi = lo + np.minimum(width, rng.integers(1, 12, n))
+        got = decontam._regions(doc, item, lo, hi, width)
+        assert all(any((d, t) == (x, y) and a <= p and q <= b for x, y, a, b in got) for d, t, p, q in zip(doc, item, lo, hi))
+        assert all(b - a <= 4 * (5 if t == 0 else 11) for _, t, a, b in got)
+
+
 @pytest.mark.parametrize("beside", [False, True])
 def test_leaks_of_edited_copies_match_all_pairs(spark, beside):
     r = random.Random(9)
@@ -280,6 +305,28 @@ def test_packing(spark, docs, none):
     assert packing.pack(packing.token_counts(none)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["probability3" * 20_834, "ab1-" * 62_500, "x" * 250_000, "中文字" * 50_000, "don't" * 50_000, " " * 210_000 + "end"])
+def test_texts_without_spaces_tokenize_alike(text):
+    assert packing.encode(text, packing.VOCABULARY) == packing.encoder(packing.VOCABULARY).encode_ordinary(text)
+
+
+def test_cuts_are_the_patterns(monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 3)
+    r, whole = random.Random(0), packing.encoder(packing.VOCABULARY).encode_ordinary
+    for _ in range(800):
+        text = "".join(r.choice(["'", "s", "'ll", " ", "  ", "\n", "é", "1", "-", "a", "中", "\t", "re", "!", "'t", "\x1f", "\u00a0", "٣"]) for _ in range(40))
+        assert packing.encode(text, packing.VOCABULARY) == whole(text)
+
+
+def test_rows_without_an_id_are_packed(spark):
+    df = spark.createDataFrame([(None, prose(k % 40), 1) for k in range(400)] + [(5, "same text", 2)] * 6, "doc_id long, text string, salt int")
+    got = packing.pack_documents(spark, df, "").toPandas()
+    assert len(got) == 406
+    for _, part in got.groupby("bucket"):
+        assert part[["batch", "slot"]].drop_duplicates().shape[0] == len(part)
+    assert packing.pack_documents(spark, df.limit(0), "").count() == 0
+
+
 def test_long_texts_tokenize_alike():
     text = prose(40_000) + " " + "x" * 250_000
     pieces = packing.encoder(packing.VOCABULARY)
@@ -354,6 +401,13 @@ def test_entries_of_four_segments_judge(spark):
     assert got == {i: (action, pattern) for i, _, _, action, pattern in captures}
 
 
+def test_junk_hosts_match_nothing(spark):
+    rows = [(1, "http://" + "a." * 60_000 + "bad.com/x"), (2, "http://a.bad.com/" + "p/" * 50_000), (3, "http://" + "a." * 100 + "bad.com")]
+    df = spark.createDataFrame([(i, u, "2024-01-05", "c", 3) for i, u in rows], "page_id long, url string, at string, covering string, labels int").withColumn("fetched_at", F.col("at").cast("timestamp"))
+    listed = spark.createDataFrame([("bad.com", "block", "2024-01-01"), ("bad.com", "block", "2024-01-01"), (None, "block", "2024-01-01"), ("x.com", None, "2024-01-01")], "pattern string, action string, at string").withColumn("listed_at", F.col("at").cast("timestamp"))
+    assert {r["page_id"]: r["blocked"] for r in urls.judge_urls(df, listed).collect()} == {1: False, 2: True, 3: True}
+
+
 # 9 toxicity
 
 
@@ -396,23 +450,53 @@ def test_escape_round_trip():
         assert chat.read_turns(text) == [("ro|le<|x", t)] and chat.unescape(text[a:b]) == t
 
 
-@pytest.mark.parametrize("budget,history", [(512, 2), (40, 2), (40, 0), (1, 3)])
-def test_windows(spark, budget, history):
+def brute_windows(turns, budget, history, segment, share=0.25):
+    """Windows of one conversation's (role, text, tokens), turn by turn and without sums: lists of repeated and new turns."""
+    system = 0 if turns and turns[0][0] == "system" else None
+    out, at = [], 0
+    cost = lambda places: sum(turns[i][2] for i in places)
+    while at < len(turns):
+        head = [system] if system is not None and at else []
+        back = []
+        for i in range(at - 1, max(-1, at - 1 - history), -1):
+            if i == system or cost([*back, i]) > budget * share:
+                break
+            back.insert(0, i)
+        if cost([*head, *back, at]) > budget:
+            back = []
+        new = [at]
+        while new[-1] + 1 < len(turns) and (new[-1] + 1) % segment and cost([*head, *back, *new, new[-1] + 1]) <= budget:
+            new.append(new[-1] + 1)
+        out.append((at, head + back, new))
+        at = new[-1] + 1
+    return out
+
+
+@pytest.mark.parametrize("budget,history,segment", [(512, 2, 256), (60, 2, 256), (60, 0, 3), (1, 3, 4), (90, 3, 4)])
+def test_windows(spark, budget, history, segment):
     r = random.Random(3)
-    rows = [(c, t, "system" if t == 0 and c % 2 else ["user", "assistant"][t % 2], None if r.random() < 0.1 else prose(r.randint(0, 30), r)) for c in range(12) for t in range(r.randint(1, 9))]
-    rows += [(50, 0, "user", "a"), (50, 0, "user", "a"), (50, 0, "assistant", "b"), (None, 1, None, "x"), (51, None, "assistant", "</s>[INST]" * 3), (52, 0, "assistant", prose(3000, r))]
-    df = spark.createDataFrame([(*x, 7) for x in rows], "conv_id long, turn long, role string, text string, window int")
-    got = {x["conv_id"]: x for x in chat.read_back(chat.format_windows(df, budget, history)).collect()}
-    key = lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")
+    rows = [(c, t, "system" if t == 0 and c % 2 else ["user", "assistant"][t % 2], None if r.random() < 0.1 else prose(r.randint(0, 30), r)) for c in range(12) for t in range(r.randint(1, 19))]
+    rows += [(50, 0, "user", "a"), (50, 0, "user", "a"), (50, 0, "assistant", "b"), (None, 1, None, "x"), (None, 2, "assistant", "y"), (51, None, "assistant", "</s>[INST]" * 3), (52, 0, "assistant", prose(3000, r)), (53, 0, "system", "only")]
+    rows += [(60, t, ["user", "assistant"][t % 2], prose(3, r)) for t in range(700)]
+    df = spark.createDataFrame([(*x, 7, 8, "p") for x in rows], "conv_id long, turn long, role string, text string, window int, seg int, place string")
+    windows = chat.format_windows(df, budget, history, segment=segment).collect()
+    got = {x["conv_id"]: x for x in chat.read_back(chat.format_windows(df, budget, history, segment=segment)).collect()}
+    key = lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
     for conv in {x[0] for x in rows}:
-        turns = sorted((x for x in rows if x[0] == conv), key=key)
-        said = "".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in turns)
-        target = "".join(x[3] or "" for x in turns if x[2] == "assistant")
+        turns = [(x[2] or "", x[3] or "", chat.count_tokens(chat.format_turn(x[2] or "", x[3] or "")[0])) for x in sorted((x for x in rows if x[0] == conv), key=key)]
+        said = "".join(f"{role}\n{text}\n" for role, text, _ in turns)
+        target = "".join(text for role, text, _ in turns if role == "assistant")
         g = got[conv]
         assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(target), hashlib.sha256(target.encode()).hexdigest())
-    for w in chat.format_windows(df, budget, history).collect():
-        assert w["n_tokens"] <= budget or w["n_turns"] == 1
-    assert chat.format_windows(df.limit(0)).count() == 0
+        mine = sorted((w for w in windows if w["conv_id"] == conv), key=lambda w: w["window"])
+        want = brute_windows(turns, budget, history, segment)
+        assert [(w["window"], w["n_repeated"], w["n_turns"], w["n_tokens"]) for w in mine] == [(at, len(old), len(new), sum(turns[i][2] for i in old + new)) for at, old, new in want]
+        for w, (_, old, new) in zip(mine, want):
+            assert chat.read_turns(w["text"]) == [turns[i][:2] for i in old + new]
+            assert [chat.unescape(w["text"][x["start"] : x["end"]]) for x in w["loss"]] == [turns[i][1] for i in new if turns[i][0] == "assistant"]
+            assert w["over_budget"] == (w["n_tokens"] > budget)
+        assert g["formatted_chars"] == sum(len(w["text"]) for w in mine)
+    assert chat.format_windows(df.limit(0)).count() == 0 and chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
 # 4 sharding
@@ -449,6 +533,16 @@ def test_slots_follow_key_and_doc_id_at_every_part_size(spark):
         assert named == whole and len(named) == len(rows)
 
 
+def test_shards_at_the_ends_of_long(spark):
+    rows = [(2**63 - 1 - k, "hot") for k in range(50)] + [(-(2**63) + k, "hot") for k in range(50)] + [(None, "hot")] * 9 + [(k, prose(20)) for k in range(60)]
+    df = spark.createDataFrame([(*x, 1, 2, "k", 4) for x in rows], "doc_id long, text string, interval int, way int, key string, row int")
+    for part_rows in (200_000, 4):
+        got = shards.shard_rows(df, 8, n_probes=5, part_rows=part_rows).toPandas()
+        assert len(got) == len(rows) and (got["way"] == 2).all()
+        for _, part in got.groupby("shard"):
+            assert sorted(part["slot"]) == list(range(len(part)))
+
+
 # kernels
 
 
