@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import WorkDir, column, first_copies, named_texts, row_struct, slices, table, text_bytes, text_id
+from .common import Seen, WorkDir, column, first_copies, named_texts, row_struct, slices, table, text_bytes, text_id
 
 WORDS = 5
 THRESHOLD = 75
@@ -212,7 +212,9 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 
     def build(batches):
         schema = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("b", pa.int64()), ("shingles", pa.binary())])
+        seen = Seen()
         for batch in batches:
+            batch = batch.filter(seen(column(batch, "tid")))
             uses = column(batch, "uses")
             data, offsets = text_bytes(column(batch, "text"))
             for i, j, part, at in slices(data, offsets):
@@ -244,7 +246,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
                         out["b"].append(b.as_py())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    sets = first_copies(first_copies(docs).join(wanted.hint("merge"), "tid")).select("text", "uses").mapInArrow(build, "a long, salt int, b long, shingles binary")
+    sets = first_copies(docs).join(wanted.hint("merge"), "tid").select("tid", "text", "uses").mapInArrow(build, "a long, salt int, b long, shingles binary")
     sets = sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return sets.mapInArrow(compare, "a long, b long")
 
@@ -290,13 +292,15 @@ def _prefixes(docs: DataFrame, classes: DataFrame, crowded: DataFrame, percent:
     ids = crowded.select("id").distinct().join(classes.select("id", "tid"), "id").select("tid", "id")
 
     def run(batches):
+        seen = Seen()
         for batch in batches:
+            batch = batch.filter(seen(column(batch, "tid")))
             data, offsets = text_bytes(column(batch, "text"))
             for i, j, part, at in slices(data, offsets):
                 sets, where = shingle_sets(part, at)
                 yield pa.RecordBatch.from_arrays([column(batch, "id").slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), np.diff(where)))), pa.array(sets.view(np.int64))], ["id", "shingle"])
 
-    shingles = work.cut(first_copies(first_copies(docs).join(work.cut(ids, "crowd").hint("merge"), "tid")).select("id", "text").mapInArrow(run, "id long, shingle long"), "shingles")
+    shingles = work.cut(first_copies(docs).join(work.cut(ids, "crowd").hint("merge"), "tid").select("tid", "id", "text").mapInArrow(run, "id long, shingle long"), "shingles")
     often = work.cut(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "often")
     # those that one class alone has come first and meet nothing: they only use up places
     ranked = shingles.join(often, "shingle", "left").groupBy("id").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "shingle")))).alias("all"))  # bounded by the text's length

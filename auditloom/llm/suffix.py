@@ -49,7 +49,7 @@ GRAM = 16
 #: A difference cover: every remainder modulo PERIOD is the difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Kinds of one key from which it is split; also the kinds that a task sorts at a time.
-BLOCK = 32_768
+BLOCK = 16_384
 #: Suffixes from which a bucket of a block ends, at the next pair of leading bytes.
 BUCKET = 131_072
 
@@ -60,6 +60,8 @@ class Plan:
     def __init__(self, size: int):
         if size < 2 * GRAM + PERIOD:
             raise ValueError(f"size must be at least {2 * GRAM + PERIOD}")
+        if size > 2**R_BITS:
+            raise ValueError(f"size must be at most {2**R_BITS}")
         self.size, self.span = size, size - GRAM + 1
         self.depth = (size - PERIOD + 1) // PERIOD * PERIOD  # bytes by which the sample is ranked
         self.half = (self.span + 1) // 2
@@ -70,24 +72,21 @@ class Plan:
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each `width` values in a row."""
-    n = len(x) - width + 1
-    blocks = -(-len(x) // width)
-    padded = np.full(blocks * width, np.uint64(2**64 - 1))
-    padded[: len(x)] = x
-    grid = padded.reshape(blocks, width)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+    """Least value of each `width` values in a row, by doubling."""
+    have, out = 1, x
+    while 2 * have <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    return np.minimum(out[: len(x) - width + 1], out[width - have :]) if have < width else out
 
 
 #: Bits of a position within a stretch; longer texts are taken in stretches that overlap.
 POS_BITS = 22
 
 
-def _cells(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> dict[str, np.ndarray]:
-    """Cells of the texts: row, anchor and first and last offset (r_lo..r_hi), key and two fingerprints."""
-    out = {k: [] for k in ("row", "anchor", "r_lo", "r_hi", "key", "fp", "fp2")}
+def _cells(data: np.ndarray, offsets: np.ndarray, plan: Plan, prints: bool = True) -> dict[str, np.ndarray]:
+    """Cells of the texts: row, anchor and first and last offset (r_lo..r_hi), key, and with `prints` two fingerprints."""
+    out = {k: [] for k in ("row", "anchor", "r_lo", "r_hi", "key", *(("fp", "fp2") if prints else ()))}
     step = (1 << POS_BITS) - plan.size
     long = np.flatnonzero(np.diff(offsets) >= plan.size)
     if not len(long):
@@ -99,7 +98,7 @@ def _cells(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> dict[str, np.nd
     for i, j, a, b in parts:
         part = data[a:b]
         edges = np.clip(offsets[i : j + 1], a, b) - a
-        got = _cells_of(part, edges, plan)
+        got = _cells_of(part, edges, plan, prints)
         if got:
             got["row"] = got["row"] + i
             got["anchor"] = got["anchor"] + a - offsets[got["row"]]
@@ -108,33 +107,41 @@ def _cells(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> dict[str, np.nd
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
-def _cells_of(data: np.ndarray, edges: np.ndarray, plan: Plan) -> dict[str, np.ndarray] | None:
+def _cells_of(data: np.ndarray, edges: np.ndarray, plan: Plan, prints: bool) -> dict[str, np.ndarray] | None:
+    if len(data) < plan.size:
+        return None
     prefix = K.prefix_hash(data)
-    grams = K.mix(K.rolling_hash(prefix, GRAM))
-    keep = np.uint64(2**64 - 2**POS_BITS)
-    least = _sliding_min((grams & keep) | np.arange(len(grams), dtype=np.uint64), plan.span)
-    anchor = (least & np.uint64(2**POS_BITS - 1)).astype(np.int64)
-    start = np.arange(len(anchor))
-    row = np.searchsorted(edges, start, side="right") - 1
-    valid = start + plan.size <= edges[row + 1]
-    start, anchor, row = start[valid], anchor[valid], row[valid]
-    if not len(start):
+    least = K.mix(K.rolling_hash(prefix, GRAM))
+    least &= np.uint64(2**64 - 2**POS_BITS)
+    least |= np.arange(len(least), dtype=np.uint64)
+    least = _sliding_min(least, plan.span)
+    least &= np.uint64(2**POS_BITS - 1)
+    anchors = least.astype(np.int32)  # of the window from each position on
+    change = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
+    # cells end where the anchor changes, where the offset to it comes below half, and where a row's windows begin or end
+    turn = anchors[change] - plan.half + 1
+    turn = turn[(turn > change) & (turn < np.append(change[1:], len(anchors)))]
+    rows = np.flatnonzero(np.diff(edges) >= plan.size)
+    first = np.unique(np.concatenate([change, turn, edges[rows], edges[rows + 1] - plan.size + 1]))
+    first = first[first < len(anchors)]
+    last = np.append(first[1:], len(anchors)) - 1
+    row = np.searchsorted(edges, first, side="right") - 1
+    valid = first + plan.size <= edges[np.minimum(row + 1, len(edges) - 1)]
+    first, last, row = first[valid], last[valid], row[valid]
+    if not len(first):
         return None
-    r = anchor - start
-    side = r >= plan.half
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (side[1:] != side[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    anchor, row, side = anchor[first], row[first], side[first]
-    r_hi, r_lo = r[first], r[last]
+    anchor = anchors[first].astype(np.int64)
+    r_hi, r_lo = anchor - first, anchor - last
+    side = r_hi >= plan.half
     lo, hi = np.where(side, plan.half, 0), np.where(side, plan.span - 1, plan.half - 1)
     key = K.span_hash(prefix, anchor - lo, anchor - hi + plan.size) + side.astype(np.uint64)
-    place = (r_lo * 65536 + r_hi).astype(np.uint64)
-    fp = K.mix(K.span_hash(prefix, anchor - r_hi, anchor - r_lo + plan.size) + place)
-    other = K.prefix_hash(K.OTHER[data])
-    fp2 = K.mix(K.span_hash(other, anchor - r_hi, anchor - r_lo + plan.size) ^ place)
-    return {"row": row, "anchor": anchor, "r_lo": r_lo, "r_hi": r_hi, "key": key.view(np.int64), "fp": fp.view(np.int64), "fp2": fp2.view(np.int64)}
+    out = {"row": row, "anchor": anchor, "r_lo": r_lo, "r_hi": r_hi, "key": key.view(np.int64)}
+    if prints:
+        place = (r_lo * 65536 + r_hi).astype(np.uint64)
+        fp = K.mix(K.span_hash(prefix, first, last + plan.size) + place)
+        fp2 = K.mix(K.span_hash(K.prefix_hash(K.OTHER[data]), first, last + plan.size) ^ place)
+        out |= {"fp": fp.view(np.int64), "fp2": fp2.view(np.int64)}
+    return out
 
 
 def _fresh_texts(batches, times: int):
@@ -150,19 +157,25 @@ def _fresh_texts(batches, times: int):
 def _keys(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
         for _, part, at in _fresh_texts(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array(_cells(part, at, plan)["key"])], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_cells(part, at, plan, False)["key"])], ["key"])
 
     return named_texts(docs).mapInArrow(run, "key long")
 
 
-CELL = "key long, fp long, fp2 long, tid binary, anchor int, r_lo short, r_hi short"
+CELL = "key long, fp long, fp2 long, tid binary, place long"
+#: Bits of an offset within `place`, which holds a cell's anchor, r_lo and r_hi.
+R_BITS = 12
+
+
+def _place(anchor: np.ndarray, r_lo: np.ndarray, r_hi: np.ndarray) -> np.ndarray:
+    return (anchor << 2 * R_BITS | r_lo << R_BITS | r_hi).astype(np.int64)
 
 
 def _all_cells(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
         for tids, part, at in _fresh_texts(batches, 2):
             got = _cells(part, at, plan)
-            columns = [got["key"], got["fp"], got["fp2"], None, got["anchor"].astype(np.int32), got["r_lo"].astype(np.int16), got["r_hi"].astype(np.int16)]
+            columns = [got["key"], got["fp"], got["fp2"], None, _place(got["anchor"], got["r_lo"], got["r_hi"])] if len(got["key"]) else [np.zeros(0, np.int64)] * 3 + [None, np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([tids.take(pa.array(got["row"].astype(np.int64))) if x is None else pa.array(x) for x in columns], [x.split()[0] for x in CELL.split(", ")])
 
     return named_texts(docs).mapInArrow(run, CELL)
@@ -177,19 +190,22 @@ def _numbers(array: pa.Array) -> np.ndarray:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """The bytes of one occurrence of each wanted cell. wanted: tid, cells (array of NAMES, n, anchor, r_lo, r_hi)."""
+    """The bytes of one occurrence of each wanted cell. wanted: tid, cells (array of NAMES, n, place)."""
     schema = pa.schema([(k, pa.int64()) for k in (*NAMES, "n")] + [(k, pa.int16()) for k in ("lo", "hi", "r_lo", "r_hi")] + [("bytes", pa.binary())])
 
     def run(batches):
+        seen = Seen()
         for batch in batches:
+            batch = batch.filter(seen(column(batch, "tid")))
             if not batch.num_rows:
                 continue
             data, offsets = text_bytes(column(batch, "text"))
             wants = column(batch, "cells")
             size = np.diff(_numbers(wants.offsets).astype(np.int64))
             cells = wants.flatten()
-            field = {k: _numbers(cells.field(k)) for k in (*NAMES, "n", "anchor", "r_lo", "r_hi")}
-            base = np.repeat(offsets[:-1], size) + field["anchor"]
+            field = {k: _numbers(cells.field(k)) for k in (*NAMES, "n", "place")}
+            base = np.repeat(offsets[:-1], size) + (field["place"] >> 2 * R_BITS)
+            field |= {"r_lo": (field["place"] >> R_BITS & 2**R_BITS - 1).astype(np.int16), "r_hi": (field["place"] & 2**R_BITS - 1).astype(np.int16)}
             begin, end = (base - field["r_hi"]).tolist(), (base - field["r_lo"] + plan.size).tolist()
             side, raw = field["r_hi"] >= plan.half, data.tobytes()
             lo, hi = np.where(side, plan.half, 0).astype(np.int16), np.where(side, plan.span - 1, plan.half - 1).astype(np.int16)
@@ -199,8 +215,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([raw[i:j] for i, j in zip(begin[a:b], end[a:b])], pa.binary())], schema=schema)
 
     # copies go no further than the task that reads them, and not beyond the task that joins them
-    joined = first_copies(first_copies(named_texts(docs)).join(wanted.hint("merge"), "tid"))
-    return joined.select("text", "cells").mapInArrow(run, CONTEXT)
+    joined = first_copies(named_texts(docs)).join(wanted.hint("merge"), "tid")
+    return joined.select("tid", "text", "cells").mapInArrow(run, CONTEXT)
 
 
 def _split(contexts: DataFrame, plan: Plan) -> DataFrame:
@@ -246,10 +262,10 @@ def _ties(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockSort:
-    """Sorts the suffixes of one block of text, bucket by bucket, by their first `plan.size` bytes."""
+    """Sorts the suffixes of one block of text that start at `start`, bucket by bucket, by their first `plan.size` bytes."""
 
-    def __init__(self, data: np.ndarray, plan: Plan):
-        self.plan, n = plan, -(-len(data) // PERIOD) + plan.depth // PERIOD + 1
+    def __init__(self, data: np.ndarray, start: np.ndarray, plan: Plan):
+        self.plan, self.start, n = plan, start, -(-len(data) // PERIOD) + plan.depth // PERIOD + 1
         padded = np.zeros(n * PERIOD + PERIOD + 8, np.uint8)
         padded[: len(data)] = data
         #: the 8 bytes from each position on, as one number
@@ -257,26 +273,44 @@ class BlockSort:
         self.ranks = self._sample(n)
 
     def _sample(self, n: int) -> np.ndarray:
-        """Ranks of the sample suffixes by `depth` bytes: one row for each member of the cover, by prefix doubling."""
+        """Ranks of the sample suffixes by `depth` bytes, a row for each member of the cover, by prefix doubling. A round ranks
+        those that the rounds after it ask for: in the last, the ones within PERIOD of a suffix to be sorted."""
+        lengths = [PERIOD]
+        while lengths[-1] < self.plan.depth:  # the last step overlaps what is ranked already
+            lengths.append(min(2 * lengths[-1], self.plan.depth))
+        near = np.zeros((n + 1) * PERIOD, bool)
+        for step in range(PERIOD):
+            near[self.start + step] = True
+        wanted = [np.stack([near[c : n * PERIOD : PERIOD] for c in COVER])]
+        for was, now in zip(lengths[-2::-1], lengths[:0:-1]):
+            step, more = (now - was) // PERIOD, wanted[-1].copy()
+            more[:, step:] |= wanted[-1][:, :-step]
+            wanted.append(more)
         at = np.arange(n) * PERIOD
-        rank = np.stack([self.words[at + c].astype(np.uint64) >> np.uint64(64 - 8 * PERIOD) for c in COVER])
-        rank = np.unique(rank.ravel(), return_inverse=True)[1].reshape(len(COVER), n).astype(np.int64)
-        length = PERIOD
-        while length < self.plan.depth:
-            step = min(length, self.plan.depth - length) // PERIOD  # the last step overlaps what is ranked already
+        first = np.stack([self.words[at + c].astype(np.uint64) >> np.uint64(64 - 8 * PERIOD) for c in COVER])
+        rank = self._named(first, wanted.pop())
+        for was, now in zip(lengths, lengths[1:]):
+            step = (now - was) // PERIOD
             then = np.zeros_like(rank)
             then[:, :-step] = rank[:, step:] + 1
-            rank = np.unique((rank * (n * len(COVER) + 1) + then).ravel(), return_inverse=True)[1].reshape(rank.shape).astype(np.int64)
-            length += step * PERIOD
+            rank = self._named(rank * (n * len(COVER) + 1) + then, wanted.pop())
         return rank
 
+    @staticmethod
+    def _named(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted value among them, equal ones sharing theirs."""
+        out = np.zeros(values.shape, np.int64)
+        out[wanted] = np.unique(values[wanted], return_inverse=True)[1]
+        return out
+
     def rank_at(self, position: np.ndarray) -> np.ndarray:
         row = np.full(PERIOD, -1)
         row[list(COVER)] = np.arange(len(COVER))
         return self.ranks[row[position % PERIOD], position // PERIOD]
 
-    def repeated(self, start: np.ndarray, bucket: int = BUCKET) -> np.ndarray:
-        """Which of the suffixes that start there share their first `size` bytes with another of them."""
+    def repeated(self, bucket: int = BUCKET) -> np.ndarray:
+        """Which of the suffixes share their first `size` bytes with another of them."""
+        start = self.start
         lead = self.words[start].astype(np.uint64)
         top = (lead >> np.uint64(48)).astype(np.uint16)
         ends = np.cumsum(np.bincount(top, minlength=65_536))
@@ -320,7 +354,7 @@ def _sort_buckets(contexts: DataFrame, plan: Plan, block: int) -> DataFrame:
         hi, count = get("r_hi"), get("r_hi") - get("r_lo") + 1
         cell = np.repeat(np.arange(len(hi)), count)
         place = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)  # the window's number in its cell
-        flags = BlockSort(data, plan).repeated(offsets[cell] - offsets[0] + place) | (get("n") >= 2)[cell]
+        flags = BlockSort(data, offsets[cell] - offsets[0] + place, plan).repeated() | (get("n") >= 2)[cell]
         edge = np.ones(len(cell), bool)
         edge[1:] = cell[1:] != cell[:-1]
         begins = flags & (edge | ~np.concatenate([[False], flags[:-1]]))
@@ -351,9 +385,9 @@ def repeated_starts(docs: DataFrame, work: WorkDir, size: int = SIZE, block: int
     plan = Plan(size)
     twice = work.cut(_keys(docs, plan).groupBy("key").count().where("count > 1").select("key"), "twice")
     cells = work.cut(_all_cells(docs, plan).join(twice.hint("merge"), "key"), "cells")  # both sides are plain exchanges, so a hot key is split
-    one = F.min(F.struct("tid", "anchor", "r_lo", "r_hi"))  # any one occurrence
+    one = F.min(F.struct("tid", "place"))  # any one occurrence
     kinds = work.cut(cells.groupBy(*NAMES).agg(F.count("*").alias("n"), one.alias("one")).select(*NAMES, "n", "one.*"), "kinds")
-    wanted = kinds.groupBy("tid").agg(F.collect_list(F.struct(*NAMES, "n", "anchor", "r_lo", "r_hi")).alias("cells"))  # bounded by the text's length
+    wanted = kinds.groupBy("tid").agg(F.collect_list(F.struct(*NAMES, "n", "place")).alias("cells"))  # bounded by the text's length
     parents = {f"parent_{k}": F.col(k) for k in NAMES}
     contexts = work.cut(_contexts(docs, work.cut(wanted, "wanted"), plan).withColumns(parents), "contexts")
 
@@ -373,7 +407,7 @@ def repeated_starts(docs: DataFrame, work: WorkDir, size: int = SIZE, block: int
     results.append(_sort_buckets(contexts, plan, block))
     found = reduce(DataFrame.unionByName, results)
     found = work.cut(found, "found")
-    return cells.select(*NAMES, "tid", "anchor").join(found.hint("merge"), [*NAMES]).select("tid", (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo")).alias("last"))
+    return cells.select(*NAMES, "tid", F.shiftright("place", 2 * R_BITS).cast("int").alias("anchor")).join(found.hint("merge"), [*NAMES]).select("tid", (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo")).alias("last"))
 
 
 def removed_spans(docs: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:

@@ -20,15 +20,28 @@ def test_block_sort_matches_counts(seed):
     data = np.frombuffer(text.encode(), np.uint8)
     start = np.array(r.sample(range(len(data) - size + 1), 3000))
     count = Counter(text[s : s + size] for s in start.tolist())
-    got = suffix.BlockSort(data, suffix.Plan(size)).repeated(start, r.choice([1, 50, 10**6]))
+    got = suffix.BlockSort(data, start, suffix.Plan(size)).repeated(r.choice([1, 50, 10**6]))
     assert got.tolist() == [count[text[s : s + size]] > 1 for s in start.tolist()]
 
 
+def test_cells_hold_every_window_once():
+    r = random.Random(8)
+    for size in (61, 200):
+        plan = suffix.Plan(size)
+        raw = [("".join(r.choice("abcd ") for _ in range(r.choice([0, 5, size - 1, size, size + 1, 700])))).encode() for _ in range(60)] + [b"z" * 500]
+        data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+        got = suffix._cells(data, at, plan)
+        windows = Counter((int(i), int(a - x)) for i, a, lo, hi in zip(got["row"], got["anchor"], got["r_lo"], got["r_hi"]) for x in range(lo, hi + 1))
+        assert windows == Counter((i, p) for i, b in enumerate(raw) for p in range(len(b) - size + 1))
+        assert all((lo >= plan.half) == (hi >= plan.half) for lo, hi in zip(got["r_lo"], got["r_hi"]))
+        assert (suffix._cells(data, at, plan, False)["key"] == got["key"]).all()
+
+
 def test_cover_and_steps():
     assert {(a - b) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER} == set(range(suffix.PERIOD))
     data = np.frombuffer(b"banana bandana banana band " * 30, np.uint8)
-    sort = suffix.BlockSort(data, suffix.Plan(61))
     at = np.array([p for p in range(len(data) - 61) if p % suffix.PERIOD in suffix.COVER])
+    sort = suffix.BlockSort(data, at, suffix.Plan(61))
     rank, raw = sort.rank_at(at), data.tobytes()
     ordered = sorted(zip(at.tolist(), rank.tolist()), key=lambda x: raw[x[0] : x[0] + 49])
     assert all(a[1] <= b[1] and (a[1] == b[1]) == (raw[a[0] : a[0] + 49] == raw[b[0] : b[0] + 49]) for a, b in zip(ordered, ordered[1:]))
