@@ -49,7 +49,7 @@ GRAM = 16
 #: A difference cover: every remainder modulo PERIOD is the difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Kinds of one key from which it is split; also the kinds that a task sorts at a time.
-BLOCK = 16_384
+BLOCK = 8_192
 #: Suffixes from which a bucket of a block ends, at the next pair of leading bytes.
 BUCKET = 131_072
 
@@ -150,7 +150,7 @@ def _fresh_texts(batches, times: int):
     for batch in batches:
         batch = batch.filter(seen(column(batch, "tid")))
         data, offsets = text_bytes(column(batch, "text"))
-        for i, j, part, at in slices(data, offsets):
+        for i, j, part, at in slices(data, offsets, 1_000_000):
             yield column(batch, "tid").slice(i, j - i), part, at
 
 
