@@ -42,10 +42,12 @@ def bare_key(key: Column) -> Column:
 
 def with_fingerprints(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Rule, file and the flagged line's normal form; without the line where the file cannot be read."""
-    text = files.select("project_id", F.col("path").alias("file"), X.lines(F.col("content")).alias("_lines"))
-    rows = findings.join(text, ["project_id", "file"], "left")
-    line = F.when(F.col("line").isNotNull(), F.try_element_at("_lines", F.col("line")))
-    return rows.withColumn("fingerprint", X.fingerprint(F.col("id"), F.col("file"), X.normal_line(line))).drop("_lines")
+    asked = findings.where("file is not null and line is not null").groupBy("project_id", "file").agg(F.collect_set("line").alias("_asked"))  # a file's lines
+    text = files.select("project_id", F.col("path").alias("file"), "content").join(asked, ["project_id", "file"])
+    # of each flagged file only the flagged lines go on
+    shown = text.select("project_id", "file", "_asked", X.lines(F.col("content")).alias("_all")).select("project_id", "file", F.explode(F.transform("_asked", lambda n: F.struct(n.alias("line"), X.normal_line(F.try_element_at(F.col("_all"), n)).alias("_shown")))).alias("_l"))
+    rows = findings.join(shown.select("project_id", "file", "_l.*"), ["project_id", "file", "line"], "left")
+    return rows.select(*findings.columns, X.fingerprint(F.col("id"), F.col("file"), F.col("_shown")).alias("fingerprint"))
 
 
 def suppression_table(spark: SparkSession, entries: list[dict]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 
+#: Imports that no reader can resolve, and what counts as a file name in other text.
 NONLITERAL = r"""\b(?:import|require)\s*\(\s*[^'")\s]"""
 FILE_TOKEN = r"[\w@./-]+\.(?:ts|tsx|js|jsx|mjs|cjs|mts|cts)\b"
 
@@ -104,7 +105,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         graph = {k: sorted(set(v)) for k, v in pdf.groupby("src")["dst"]}
         found = cycles_of(graph)
-        return pd.DataFrame({"project_id": [key[0]] * len(found), "n": range(len(found)), "members": found})
+        return pd.DataFrame({"project_id": pd.Series([key[0]] * len(found), dtype=object), "n": range(len(found)), "members": pd.Series(found, dtype=object)})
 
     return live.groupBy("project_id").applyInPandas(run, "project_id string, n int, members array<string>")
 

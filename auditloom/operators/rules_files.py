@@ -167,6 +167,7 @@ def docker(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, slim.groupBy("project_id").agg((F.count("*") * 3).cast("int").alias("tenths"))
 
 
+#: What the rules for agent code look for in a line.
 PROMPT = r"(?i)\b(prompt|system|messages?|content|instruction|role|assistant)\b"
 EXTERNAL = r"fetch\s*\(|\.text\(\)|\.html\(|req\.(body|query|params)|response\.data|email(Body|Content|Text|Html)|email\.(body|content|text|html)|(page|web|scraped?|fetched)[A-Z_]?\w*(Content|Text|Html|Body)?|document\.body"
 DESTRUCTIVE = r"""(?i)['"`](?:\w+_)?(delete|remove|drop|destroy|wipe|truncate|kill|terminate)(_\w+)?['"`]"""
@@ -207,6 +208,7 @@ def agentic(files: DataFrame) -> DataFrame:
     return findings(mine, hits, 0)
 
 
+#: Packages that drive a whole program, and folders of tests that do.
 INTEGRATION = ["@modelcontextprotocol/", "supertest", "playwright", "puppeteer", "testcontainers", "@nestjs/testing", "light-my-request"]
 
 
@@ -214,24 +216,33 @@ def is_test(path: Column) -> Column:
     return P.looks_like_test(path) | (P.basename(path).startswith("test_") & path.endswith(".py"))
 
 
+#: Names of the project's own folders in imports, and parts of a path that make an import a helper's.
+OWN_PREFIXES, HELPERS, OTHER_TESTS = ["@/", "src/", "lib/"], ["fixtures", "helpers", "utils/test"], [".test", ".spec"]
+INTEGRATION_FOLDERS = ["/integration/", "/e2e/"]
+
+
 def imports_nothing_tested(content: Column, path: Column) -> Column:
-    """A script test whose imports reach neither the project nor its interfaces."""
-    found = F.regexp_extract_all(content, F.lit(r"""(?:\bfrom|\bimport|\brequire)\s*\(?\s*['"]([^'"]+)['"]"""), F.lit(1))
-    starts = lambda x, prefixes: F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(x, p))
-    outside = F.exists(found, lambda x: starts(x, INTEGRATION))
-    spawns = F.exists(found, lambda x: x.isin("child_process", "node:child_process")) & content.rlike(r"\b(?:fork|spawn|execFile|exec)\s*\(")
-    parent = lambda x: x.startswith("../") & ~x.contains("fixtures") & ~x.contains("helpers") & ~x.contains("utils/test")
-    beside = lambda x: x.startswith("./") & ~x.contains(".test") & ~x.contains(".spec")
-    own = F.exists(found, lambda x: parent(x) | starts(x, ["@/", "src/", "lib/"]) | beside(x))
-    late = F.exists(F.regexp_extract_all(content, F.lit(r"""import\s*\(\s*['"]([^'"]+)['"]\s*\)"""), F.lit(1)), lambda x: starts(x, ["../", "@/", "src/"]))
-    return (F.size(found) == 0) | ~(outside | spawns | path.contains("/integration/") | path.contains("/e2e/") | own | late)
+    """A script test of which no import leads to code under test: neither to a file of the project (up or beside it, but for
+    helpers and other tests, or by one of its own folders' names), nor to a package or process that drives the program."""
+    any_of = lambda values, test: F.exists(F.array(*map(F.lit, values)), test)
+    begins = lambda x, heads: any_of(heads, lambda h: F.startswith(x, h))
+    holds = lambda x, parts: any_of(parts, lambda p: F.contains(x, p))
+    named = F.regexp_extract_all(content, F.lit(r"""(?:\bfrom|\bimport|\brequire)\s*\(?\s*['"]([^'"]+)['"]"""), F.lit(1))
+    dynamic = F.regexp_extract_all(content, F.lit(r"""import\s*\(\s*['"]([^'"]+)['"]\s*\)"""), F.lit(1))
+    process = content.rlike(r"\b(?:fork|spawn|execFile|exec)\s*\(")
+
+    def leads(x: Column) -> Column:
+        up, beside = x.startswith("../") & ~holds(x, HELPERS), x.startswith("./") & ~holds(x, OTHER_TESTS)
+        return up | beside | begins(x, OWN_PREFIXES + INTEGRATION) | (x.isin("child_process", "node:child_process") & process)
+
+    reached = F.exists(named, leads) | F.exists(dynamic, lambda x: begins(x, ["../", "@/", "src/"])) | holds(path, INTEGRATION_FOLDERS)
+    return (F.size(named) == 0) | ~reached
 
 
 def test_files(files: DataFrame) -> DataFrame:
     """Test files with what their rules count: one row each, decorative tests in n_decorative."""
     c = F.col("content")
     mine = files.where(is_test(F.col("path")) & ~P.context(F.col("path")).isin(P.EXCLUDED))
-    bare = X.utf16_length(F.trim(F.regexp_replace(c, r"/\*(?s:.*?)\*/|//.*|#.*", "")))
     bare = X.utf16_length(F.regexp_replace(F.regexp_replace(c, r"/\*(?s:.*?)\*/|//.*|#.*", ""), r"^\s+|\s+\z", ""))
     ext = P.extname(F.col("path"))
     asserts = X.count_matches(c, r"expect\s*\(") + X.count_matches(c, r"assert[\s.(]") + X.count_matches(c, r"toThrow|rejects\.toThrow")

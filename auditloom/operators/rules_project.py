@@ -58,12 +58,17 @@ def languages(files: DataFrame) -> DataFrame:
 
 
 def size_metrics(measured: DataFrame) -> DataFrame:
-    """project_id, path, loc -> totals, median, the largest file, and what share the five largest hold."""
-    rank = F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("loc"), "path"))
-    ranked = measured.withColumn("rn", rank)
-    return ranked.groupBy("project_id").agg(
-        F.sum("loc").alias("total_loc"), F.count("*").alias("n_measured"), F.floor(F.median("loc") + 0.5).cast("long").alias("median_loc"), F.max_by("path", -F.col("rn")).alias("largest"), F.max("loc").alias("largest_loc"),
-        F.floor(100 * F.sum(F.when(F.col("rn") <= 5, F.col("loc")).otherwise(0)) / F.sum("loc") + 0.5).cast("long").alias("top5_pct"),
+    """project_id, path, loc -> totals, median, the largest file, and what share the five largest hold. Files are counted by
+    length first (with partial sums); what is ordered is a project's distinct lengths."""
+    by = measured.groupBy("project_id", "loc").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    project = W.partitionBy("project_id")
+    by = by.withColumns({"upto": F.sum("n").over(project.orderBy(F.desc("loc"))), "total": F.sum("n").over(project)})
+    at = lambda place: F.sum(F.when((F.col("upto") - F.col("n") < place) & (place <= F.col("upto")), F.col("loc")))
+    among = F.greatest(F.lit(0), F.least(F.col("n"), 5 - F.col("upto") + F.col("n")))  # how many of that length are among the five
+    median = (at(F.floor((F.col("total") + 1) / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2
+    return by.groupBy("project_id").agg(
+        F.sum(F.col("loc") * F.col("n")).alias("total_loc"), F.sum("n").alias("n_measured"), F.floor(median + 0.5).cast("long").alias("median_loc"), F.max_by("path", "loc").alias("largest"), F.max("loc").alias("largest_loc"),
+        F.floor(100 * F.sum(F.col("loc") * among) / F.sum(F.col("loc") * F.col("n")) + 0.5).cast("long").alias("top5_pct"),
     )
 
 

@@ -61,16 +61,26 @@ def prompt(unit: dict) -> str:
     cut = content if len(content) <= MAX_PROMPT_CHARS else content[:MAX_PROMPT_CHARS] + "\n[cut]"
     lines = content.split("\n")
     told = [f"- {f['key']} [{f['severity']}] {f['title']}" + (f"\n  > {lines[f['line'] - 1][:200]}" if f.get("line") and f["line"] <= len(lines) else "") for f in unit["findings"]]
-    return "\n".join([f"File: {unit['file'] or '(project)'}", cut, "Findings:", *told])
+    context = [unit["context"]] if unit.get("context") else []
+    return "\n".join([*context, f"File: {unit['file'] or '(project)'}", cut, "Findings:", *told])
 
 
-def units(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a project and file, findings in report order; findings without a file form a unit of their own."""
+def project_context(reports: DataFrame) -> DataFrame:
+    """project_id and context: name, score, and a line for each category, for the units of a project."""
+    each = F.transform("categories", lambda c: F.concat_ws(": ", c["category"], F.concat(c["score"].cast("string"), F.lit("/10 - "), F.coalesce(c["summary"], F.lit("")))))
+    return reports.select(F.col("projectName").alias("project_id"), F.concat_ws("\n", F.concat(F.lit("Project: "), "projectName"), F.concat(F.lit("Overall: "), F.col("overallScore").cast("string"), F.lit("/10")), F.array_join(each, "\n")).alias("context"))
+
+
+def units(findings: DataFrame, files: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """One row a project and file, findings in report order; findings without a file form a unit of their own. context:
+    project_id, context (a row a project)."""
     keyed = with_instances(findings).withColumn("key", finding_key())
     inner = F.struct("ord", "key", "id", "severity", "title", "line")
     grouped = keyed.groupBy("project_id", "file").agg(F.array_sort(F.collect_list(inner)).alias("findings"))  # a file's findings
-    text = files.select("project_id", F.col("path").alias("file"), "content")
-    return grouped.join(text, ["project_id", "file"], "left")
+    flagged = findings.where("file is not null").select("project_id", "file").distinct()
+    text = files.select("project_id", F.col("path").alias("file"), "content").join(flagged, ["project_id", "file"], "left_semi")
+    out = grouped.join(text, ["project_id", "file"], "left")
+    return out.join(context, "project_id", "left") if context is not None else out.withColumn("context", F.lit(None).cast("string"))
 
 
 def ask(units_: DataFrame, client: Client, what: str = "triage", concurrency: int = 5, voter: int = 0) -> DataFrame:
@@ -80,7 +90,7 @@ def ask(units_: DataFrame, client: Client, what: str = "triage", concurrency: in
         for pdf in batches:
             rows = []
             for row in pdf.itertuples():
-                unit = {"file": row.file, "content": row.content or "", "findings": [dict(f) for f in row.findings]}
+                unit = {"file": row.file, "content": row.content or "", "context": getattr(row, "context", None), "findings": [dict(f) for f in row.findings]}
                 try:
                     for seq, v in enumerate(getattr(client, what)(unit)):
                         rows.append((seq, row.project_id, voter, str(v.get("finding_key")), v.get("classification"), float(v.get("confidence") or 0), str(v.get("reasoning") or ""), v.get("fix"), v.get("effort"), False))
@@ -119,10 +129,10 @@ def tally(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("project_id").agg(*(F.count_if(F.col("classification") == k).alias(k.replace("-", "_")) for k in CLASSES))
 
 
-def run_triage(findings: DataFrame, files: DataFrame, client: Client, verifiers: list[Client] | None = None, verify: bool = True, concurrency: int = 5) -> DataFrame:
+def run_triage(findings: DataFrame, files: DataFrame, client: Client, verifiers: list[Client] | None = None, verify: bool = True, concurrency: int = 5, context: DataFrame | None = None) -> DataFrame:
     """project_id, finding_key, classification, confidence, reasoning. False positives of the first pass are looked at
     again by every verifier, and the panel's vote replaces them. Raises where every unit failed."""
-    work = units(findings, files).persist()
+    work = units(findings, files, context).persist()
     keyed = work.select("project_id", F.explode("findings").alias("f")).select("project_id", F.col("f.key").alias("finding_key"))
     first = ask(work, client, concurrency=concurrency).persist()
     n, failed = first.select("project_id", "failed").agg(F.count("*"), F.count_if("failed")).first()
@@ -133,7 +143,7 @@ def run_triage(findings: DataFrame, files: DataFrame, client: Client, verifiers:
         return verdicts
     doubted = verdicts.where("classification = 'false-positive'").select("project_id", "finding_key")
     again = work.withColumn("f", F.explode("findings")).withColumn("finding_key", F.col("f.key")).join(doubted, ["project_id", "finding_key"], "left_semi")
-    again = again.groupBy("project_id", "file", "content").agg(F.array_sort(F.collect_list("f")).alias("findings"))
+    again = again.groupBy("project_id", "file", "content", "context").agg(F.array_sort(F.collect_list("f")).alias("findings"))
     votes = None
     for k, voter in enumerate(verifiers or [client]):
         asked = ask(again, voter, "verify", concurrency, k)

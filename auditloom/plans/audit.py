@@ -27,9 +27,16 @@ class Audit:
     scores: DataFrame
     overall: DataFrame
     overflow: DataFrame | None = None
+    paths: dict[str, str] | None = None
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Let go of what is kept in memory, when nothing of the audit is read any more."""
+        for df in self.held:
+            df.unpersist()
 
     def reports(self) -> DataFrame:
-        return render.reports(self.scores, self.overall, self.findings, __version__)
+        return render.reports(self.scores, self.overall, self.findings, __version__, self.paths)
 
 
 def all_findings(files: DataFrame, meta: DataFrame, categories=CATEGORIES, dirs=None, advisories=None, branches=None) -> tuple[DataFrame, DataFrame]:
@@ -72,11 +79,16 @@ def all_findings(files: DataFrame, meta: DataFrame, categories=CATEGORIES, dirs=
     return found, earned
 
 
-def run_audit(files: DataFrame, categories=CATEGORIES, suppressions: list[dict] | None = None, dirs=None, advisories=None, branches=None) -> Audit:
-    """files: project_id, path, size, content. Everything stays lazy but the table of findings, which is kept once."""
+def run_audit(files: DataFrame, categories=CATEGORIES, suppressions: list[dict] | None = None, dirs=None, advisories=None, branches=None, isolate: bool = False) -> Audit:
+    """files: project_id, path, size, content. Everything stays lazy but the table of findings, which is kept once. With `isolate`
+    each category is an action of its own; one that fails scores 0 and leaves a finding that says so, in every project."""
     spark = files.sparkSession
     meta = RP.project_meta(files)
-    found, earned = all_findings(files, meta, categories, dirs, advisories, branches)
+    held: list[DataFrame] = []
+    if isolate:
+        found, earned = run_isolated(files, meta, held, categories, dirs, advisories, branches)
+    else:
+        found, earned = all_findings(files, meta, categories, dirs, advisories, branches)
     found = A.with_ordinal(found).persist()
     hidden, stale, refund = found.limit(0), None, None
     if suppressions:
@@ -89,18 +101,26 @@ def run_audit(files: DataFrame, categories=CATEGORIES, suppressions: list[dict]
     scores = A.category_scores(files.select("project_id"), found, earned, categories, refund)
     kept = A.with_fingerprints(A.with_instances(found_kept), files)
     overflow = RP.structure_overflow(files) if "structure" in categories else None
-    return Audit(meta, kept, hidden, stale, scores, A.overall_score(scores), overflow)
+    return Audit(meta, kept, hidden, stale, scores, A.overall_score(scores), overflow, held=(*held, found))
 
 
-def run_isolated(files: DataFrame, categories=CATEGORIES, **kw) -> tuple[DataFrame, dict[str, str]]:
-    """Findings by one action a category, so one that fails leaves the others; failures by category, whose score is 0."""
-    out, failed = files.sparkSession.createDataFrame([], FINDINGS), {}
-    meta = RP.project_meta(files).persist()
+def run_isolated(files: DataFrame, meta: DataFrame, held: list[DataFrame], categories=CATEGORIES, dirs=None, advisories=None, branches=None) -> tuple[DataFrame, DataFrame]:
+    """What `all_findings` gives, by one action a category. The rows of a category that fails are one finding a project. held
+    gets what is kept in memory."""
+    spark, meta = files.sparkSession, meta.persist()
+    held.append(meta)
+    found, earned = all_findings(files, meta, ())
     for category in categories:
         try:
-            rows = all_findings(files, meta, (category,), **kw)[0].persist()
-            rows.count()
-            out = out.unionByName(rows)
+            rows, more = (x.persist() for x in all_findings(files, meta, (category,), dirs, advisories, branches))
+            held += [rows, more]
+            rows.count(), more.count()
         except Exception as why:
-            failed[category] = f"{category.upper()}-ERROR: {type(why).__name__}"
-    return out, failed
+            note, name = type(why).__name__, f"{category.upper()}-ERROR"
+            row = {"category": category, "analyzer": CATEGORIES.index(category), "phase": 0, "file_ord": None, "seq": 0, "id": name, "severity": "high", "title": f"The {category} rules failed", "file": None, "line": None, "penalty": 0, "note": note}
+            schema = spark.createDataFrame([], FINDINGS).schema
+            ids = files.select("project_id").distinct()
+            rows = ids.select("project_id", *(F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "project_id"))
+            more = ids.select("project_id", F.lit(category).alias("category"), F.lit(0).alias("tenths"), F.lit(0).alias("fixed"))
+        found, earned = found.unionByName(rows), earned.unionByName(more)
+    return found, earned

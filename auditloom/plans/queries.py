@@ -19,9 +19,10 @@ from ..operators import graph as G
 from ..operators import rules_project as RP
 from ..operators import triage as TR
 from ..schema import REFUND_TENTHS, SEVERITIES, lookup
+from . import trees
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(trees.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(trees.ORACLE_SQL)
 
 
 def query(sql: str | None):
@@ -101,18 +102,6 @@ def language_histogram(spark, sf):
     return RP.languages(named).select("project_id", lookup(back, F.col("primary")).alias("primary_lang"), (F.size("secondary") + 1).cast("long").alias("n_langs"))
 
 
-_ENV = r"""(?i)(?:TOKEN|SECRET|KEY|PASS|CREDENTIALS)\s*=\s*["'][A-Za-z0-9_\-/+=]{16,}["']"""
-
-
-@query(rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)
-SELECT doc_id, n::INTEGER AS line FROM l WHERE regexp_matches(line, '{_ENV.replace("'", "''")}')""")
-def line_rule_env_value(spark, sf):
-    """A line rule with a pattern as a parameter: here without regard to case, as no credential of the strict form occurs."""
-    d = _table(spark, sf, "documents").where(F.col("text").rlike(_ENV))
-    return d.select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("n", "t")).where(F.col("t").rlike(_ENV)).select("doc_id", (F.col("n") + 1).alias("line"))
-
-
 @query("""
 WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_/+=-]{20,}')) AS token FROM documents),
 c AS (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM t)
@@ -141,11 +130,11 @@ def line_fingerprints(spark, sf):
 def _runs(spark, sf):
     """Words of a project's documents as findings of two runs: odd documents before, even ones now."""
     d = _table(spark, sf, "documents")
-    rows = d.select(F.col("source").alias("project_id"), "doc_id", F.explode(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 30))).alias("fingerprint"))
+    rows = d.select(F.col("source").alias("project_id"), "doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("fingerprint"))
     return rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")
 
 
-_RUNS = """r AS (SELECT DISTINCT source AS project_id, doc_id, unnest(string_split(lower(text), ' ')[1:30]) AS fingerprint FROM documents),
+_RUNS = """r AS (SELECT DISTINCT source AS project_id, doc_id, unnest(string_split(lower(text), ' ')) AS fingerprint FROM documents),
 cur AS (SELECT * FROM r WHERE doc_id % 2 = 0), base AS (SELECT * FROM r WHERE doc_id % 2 = 1)"""
 
 
@@ -263,11 +252,14 @@ def verdict_alignment(spark, sf):
     return TR.align(keyed, given).select("doc_id", "classification", "confidence")
 
 
-@query("SELECT conv_id, string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn) AS unit, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, role, count(*) AS n, string_agg('TURN|' || role || '|' || turn::VARCHAR, ',' ORDER BY turn) AS keys, max(length(coalesce(text, '')))::BIGINT AS longest FROM conversations GROUP BY conv_id, role""")
 def triage_units(spark, sf):
-    c = _table(spark, sf, "conversations").select("conv_id", F.struct("turn", F.concat("role", F.lit(":"), F.coalesce("text", F.lit(""))).alias("t")).alias("s"))
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("a"), F.count("*").alias("n"))
-    return g.select("conv_id", F.array_join(F.transform("a", lambda s: s["t"]), "\n").alias("unit"), "n")
+    """Turns as findings, a role's as those of one file: units hold a file's findings in order, with keys and content."""
+    c = _table(spark, sf, "conversations").withColumn("project_id", F.col("conv_id").cast("string"))
+    found = c.select("project_id", F.lit("TURN").alias("id"), F.lit("low").alias("severity"), F.lit("t").alias("title"), F.col("role").alias("file"), F.col("turn").cast("int").alias("line"), F.col("turn").cast("int").alias("ord"))
+    files = c.groupBy("project_id", F.col("role").alias("path")).agg(F.max(F.length(F.coalesce("text", F.lit("")))).cast("string").alias("content"))
+    units = TR.units(found, files)
+    return units.select(F.col("project_id").cast("long").alias("conv_id"), F.col("file").alias("role"), F.size("findings").cast("long").alias("n"), F.array_join(F.transform("findings", lambda f: f["key"]), ",").alias("keys"), F.col("content").cast("long").alias("longest"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, (doc_id % 9 + 1) AS n FROM documents)
@@ -304,8 +296,10 @@ def scc_nation_graph(spark, sf):
        count(*) FILTER (NOT contains(p_name, '-') AND NOT contains(p_name, '_') AND NOT regexp_matches(p_name, '^[A-Z][a-zA-Z0-9]*$') AND NOT regexp_matches(p_name, '^[a-z][a-zA-Z0-9]*[A-Z]') AND NOT regexp_matches(p_name, '^[a-z][a-z0-9]*$')) AS other
 FROM part GROUP BY p_brand""")
 def naming_style(spark, sf):
-    n = F.col("p_name")
-    return _table(spark, sf, "part").groupBy("p_brand").agg(F.count_if(n.contains("-")).alias("kebab"), F.count_if(n.rlike("[a-z][A-Z]")).alias("camel"), F.count_if(n.contains("_") & ~n.startswith("_")).alias("snake"), F.count_if(X.naming_style(n) == "other").alias("other"))
+    p = _table(spark, sf, "part").select("p_brand", F.col("p_name"))
+    files = p.select(F.col("p_brand").alias("project_id"), F.concat("p_name", F.lit(".ts")).alias("path"), F.lit("").alias("content"))
+    other = p.groupBy(F.col("p_brand").alias("project_id")).agg(F.count_if(X.naming_style(F.col("p_name")) == "other").alias("other"))
+    return RP.project_meta(files).select("project_id", "kebab", "camel", "snake").join(other, "project_id").withColumnRenamed("project_id", "p_brand")
 
 
 @query("""WITH l AS (SELECT source, list_bool_or(list_transform(string_split(html, '>'), lambda x: starts_with(x, chr(9)))) AS t, list_bool_or(list_transform(string_split(html, '>'), lambda x: starts_with(x, '  '))) AS s
@@ -341,8 +335,9 @@ def resolve_candidates(spark, sf):
 
 @query(f"WITH {_FIND} SELECT ord, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, ord)::INTEGER AS place FROM findings")
 def report_order(spark, sf):
-    f = _findings(spark, sf)
-    return f.select("ord", F.row_number().over(W.partitionBy("project_id").orderBy(A.severity_order(F.col("severity")), "ord")).alias("place"))
+    f = _findings(spark, sf).withColumnRenamed("ord", "event")
+    placed = A.with_ordinal(f.withColumns({"analyzer": F.lit(0), "phase": F.lit(0), "file_ord": F.lit(""), "seq": F.col("event")}))
+    return placed.select(F.col("event").alias("ord"), F.col("ord").alias("place"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(p, '(^|/)(dist|build|out|gen)/') THEN 'generated' WHEN regexp_matches(p, '(^|/)(vendor|external)/') THEN 'vendor'

@@ -11,17 +11,31 @@ from ..schema import CATEGORIES, RULES, SARIF_LEVEL, SARIF_SCORE, lookup
 TOOL = "auditloom"
 
 
-def reports(scores: DataFrame, overall: DataFrame, findings: DataFrame, version: str) -> DataFrame:
-    """One row a project: overall score, categories in order, findings in report order with instance and advice."""
+#: What the summary of the agent rules calls each of them.
+AGENT_RISKS = {"AGT-001": "shell-injection", "AGT-002": "secret-in-prompt", "AGT-003": "unconfirmed-destructive-tool", "AGT-004": "external-content-in-prompt", "AGT-005": "public-mcp-bind", "AGT-006": "fail-open-gate"}
+
+
+def summaries(findings: DataFrame) -> DataFrame:
+    """project_id, category, summary of categories with findings: their number, and for the agent rules that of each."""
+    per = findings.groupBy("project_id", "category").agg(F.count("*").alias("n"), *(F.count_if(F.col("id") == i).alias(i) for i in AGENT_RISKS))
+    parts = F.concat_ws(", ", *(F.when(F.col(f"`{i}`") > 0, F.concat(F.col(f"`{i}`").cast("string"), F.lit(f" {name}"))) for i, name in AGENT_RISKS.items()))
+    plain = F.concat(F.col("n").cast("string"), F.lit(" findings"))
+    return per.select("project_id", "category", F.when(F.col("category") == "agentic", F.concat(F.col("n").cast("string"), F.lit(" agent-specific risk(s): "), parts)).otherwise(plain).alias("summary"))
+
+
+def reports(scores: DataFrame, overall: DataFrame, findings: DataFrame, version: str, paths: dict[str, str] | None = None) -> DataFrame:
+    """One row a project: overall score, categories in order, findings in report order with instance and advice. paths: where
+    a project's tree lies, where that is known."""
+    scores = scores.join(summaries(findings), ["project_id", "category"], "left").withColumn("summary", F.coalesce("summary", F.lit("no findings")))
     inner = F.struct("ord", "id", "category", "severity", "title", "file", "line", "instance", "note", lookup({k: r.advice for k, r in RULES.items()}, F.col("id")).alias("suggestion"), "fingerprint")
     listed = findings.groupBy("project_id").agg(F.array_sort(F.collect_list(inner)).alias("findings"))  # a project's findings: what a report holds
     order = lookup({c: i for i, c in enumerate(CATEGORIES)}, F.col("category"))
-    cats = scores.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "category", (F.col("tenths") / 10).alias("score")))).alias("categories"))
+    cats = scores.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "category", (F.col("tenths") / 10).alias("score"), "summary"))).alias("categories"))
     out = overall.join(cats, "project_id").join(listed, "project_id", "left")
     none = F.lit(None).cast(listed.schema["findings"].dataType)
     return out.select(
-        F.col("project_id").alias("projectName"), F.lit(version).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completedAt"), F.col("overall").alias("overallScore"),
-        F.transform("categories", lambda c: F.struct(c["category"].alias("category"), c["score"].alias("score"))).alias("categories"), F.coalesce("findings", F.filter(none, lambda x: F.lit(False)), F.array().cast(listed.schema["findings"].dataType)).alias("findings"),
+        F.col("project_id").alias("projectName"), (lookup(paths, F.col("project_id")) if paths else F.lit(None).cast("string")).alias("projectPath"), F.lit(version).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completedAt"), F.col("overall").alias("overallScore"),
+        F.transform("categories", lambda c: F.struct(c["category"].alias("category"), c["score"].alias("score"), c["summary"].alias("summary"))).alias("categories"), F.coalesce("findings", F.filter(none, lambda x: F.lit(False)), F.array().cast(listed.schema["findings"].dataType)).alias("findings"),
     )
 
 
@@ -78,12 +92,21 @@ def band(score: Column) -> Column:
     return F.when(score >= 8, "good").when(score >= 6, "fair").when(score >= 4, "poor").otherwise("bad")
 
 
+def verdict_of(df: DataFrame, x: Column) -> Column:
+    """A finding's verdict and fix as text, null where the report has none."""
+    if "verdicts" not in df.columns:
+        return F.lit(None).cast("string")
+    key = F.concat(F.concat_ws("|", x["id"], F.coalesce(x["file"], F.lit("")), F.coalesce(x["line"].cast("string"), F.lit(""))), F.when(x["instance"] > 0, F.concat(F.lit("#"), x["instance"].cast("string"))).otherwise(""))
+    of = lambda name: F.try_element_at(F.filter(name, lambda v: v["findingKey"] == key), F.lit(1))
+    return F.concat(of("verdicts")["classification"], F.coalesce(F.concat(F.lit("; fix: "), of("remediations")["fix"]), F.lit("")))
+
+
 def to_html(df: DataFrame) -> DataFrame:
     """One self-contained page a project, every value escaped."""
     esc = escape_xml
     text = lambda c: c.cast("string")
     cats = F.transform("categories", lambda c: F.concat(F.lit('<tr class="'), band(c["score"]), F.lit('"><td>'), esc(c["category"]), F.lit("</td><td>"), text(c["score"]), F.lit("</td></tr>")))
-    rows = F.transform("findings", lambda x: F.concat(F.lit('<li class="'), esc(x["severity"]), F.lit('"><b>'), esc(x["id"]), F.lit("</b> "), esc(x["title"]), F.lit(" <code>"), esc(F.concat_ws(":", x["file"], text(x["line"]))), F.lit("</code><p>"), esc(F.coalesce(x["suggestion"], F.lit(""))), F.lit("</p></li>")))
+    rows = F.transform("findings", lambda x: F.concat(F.lit('<li class="'), esc(x["severity"]), F.lit('"><b>'), esc(x["id"]), F.lit("</b> "), esc(x["title"]), F.lit(" <code>"), esc(F.concat_ws(":", x["file"], text(x["line"]))), F.lit("</code><p>"), esc(F.coalesce(x["suggestion"], F.lit(""))), F.lit("</p>"), F.coalesce(F.concat(F.lit("<p>"), esc(verdict_of(df, x)), F.lit("</p>")), F.lit("")), F.lit("</li>")))
     style = "body{font:14px sans-serif;max-width:60em;margin:auto}.good{color:#070}.fair{color:#770}.poor{color:#a50}.bad,.critical{color:#a00}"
     page = F.concat(
         F.lit(f'<!DOCTYPE html><html><head><meta charset="utf-8"><style>{style}</style><title>'), esc(F.col("projectName")), F.lit("</title></head><body><h1>"), esc(F.col("projectName")), F.lit('</h1><p class="'), band(F.col("overallScore")),
@@ -95,6 +118,6 @@ def to_html(df: DataFrame) -> DataFrame:
 def to_text(df: DataFrame, width: int = 20) -> DataFrame:
     """Plain report: a bar for each category, then findings in order."""
     bar = lambda c: F.concat(F.rpad(c["category"], 14, " "), F.repeat(F.lit("#"), (c["score"] * width / 10).cast("int")), F.repeat(F.lit("."), width - (c["score"] * width / 10).cast("int")), F.lit(" "), c["score"].cast("string"))
-    row = lambda x: F.concat(F.lit("["), x["severity"], F.lit("] "), x["id"], F.lit(" "), x["title"], F.lit(" "), F.concat_ws(":", x["file"], x["line"].cast("string")))
+    row = lambda x: F.concat(F.lit("["), x["severity"], F.lit("] "), x["id"], F.lit(" "), x["title"], F.lit(" "), F.concat_ws(":", x["file"], x["line"].cast("string")), F.coalesce(F.concat(F.lit(" ("), verdict_of(df, x), F.lit(")")), F.lit("")))
     head = F.concat(F.col("projectName"), F.lit("  "), F.col("overallScore").cast("string"), F.lit("/10"))
     return df.select("projectName", F.concat_ws("\n", head, F.array_join(F.transform("categories", bar), "\n"), F.array_join(F.transform("findings", row), "\n")).alias("text"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+import shutil
 import subprocess
 import tempfile
 import zipfile
@@ -136,11 +138,21 @@ def local_branches(root: str) -> list[str]:
 
 
 def baseline_files(spark: SparkSession, root: str, ref: str, project_id: str | None = None) -> DataFrame:
-    """The same tree at a commit, from a worktree of its own."""
+    """The same tree at a commit, from a worktree of its own, which is gone again when the files are read."""
     if ref.startswith("-"):
         raise ValueError(f"unsafe reference: {ref}")
-    to = os.path.join(tempfile.mkdtemp(prefix="auditloom-base-"), "tree")
-    top = subprocess.run(["git", "-C", root, "rev-parse", "--show-toplevel"], check=True, capture_output=True, text=True).stdout.strip()
-    subprocess.run(["git", "-C", root, "worktree", "add", "--detach", to, ref], check=True, timeout=60, capture_output=True)
-    inner = os.path.relpath(os.path.realpath(root), os.path.realpath(top))
-    return scan_project(spark, os.path.normpath(os.path.join(to, inner)), project_id or os.path.basename(os.path.abspath(root)))
+    parent = tempfile.mkdtemp(prefix="auditloom-base-")
+    to = os.path.join(parent, "tree")
+    git = lambda *args: subprocess.run(["git", "-C", root, *args], check=True, timeout=60, capture_output=True, text=True).stdout.strip()
+    try:
+        inner = os.path.relpath(os.path.realpath(root), os.path.realpath(git("rev-parse", "--show-toplevel")))
+        git("worktree", "add", "--detach", to, ref)
+    except (subprocess.SubprocessError, OSError):
+        shutil.rmtree(parent, ignore_errors=True)
+        raise ValueError(f"{ref} is neither a saved report nor a commit of {root}") from None
+    try:
+        return scan_project(spark, os.path.normpath(os.path.join(to, inner)), project_id or os.path.basename(os.path.abspath(root)))
+    finally:
+        with contextlib.suppress(subprocess.SubprocessError, OSError):
+            git("worktree", "remove", "--force", to)
+        shutil.rmtree(parent, ignore_errors=True)

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from ..schema import CATEGORIES, SEVERITIES
 
 FINDING = "id string, category string, severity string, title string, file string, line int, instance int, note string, suggestion string, fingerprint string"
-REPORT = f"projectName string, projectPath string, completedAt string, version string, overallScore double, categories array<struct<category:string,score:double>>, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>"
+REPORT = (
+    f"projectName string, projectPath string, completedAt string, version string, overallScore double, categories array<struct<category:string,score:double,summary:string>>, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>, "
+    "verdicts array<struct<findingKey:string,classification:string,confidence:double,reasoning:string>>, remediations array<struct<findingKey:string,fix:string,effort:string>>, aiSummary string"
+)
 CONFIG_NAMES = ("audit.config.json", ".auditrc.json")
 
 
