@@ -24,8 +24,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work tables of a stage go as soon as its result is written; the last stage's stay, as its result is read from them."""
     work = WorkDir(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = work.cut(stage(spark, docs, sf_dir), name)
+        opened = len(WorkDir.opened)
+        before, docs = docs, work.cut(stage(spark, docs, sf_dir), name)
+        WorkDir.drop_since(opened)
+        if name != STAGES[0][0]:
+            work.free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
