@@ -206,14 +206,12 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, **kw) -> li
     """Learn from at most `max_rows` labelled rows, those with the smallest hash of doc_id."""
     one = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     of = features()
-    rows = (
-        stats.join(one, "doc_id")
-        .where(~base_failed())
-        .select("doc_id", "quality", *(c.alias(k) for k, c in of.items()))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *of)
-        .limit(max_rows)
-        .toPandas()
-    )
+    known = stats.join(one, "doc_id").where(~base_failed()).select("doc_id", "quality", *(c.alias(k) for k, c in of.items())).withColumn("_hash", F.xxhash64("doc_id"))
+    # hashes are even, so the smallest lie below twice their share: tasks send the driver no more than that, however many they are
+    n = known.count()
+    if n > max_rows:
+        known = known.where(F.col("_hash") < F.lit(int(-(2**63) + min(1.0, 2 * max_rows / n) * (2**64 - 1)) if 2 * max_rows < n else 2**63 - 1))
+    rows = known.orderBy("_hash", "doc_id", *of).limit(max_rows).drop("_hash").toPandas()
     if not len(rows):
         return []
     fold = (K.mix(rows["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(3)).astype(int)
