@@ -87,6 +87,20 @@ def escape_xml(text: Column) -> Column:
     return text
 
 
+def wrap_text(text: Column, width: int) -> Column:
+    """Lines of at most `width` characters, broken between words; a longer word is a line of its own, and breaks stay."""
+
+    def add(line_of: Column, word: Column) -> Column:
+        line, done = line_of["line"], line_of["done"]
+        full = (F.length(line) > 0) & (F.length(line) + F.length(word) + 1 > width)
+        longer = F.when(F.length(line) > 0, F.concat(line, F.lit(" "), word)).otherwise(word)
+        return F.struct(F.when(full, F.concat(done, F.array(line))).otherwise(done).alias("done"), F.when(full, word).otherwise(longer).alias("line"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    paragraph = lambda p: F.aggregate(F.split(p, r"\s+", -1), start, add, lambda end: F.concat(end["done"], F.array(end["line"])))
+    return F.flatten(F.transform(F.split(text, "\n", -1), paragraph))
+
+
 def version_parts(version: Column) -> Column:
     """Numbers of a dotted version; a leading v and what follows a dash go."""
     core = F.split(F.regexp_replace(version, r"^v|[-+].*$", ""), r"\.")

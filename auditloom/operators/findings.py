@@ -87,6 +87,19 @@ def stale(matched: DataFrame, suppressions: DataFrame) -> DataFrame:
     return suppressions.join(matched.select(F.col("seq_hit").alias("seq")).where("seq is not null").distinct(), "seq", "left_anti")
 
 
+def suppression_warnings(projects: DataFrame, matched: DataFrame, given: DataFrame, rules: DataFrame) -> DataFrame:
+    """project_id and warnings: which suppressions have expired, and which of the active ones (rules) fit no finding of the
+    project. The table of suppressions is configuration: each project meets its few rows."""
+    fits = matched.where("seq_hit is not null").groupBy("project_id").agg(F.collect_set("seq_hit").alias("_hit"))  # of a few suppressions
+    of = given.join(rules.select("seq", F.lit(True).alias("_on")), "seq", "left")
+    name = F.concat(F.lit("suppression of "), "rule", F.coalesce(F.concat(F.lit(" in "), "file"), F.lit("")))
+    every = of.agg(F.array_sort(F.collect_list(F.struct("seq", name.alias("name"), F.coalesce("_on", F.lit(False)).alias("on"), F.col("expires").cast("string").alias("expires")))).alias("all")).first()["all"]
+    asked = F.array(*(F.struct(*(F.lit(x[k]).cast(t).alias(k) for k, t in (("seq", "int"), ("name", "string"), ("on", "boolean"), ("expires", "string")))) for x in every))
+    idle = F.filter(asked, lambda s: ~s["on"] | ~F.array_contains(F.coalesce("_hit", F.array().cast("array<int>")), s["seq"]))
+    told = F.transform(idle, lambda s: F.when(s["on"], F.concat(s["name"], F.lit(" fits no finding"))).otherwise(F.concat(s["name"], F.lit(" expired on "), s["expires"])))
+    return projects.join(fits, "project_id", "left").select("project_id", told.alias("warnings"))
+
+
 def new_findings(current: DataFrame, baseline: DataFrame, key: Column | None = None) -> DataFrame:
     """Findings whose fingerprint the baseline does not hold; repeats stay."""
     key = F.coalesce("fingerprint", finding_key(False)) if key is None else key

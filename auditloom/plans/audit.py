@@ -11,7 +11,7 @@ from .. import __version__
 from ..operators import findings as A
 from ..operators import rules_files as RF
 from ..operators import rules_project as RP
-from ..schema import CATEGORIES, FINDINGS
+from ..schema import CATEGORIES, FINDINGS, lookup
 from ..sinks import render
 
 
@@ -28,6 +28,7 @@ class Audit:
     overall: DataFrame
     overflow: DataFrame | None = None
     paths: dict[str, str] | None = None
+    warnings: DataFrame | None = None
     held: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
@@ -36,7 +37,22 @@ class Audit:
             df.unpersist()
 
     def reports(self) -> DataFrame:
-        return render.reports(self.scores, self.overall, self.findings, __version__, self.paths)
+        """Beside findings and scores: what is suppressed and why, warnings, and what caps left out. The last is asked for only
+        where a rule has reached its cap, as only then can there be any."""
+        where = F.struct("ord", "id", "file", "line", "reason")
+        told = F.transform(F.array_sort(F.collect_list(where)), lambda x: F.struct(x["id"].alias("id"), x["file"].alias("file"), x["line"].alias("line"), x["reason"].alias("reason")))  # a project's findings
+        hidden = self.suppressed.groupBy("project_id").agg(told.alias("suppressed")) if "reason" in self.suppressed.columns else None
+        return render.reports(self.scores, self.overall, self.findings, __version__, self.paths, {"suppressed": hidden, "warnings": self.warnings, "omitted": self.omitted()})
+
+    def omitted(self) -> DataFrame | None:
+        """project_id and, by rule, the number of findings beyond its cap; None where no rule has reached one."""
+        if self.overflow is None:
+            return None
+        cap = lookup(RP.MAX_FINDINGS, F.col("id"))
+        found = self.findings.select("project_id", "id").unionByName(self.suppressed.select("project_id", "id"))
+        if not found.groupBy("project_id", "id").count().where(F.col("count") >= cap).take(1):
+            return None
+        return self.overflow.where("n_cut > 0").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("id", F.col("n_cut").alias("n")))).alias("omitted"))
 
 
 def all_findings(files: DataFrame, meta: DataFrame, categories=CATEGORIES, dirs=None, advisories=None, branches=None) -> tuple[DataFrame, DataFrame]:
@@ -90,18 +106,20 @@ def run_audit(files: DataFrame, categories=CATEGORIES, suppressions: list[dict]
     else:
         found, earned = all_findings(files, meta, categories, dirs, advisories, branches)
     found = A.with_ordinal(found).persist()
-    hidden, stale, refund = found.limit(0), None, None
+    hidden, stale, refund, warnings = found.limit(0), None, None, None
     if suppressions:
-        rules = A.active(A.suppression_table(spark, suppressions))
+        given = A.suppression_table(spark, suppressions)
+        rules = A.active(given)
         matched = A.match_suppressions(found, rules)
         hidden, refund, stale = matched.where("seq_hit is not null"), A.refunds(matched), A.stale(matched, rules)
+        warnings = A.suppression_warnings(files.select("project_id").distinct(), matched, given, rules)
         found_kept = matched.where("seq_hit is null").drop("seq_hit", "reason")
     else:
         found_kept = found
     scores = A.category_scores(files.select("project_id"), found, earned, categories, refund)
     kept = A.with_fingerprints(A.with_instances(found_kept), files)
     overflow = RP.structure_overflow(files) if "structure" in categories else None
-    return Audit(meta, kept, hidden, stale, scores, A.overall_score(scores), overflow, held=(*held, found))
+    return Audit(meta, kept, hidden, stale, scores, A.overall_score(scores), overflow, warnings=warnings, held=(*held, found))
 
 
 def run_isolated(files: DataFrame, meta: DataFrame, held: list[DataFrame], categories=CATEGORIES, dirs=None, advisories=None, branches=None) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Commands: analyze, scan, diff, finding, triage, doctor, init. Exit codes: 0 passed, 1 gate failed or findings added, 2 bad input."""
+"""Commands: analyze, scan, diff, finding, triage, dashboard, agent, doctor, init. Exit codes: 0 passed, 1 gate failed or findings added, 2 bad input."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from ..operators import findings as A
 from ..operators import triage as T
 from ..operators.rules_project import project_meta
 from ..schema import CATEGORIES
-from ..sinks import render
+from ..sinks import agents, render
+from ..sinks import dashboard as D
 from ..sources import projects, reports
 from .audit import run_audit
 
@@ -128,6 +129,23 @@ def triage(spark: SparkSession, args) -> int:
     return 0
 
 
+def dashboard(spark: SparkSession, args) -> int:
+    """Serves until it is interrupted."""
+    with D.server(spark, args.folder, args.port) as served:
+        print(f"http://127.0.0.1:{served.server_address[1]}/", flush=True)
+        try:
+            served.serve_forever()
+        except KeyboardInterrupt:
+            pass
+    return 0
+
+
+def agent(spark: SparkSession | None, args) -> int:
+    path, new = agents.install(args.target, args.folder, args.min_score)
+    print(f"{'created' if new else 'updated'} {path}")
+    return 0
+
+
 def doctor(spark: SparkSession | None, args) -> int:
     checks = {"java": bool(shutil.which("java")), "git": bool(shutil.which("git")), "writable": os.access(os.getcwd(), os.W_OK), "python": sys.version_info >= (3, 10)}
     print(json.dumps(checks, indent=2))
@@ -170,11 +188,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     t.add_argument("--no-verify", action="store_true")
     t.add_argument("--concurrency", type=int, default=5)
     t.add_argument("--dry-run", action="store_true")
+    b = sub.add_parser("dashboard")
+    b.add_argument("folder", nargs="?", default=".")
+    b.add_argument("--port", type=int, default=8642)
+    g = sub.add_parser("agent")
+    g.add_argument("action", choices=["install"])
+    g.add_argument("target")
+    g.add_argument("folder", nargs="?", default=".")
+    g.add_argument("--min-score", type=float, default=6.0)
     sub.add_parser("doctor")
     sub.add_parser("init").add_argument("target", nargs="?", default=".")
     args = top.parse_args(argv)
-    command = {"analyze": analyze, "scan": scan, "diff": diff, "finding": finding, "triage": triage, "doctor": doctor, "init": init}[args.command]
-    needs = args.command not in ("doctor", "init")
+    command = {"analyze": analyze, "scan": scan, "diff": diff, "finding": finding, "triage": triage, "dashboard": dashboard, "agent": agent, "doctor": doctor, "init": init}[args.command]
+    needs = args.command not in ("agent", "doctor", "init")
     try:
         return command(spark or (SparkSession.builder.appName("auditloom").getOrCreate() if needs else None), args)
     except (ValueError, FileNotFoundError) as why:

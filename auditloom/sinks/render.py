@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_xml
-from ..schema import CATEGORIES, RULES, SARIF_LEVEL, SARIF_SCORE, lookup
+from ..functions.text import escape_xml, wrap_text
+from ..schema import CATEGORIES, RULES, SARIF_LEVEL, SARIF_SCORE, SEVERITIES, lookup
 
 TOOL = "auditloom"
 
@@ -23,9 +23,9 @@ def summaries(findings: DataFrame) -> DataFrame:
     return per.select("project_id", "category", F.when(F.col("category") == "agentic", F.concat(F.col("n").cast("string"), F.lit(" agent-specific risk(s): "), parts)).otherwise(plain).alias("summary"))
 
 
-def reports(scores: DataFrame, overall: DataFrame, findings: DataFrame, version: str, paths: dict[str, str] | None = None) -> DataFrame:
+def reports(scores: DataFrame, overall: DataFrame, findings: DataFrame, version: str, paths: dict[str, str] | None = None, more: dict[str, DataFrame | None] | None = None) -> DataFrame:
     """One row a project: overall score, categories in order, findings in report order with instance and advice. paths: where
-    a project's tree lies, where that is known."""
+    a project's tree lies, where that is known. more: field -> table of project_id and that field, null where it has no row."""
     scores = scores.join(summaries(findings), ["project_id", "category"], "left").withColumn("summary", F.coalesce("summary", F.lit("no findings")))
     inner = F.struct("ord", "id", "category", "severity", "title", "file", "line", "instance", "note", lookup({k: r.advice for k, r in RULES.items()}, F.col("id")).alias("suggestion"), "fingerprint")
     listed = findings.groupBy("project_id").agg(F.array_sort(F.collect_list(inner)).alias("findings"))  # a project's findings: what a report holds
@@ -33,9 +33,12 @@ def reports(scores: DataFrame, overall: DataFrame, findings: DataFrame, version:
     cats = scores.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "category", (F.col("tenths") / 10).alias("score"), "summary"))).alias("categories"))
     out = overall.join(cats, "project_id").join(listed, "project_id", "left")
     none = F.lit(None).cast(listed.schema["findings"].dataType)
+    more = {name: df for name, df in (more or {}).items() if df is not None}
+    for name, df in more.items():
+        out = out.join(df.select("project_id", name), "project_id", "left")
     return out.select(
         F.col("project_id").alias("projectName"), (lookup(paths, F.col("project_id")) if paths else F.lit(None).cast("string")).alias("projectPath"), F.lit(version).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completedAt"), F.col("overall").alias("overallScore"),
-        F.transform("categories", lambda c: F.struct(c["category"].alias("category"), c["score"].alias("score"), c["summary"].alias("summary"))).alias("categories"), F.coalesce("findings", F.filter(none, lambda x: F.lit(False)), F.array().cast(listed.schema["findings"].dataType)).alias("findings"),
+        F.transform("categories", lambda c: F.struct(c["category"].alias("category"), c["score"].alias("score"), c["summary"].alias("summary"))).alias("categories"), F.coalesce("findings", F.filter(none, lambda x: F.lit(False)), F.array().cast(listed.schema["findings"].dataType)).alias("findings"), *more,
     )
 
 
@@ -115,9 +118,19 @@ def to_html(df: DataFrame) -> DataFrame:
     return df.select("projectName", page.alias("html"))
 
 
-def to_text(df: DataFrame, width: int = 20) -> DataFrame:
-    """Plain report: a bar for each category, then findings in order."""
+def to_text(df: DataFrame, width: int = 20, columns: int = 88) -> DataFrame:
+    """Plain report: a bar for each category, findings in order under their severity, then the summary of a model in lines of
+    `columns` characters, warnings, what is suppressed and how many findings of capped rules are left out."""
     bar = lambda c: F.concat(F.rpad(c["category"], 14, " "), F.repeat(F.lit("#"), (c["score"] * width / 10).cast("int")), F.repeat(F.lit("."), width - (c["score"] * width / 10).cast("int")), F.lit(" "), c["score"].cast("string"))
     row = lambda x: F.concat(F.lit("["), x["severity"], F.lit("] "), x["id"], F.lit(" "), x["title"], F.lit(" "), F.concat_ws(":", x["file"], x["line"].cast("string")), F.coalesce(F.concat(F.lit(" ("), verdict_of(df, x), F.lit(")")), F.lit("")))
     head = F.concat(F.col("projectName"), F.lit("  "), F.col("overallScore").cast("string"), F.lit("/10"))
-    return df.select("projectName", F.concat_ws("\n", head, F.array_join(F.transform("categories", bar), "\n"), F.array_join(F.transform("findings", row), "\n")).alias("text"))
+    group = lambda s: F.filter("findings", lambda x: x["severity"] == s)
+    groups = [F.when(F.size(group(s)) > 0, F.concat(F.lit(f"{s} ("), F.size(group(s)).cast("string"), F.lit(")\n"), F.array_join(F.transform(group(s), row), "\n"))) for s in SEVERITIES]
+    tails = {
+        "aiSummary": lambda c: F.array_join(wrap_text(c, columns), "\n"),
+        "warnings": lambda c: F.array_join(F.transform(c, lambda w: F.concat(F.lit("warning: "), w)), "\n"),
+        "suppressed": lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("suppressed: "), F.concat_ws(" ", x["id"], F.concat_ws(":", x["file"], x["line"].cast("string"))), F.lit(" - "), F.coalesce(x["reason"], F.lit("")))), "\n"),
+        "omitted": lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("left out: "), x["n"].cast("string"), F.lit(" more of "), x["id"])), "\n"),
+    }
+    more = [F.nullif(tail(F.col(name)), F.lit("")) for name, tail in tails.items() if name in df.columns]
+    return df.select("projectName", F.concat_ws("\n", head, F.array_join(F.transform("categories", bar), "\n"), *groups, *more).alias("text"))

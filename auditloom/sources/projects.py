@@ -11,6 +11,8 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import paths as P
 from ..schema import FILES
@@ -82,6 +84,13 @@ def scan_folders(root: str, spark: SparkSession, project_id: str | None = None)
     return spark.createDataFrame(rows, "project_id string, path string, parent string, is_dir boolean")
 
 
+def tree(folders: DataFrame) -> DataFrame:
+    """folders with `place` in their parent: folders first, then by name in the root collation of Unicode."""
+    name = F.substring_index("path", "/", -1)
+    order = [F.desc("is_dir"), F.collate(name, "UNICODE"), name]
+    return folders.withColumn("place", F.row_number().over(W.partitionBy("project_id", "parent").orderBy(*order)))
+
+
 def extract_zip(archive: str, to: str | None = None) -> str:
     """Unpack; an entry that would leave the folder raises."""
     to = os.path.realpath(to or tempfile.mkdtemp(prefix="auditloom-zip-"))

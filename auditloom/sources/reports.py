@@ -8,7 +8,7 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORIES, SEVERITIES
@@ -16,15 +16,21 @@ from ..schema import CATEGORIES, SEVERITIES
 FINDING = "id string, category string, severity string, title string, file string, line int, instance int, note string, suggestion string, fingerprint string"
 REPORT = (
     f"projectName string, projectPath string, completedAt string, version string, overallScore double, categories array<struct<category:string,score:double,summary:string>>, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>, "
-    "verdicts array<struct<findingKey:string,classification:string,confidence:double,reasoning:string>>, remediations array<struct<findingKey:string,fix:string,effort:string>>, aiSummary string"
+    "verdicts array<struct<findingKey:string,classification:string,confidence:double,reasoning:string>>, remediations array<struct<findingKey:string,fix:string,effort:string>>, aiSummary string, "
+    "suppressed array<struct<id:string,file:string,line:int,reason:string>>, warnings array<string>, omitted array<struct<id:string,n:long>>"
 )
 CONFIG_NAMES = ("audit.config.json", ".auditrc.json")
 
 
+def plain_name(name: Column) -> Column:
+    """Spark gives names of files as they stand in an address, a plus sign as it is."""
+    return F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def load_reports(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Reports saved as .json in a folder itself, those that are no reports left out, by name and then latest first."""
     reader = (spark.readStream if stream else spark.read).schema(REPORT).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json")
-    rows = reader.json(folder).where("projectName is not null and overallScore is not null and categories is not null and findings is not null").withColumn("file_name", F.col("_metadata.file_name"))
+    rows = reader.json(folder).where("projectName is not null and overallScore is not null and categories is not null and findings is not null").withColumn("file_name", plain_name(F.col("_metadata.file_name")))
     return rows if stream else rows.orderBy("projectName", F.desc("completedAt"))
 
 
