@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, neardup, packing, quality, shards, suffix, tokencounts, toxicity, urls
+from . import chat, decontam, divergence, neardup, packing, quality, shards, suffix, tokencounts, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_sharding": shards.OP4_SQL,
     "op6_url_filters": urls.OP6_SQL,
     "op10_suffix_dedup": suffix.OP10_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
