@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, divergence, neardup, packing, quality, shards, suffix, tokencounts, toxicity, urls, whitening
+from . import chat, decontam, divergence, neardup, packing, pii, quality, shards, suffix, tokencounts, toxicity, urls, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
+    "op11_pii": pii.op11_pii,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
