@@ -18,7 +18,7 @@ entities: a context is at most 2 * CONTEXT terms, whatever its text; rows meet o
 there, and counts are summed before they are shuffled. Patterns are written with possessive runs, linear on any text, and find what
 the plain ones do.
 
-Defined results: null text counts as empty, without spans; values of one kind do not overlap, values of different kinds may;
+Defined results: null text counts as empty, without spans, and `sanitise` leaves it null; values of one kind do not overlap, values of different kinds may;
 in contexts and rewritten texts, the first kind of KINDS takes what several claim; words inside emails are no terms; an entity that
 every document holds has no information to disclose; repeated rows count and are judged each; very long texts are read whole; an
 empty table gives no rows; further columns pass through `sanitise` whatever their names. In rewritten texts the private characters
@@ -234,3 +234,73 @@ def sanitise(docs: DataFrame, context: int = CONTEXT, min_texts: int = MIN_TEXTS
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_SQL_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _sql() -> str:
+    digits = "regexp_replace({0}, '[^0-9]', '', 'g')"
+    from_right = f"substr({digits}, length({digits}) - j, 1)::INTEGER * (1 + j % 2)"
+    valid = {
+        "email": "true",
+        "ip": "len([x for x in string_split({0}, '.') if x::HUGEINT > 255]) = 0",
+        "card": f"(length({digits}) BETWEEN 13 AND 19 AND list_sum([({from_right}) // 10 + ({from_right}) % 10 for j in range(length({digits}))]) % 10 = 0)",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }
+    key = {"email": "lower({0})", "ip": "{0}", "card": digits, "phone": digits}
+    found = " UNION ALL ".join(f"SELECT rid, {i} AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM docs" for i, p in enumerate(_SQL_KINDS.values()))
+    judged = " ".join(f"WHEN {i} THEN {v.format('m[i]')}" for i, v in enumerate(valid.values()))
+    marked, last = [], "marked_"
+    for k, p in _SQL_KINDS.items():
+        label = f"chr(57344) || translate(md5('{k}:' || {key[k].format('m[i]')}), '0123456789', 'ghijklmnop') || chr(57345)"
+        marked.append(f"cut_{k} AS (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM {last}),")
+        marked.append(f"marked_{k} AS (SELECT rid, array_to_string([g[i] || CASE WHEN i > len(m) THEN '' WHEN {valid[k].format('m[i]')} THEN {label} ELSE m[i] END for i in range(1, len(g) + 1)], '') AS t FROM cut_{k}),")
+        last = f"marked_{k}"
+    word = r"\p{L}[\p{L}\p{M}]*"
+    email = _SQL_KINDS["email"]
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+each AS (SELECT rid, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM found),
+base AS (
+  SELECT rid, kind, (list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0))::BIGINT AS s, length(m[i]) AS n
+  FROM each WHERE CASE kind {judged} END
+),
+marked_ AS (SELECT rid, translate(text, chr(57344) || chr(57345), '  ') AS t FROM docs WHERE rid IN (SELECT rid FROM base)),
+{chr(10).join(marked)}
+lists AS (SELECT rid, regexp_extract_all(t, '\x{{E000}}[a-p]+\x{{E001}}|{word}') AS w FROM {last}),
+marks AS (SELECT rid, w, unnest([i for i in range(1, len(w) + 1) if w[i][1] = chr(57344)]) AS i FROM lists),
+near AS (SELECT DISTINCT rid, e, unnest(t) AS t FROM (SELECT rid, w[i] AS e, list_append([lower(x) for x in w[greatest(1, i - 50):i + 50] if x[1] <> chr(57344)], '') AS t FROM marks)),
+pairs AS (SELECT e, t, count(*) AS n_et FROM near JOIN docs USING (rid) GROUP BY e, t HAVING count(DISTINCT text) >= 3),
+held AS (SELECT t, count(DISTINCT rid) AS n_t FROM (SELECT rid, unnest([lower(x) for x in regexp_extract_all(text, '{word}')]) AS t FROM docs) GROUP BY t),
+d AS (SELECT count(*) AS d FROM docs),
+known AS (
+  SELECT p.e, p.t FROM pairs p JOIN pairs o ON o.e = p.e AND o.t = '' JOIN held h ON h.t = p.t CROSS JOIN d
+  WHERE p.t <> '' AND o.n_et < d AND round(log2(p.n_et * d::DOUBLE / (o.n_et::DOUBLE * h.n_t)) / log2(d::DOUBLE / o.n_et), 9) >= 0.75
+),
+terms AS (SELECT DISTINCT rid, t FROM near SEMI JOIN known ON known.e = near.e AND known.t = near.t),
+blank AS (
+  SELECT rid, array_to_string([g[i] || CASE WHEN i > len(m) THEN '' ELSE repeat(' ', length(m[i])) END for i in range(1, len(g) + 1)], '') AS t
+  FROM (SELECT rid, regexp_extract_all(text, '{email}') AS m, string_split_regex(text, '{email}') AS g FROM docs WHERE rid IN (SELECT rid FROM terms))
+),
+places AS (SELECT rid, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS w, unnest(g[1:len(m)]) AS gap FROM (SELECT rid, regexp_extract_all(t, '{word}') AS m, string_split_regex(t, '{word}') AS g FROM blank)),
+ends AS (SELECT rid, lower(w) AS t, length(w) AS n, sum(length(gap) + length(w)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS z FROM places),
+spans AS (SELECT rid, kind, s, n FROM base UNION ALL SELECT ends.rid, 4, z - n, n FROM ends SEMI JOIN terms ON terms.rid = ends.rid AND terms.t = ends.t),
+texts AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, count(*) FILTER (kind = 4) AS n_terms,
+    string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || (s + n), ',' ORDER BY kind, s) AS spans,
+    string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || s || ':' || (s + n), ',' ORDER BY kind, s) FILTER (kind < 4) AS base
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
+FROM docs LEFT JOIN texts USING (rid)
+"""
+
+
+OP11_SQL = _sql()

@@ -25,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_sharding": shards.OP4_SQL,
     "op6_url_filters": urls.OP6_SQL,
     "op10_suffix_dedup": suffix.OP10_SQL,
+    "op11_pii": pii.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
 }

@@ -1,5 +1,7 @@
 """Source divergence, whitening and sanitising against brute force, and their defined results."""
 
+import hashlib
+import itertools
 import math
 import random
 import re
@@ -8,8 +10,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 
-from auditloom.llm import divergence, whitening
+from auditloom.llm import divergence, pii, whitening
 
 from .test_operators import VOCAB, prose
 
@@ -135,3 +138,125 @@ def test_merging_parts_loses_nothing():
     assert cut.n == 300 and (cut.sums == whole.sums).all()
     assert np.allclose(cut.rows.T @ cut.rows, whole.rows.T @ whole.rows, rtol=1e-12, atol=1e-8)
     assert np.allclose(np.linalg.svd(cut.rows)[1], np.linalg.svd(whole.rows)[1], rtol=1e-12)
+
+
+# 11 personal data
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def holds(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    return {"email": True, "ip": all(int(x) <= 255 for x in value.split(".")) if kind == "ip" else 0, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def brute_base(text):
+    return [(kind, m.start(), m.end(), m.group()) for kind, p in PLAIN.items() for m in re.finditer(p, text or "") if holds(kind, m.group())]
+
+
+def brute_terms(texts, context, min_texts, threshold):
+    """Spans of terms of each text by the formulas, for texts whose base spans do not overlap."""
+    word = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+    near, of_entity, of_pair, of_term, by_text = [], Counter(), Counter(), Counter(), defaultdict(set)
+    for text in texts:
+        text = text or ""
+        spans = sorted((a, b, (k, v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v))) for k, a, b, v in brute_base(text))
+        emails = [(a, b) for a, b, e in spans if e[0] == "email"]
+        words = [(m.start(), m.group().lower()) for m in word.finditer(text) if not any(a < m.end() and m.start() < b for a, b in emails)]
+        of_term.update({m.group().lower() for m in word.finditer(text)})
+        line = sorted([(a, e, True) for a, _, e in spans] + [(a, w, False) for a, w in words])
+        got = set()
+        for k, (_, e, entity) in enumerate(line):
+            if entity:
+                got |= {(e, w) for _, w, other in line[max(0, k - context) : k + context + 1] if not other} | {(e, None)}
+        near.append(got)
+        of_entity.update(e for e, t in got if t is None)
+        of_pair.update(got)
+        for p in got:
+            by_text[p].add(text)
+    d, out = len(texts), []
+    for text, got in zip(texts, near):
+        terms = set()
+        for e, t in got:
+            if t is not None and len(by_text[e, t]) >= min_texts and of_entity[e] < d:
+                pmi, ic = math.log2(of_pair[e, t] * d / (of_entity[e] * of_term[t])), math.log2(d / of_entity[e])
+                if round(pmi / ic, 9) >= threshold:
+                    terms.add(t)
+        emails = [(a, b) for k, a, b, _ in brute_base(text) if k == "email"]
+        out.append([("term", m.start(), m.end(), m.group()) for m in word.finditer(text or "") if m.group().lower() in terms and not any(a < m.end() and m.start() < b for a, b in emails)])
+    return out
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans)
+
+
+ODD = [
+    None, "", "a@b", "a@b.c_d@e.f x.y@z.co.uk..q@w.e-", "%+@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1 1.2.3", "ü 4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111",
+    "+1 (386) 555-3733. +49 30 123 +(1) +1--2 +123456789012345678 +1.2.3.4.5.6.7.8.9)", "call\n+1 (386)\n555-3733\t10.0.0.1\n", "x" * 5000 + "@" + "y" * 5000, "a." * 4000 + "@b.c" + ".d" * 4000, "1 " * 4000, "日本@例.jp é.e@ä.com a@ü.de \U0001f600 q@r.st",
+    "@@@.@a.b@c.d", "Σ ΟΔΟΣ İ 5555555555554444", "4111111111111111@x.org +4111111111111111",
+]
+
+
+def random_text(r):
+    alphabet = "ab1.@+- ()5%_\n9é"
+    return "".join(r.choice(alphabet) for _ in range(r.randint(0, 120)))
+
+
+def planted():
+    r = random.Random(2)
+    texts = [*ODD, *(random_text(r) for _ in range(400))]
+    for i in range(12):  # a name beside an email in different texts, and words that are everywhere
+        texts.append(f"{prose(30, r)} Contact Brunhild Ängström-Vex of the cat at b.vex@mail.example.com or 10.1.2.{i} {prose(30, r)}")
+    texts += [f"{prose(20, r)} Brunhild {prose(5, r)}" for _ in range(2)]
+    texts += ["copied secret Zanzibarian text with z@y.com"] * 40
+    return texts + [prose(30, r) for _ in range(200)]
+
+
+def pii_frame(spark, texts):
+    return spark.createDataFrame([(i if i % 50 else None, t, i, "r", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, rid long, row string, `a.b` double").repartition(5)
+
+
+@pytest.mark.parametrize(("context", "min_texts", "threshold"), [(50, 3, 0.75), (4, 2, 0.3)])
+def test_personal_data_matches_brute_force(spark, context, min_texts, threshold):
+    texts = planted()
+    got = {r["rid"]: r for r in pii.report(pii_frame(spark, texts), context, min_texts, threshold).collect()}
+    assert len(got) == len(texts)
+    want = brute_terms(texts, context, min_texts, threshold)
+    mixed = {i for i, t in enumerate(texts) if any(a < d and c < b for (_, a, b, _), (_, c, d, _) in itertools.combinations(brute_base(t), 2))}
+    for i, text in enumerate(texts):
+        base = brute_base(text)
+        assert [got[i][f"n_{k}"] for k in PLAIN] == [sum(s[0] == k for s in base) for k in PLAIN], text
+        assert got[i]["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest(), text
+        assert got[i]["spans"].startswith(joined(base))
+        if i not in mixed:
+            assert got[i]["spans"] == joined(base + want[i]), (text, got[i]["spans"])
+    if min_texts == 3:
+        name = next(i for i, t in enumerate(texts) if t and "Contact" in t)
+        assert got[name]["n_terms"] >= 2 and all(got[i]["n_terms"] == 0 for i, t in enumerate(texts) if t and "Zanzibarian" in t)
+
+
+def test_sanitised_texts(spark):
+    texts = planted()
+    df = pii_frame(spark, texts)
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    got = {r["rid"]: r["text"] for r in out.collect()}
+    for i, text in enumerate(texts):
+        if not brute_base(text):
+            assert got[i] == text
+    name = next(i for i, t in enumerate(texts) if t and "Contact" in t)
+    assert "[EMAIL]" in got[name] and "Vex" not in got[name] and "Ängström" not in got[name] and "the cat" in got[name] and "[IP]" in got[name]
+    assert got[6] == "ü [CARD] and 4111-1111-1111-1112, 4111  1111"
+
+
+def test_personal_data_of_nothing_and_of_one_long_text(spark):
+    df = pii_frame(spark, ["x"])
+    assert pii.report(df.limit(0)).collect() == [] and pii.sanitise(df.limit(0)).collect() == []
+    text = " ".join(f"w{k} {k}@mail.org" for k in range(20_000))
+    (row,) = pii.report(pii_frame(spark, [text])).collect()
+    assert row["n_email"] == 20_000 and row["spans"] == joined(brute_base(text))
