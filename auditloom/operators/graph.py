@@ -1,7 +1,7 @@
 """Imports of scripts: extraction, resolution, cycles, and files that nothing reaches.
 
-Resolution is a join of ordered candidates with the files that exist; the first candidate wins by a partial minimum. Only
-the search for cycles runs in Python, on one project's edges at a time.
+Resolution is a join of ordered candidates with the files that exist; the first candidate wins by a partial minimum. Cycles are
+strongly connected components of the edge table (`components`).
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
+from .components import components
 
 #: Imports that no reader can resolve, and what counts as a file name in other text.
 NONLITERAL = r"""\b(?:import|require)\s*\(\s*[^'")\s]"""
@@ -61,53 +63,12 @@ def import_graph(files: DataFrame) -> DataFrame:
     return edges.where(node(F.col("src")) & node(F.col("dst"))).select("project_id", "src", "dst").distinct()
 
 
-def cycles_of(edges: dict[str, list[str]]) -> list[list[str]]:
-    """Strongly connected components of two or more nodes, and nodes that point at themselves. Tarjan's algorithm with a stack of its own;
-    nodes and neighbours go in sorted order, members come in the order in which they are closed."""
-    index, low, on, stack, out = {}, {}, set(), [], []
-    for root in sorted(edges):
-        if root in index:
-            continue
-        work = [(root, iter(edges.get(root, ())))]
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        on.add(root)
-        while work:
-            node, rest = work[-1]
-            for to in rest:
-                if to not in index:
-                    index[to] = low[to] = len(index)
-                    stack.append(to)
-                    on.add(to)
-                    work.append((to, iter(edges.get(to, ()))))
-                    break
-                if to in on:
-                    low[node] = min(low[node], index[to])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    part = []
-                    while not part or part[-1] != node:
-                        part.append(stack.pop())
-                        on.discard(part[-1])
-                    if len(part) > 1 or node in edges.get(node, ()):
-                        out.append(part)
-    return out
-
-
 def cycles(edges: DataFrame) -> DataFrame:
-    """project_id, n (order found) and members of each cycle. Edges of one project fit one task; only projects with a
-    two-way reach are sent: nodes without an edge in or out cannot lie on a cycle."""
-    live = edges.join(edges.select("project_id", F.col("dst").alias("src")).distinct(), ["project_id", "src"], "left_semi")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        graph = {k: sorted(set(v)) for k, v in pdf.groupby("src")["dst"]}
-        found = cycles_of(graph)
-        return pd.DataFrame({"project_id": pd.Series([key[0]] * len(found), dtype=object), "n": range(len(found)), "members": pd.Series(found, dtype=object)})
-
-    return live.groupBy("project_id").applyInPandas(run, "project_id string, n int, members array<string>")
+    """project_id, n (from 0, by first member) and members (last name first) of each cycle: components of two or more files,
+    and files that import themselves."""
+    found = components(edges).groupBy("project_id", "component").agg(F.sort_array(F.collect_list("node"), False).alias("members"))
+    order = W.partitionBy("project_id").orderBy("component")
+    return found.select("project_id", (F.row_number().over(order) - 1).alias("n"), "members")
 
 
 def _jsonc(content: str):

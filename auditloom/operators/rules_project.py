@@ -94,9 +94,14 @@ def god_files(files: DataFrame) -> DataFrame:
     return measured_files(files).withColumn("tier", god_tier(F.col("loc"))).where("tier is not null")
 
 
-def structure_overflow(files: DataFrame) -> DataFrame:
+def import_cycles(files: DataFrame) -> DataFrame:
+    """Found in rounds when this is called, and written: `structure` and `structure_overflow` take the same ones."""
+    return graph.cycles(graph.import_graph(files))
+
+
+def structure_overflow(files: DataFrame, rings: DataFrame | None = None) -> DataFrame:
     """project_id, id, n_cut: how many large files, cycles and dead files `structure` leaves out beyond MAX_FINDINGS."""
-    found = {"STR-011": god_files(files), "STR-012": graph.cycles(graph.import_graph(files)), "STR-013": graph.dead_files(files)}
+    found = {"STR-011": god_files(files), "STR-012": import_cycles(files) if rings is None else rings, "STR-013": graph.dead_files(files)}
     out = None
     for rule, rows in found.items():
         n = rows.groupBy("project_id").agg(F.greatest(F.count("*") - MAX_FINDINGS[rule], F.lit(0)).alias("n_cut")).select("project_id", F.lit(rule).alias("id"), "n_cut")
@@ -104,8 +109,8 @@ def structure_overflow(files: DataFrame) -> DataFrame:
     return out
 
 
-def structure(files: DataFrame, meta: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
-    """dirs (project_id, path, parent, is_dir) is known where folders were scanned; without it no folder is empty."""
+def structure(files: DataFrame, meta: DataFrame, dirs: DataFrame | None = None, rings: DataFrame | None = None) -> DataFrame:
+    """dirs (project_id, path, parent, is_dir) is known where folders were scanned; without it no folder is empty. rings: `import_cycles`."""
     styles = F.array_compact(F.array(F.when(F.col("kebab") > 0, "k"), F.when(F.col("camel") > 0, "c"), F.when(F.col("snake") > 0, "s")))
     m = meta
     if dirs is not None:
@@ -129,7 +134,7 @@ def structure(files: DataFrame, meta: DataFrame, dirs: DataFrame | None = None)
     gods = top_per_project(god_files(files), [F.desc("loc"), F.col("path")], MAX_FINDINGS["STR-011"])
     penalty = F.when(F.col("tier") == "high", 10).when(F.col("tier") == "medium", 5).otherwise(2)
     out = out.unionByName(findings(gods, [F.array(hit("STR-011", F.col("tier"), penalty, note=F.col("loc")))], 1))
-    rings = graph.cycles(graph.import_graph(files)).where(F.col("n") < MAX_FINDINGS["STR-012"])
+    rings = (import_cycles(files) if rings is None else rings).where(F.col("n") < MAX_FINDINGS["STR-012"])
     chain = F.array_join(F.concat("members", F.slice("members", 1, 1)), " > ")
     out = out.unionByName(project_rows(rings, [F.array(hit("STR-012", "medium", 5, note=chain))], 2))
     dead = top_per_project(graph.dead_files(files), [F.col("path")], MAX_FINDINGS["STR-013"])

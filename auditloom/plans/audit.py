@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -55,7 +56,7 @@ class Audit:
         return self.overflow.where("n_cut > 0").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("id", F.col("n_cut").alias("n")))).alias("omitted"))
 
 
-def all_findings(files: DataFrame, meta: DataFrame, categories=CATEGORIES, dirs=None, advisories=None, branches=None) -> tuple[DataFrame, DataFrame]:
+def all_findings(files: DataFrame, meta: DataFrame, categories=CATEGORIES, dirs=None, advisories=None, branches=None, rings=None) -> tuple[DataFrame, DataFrame]:
     """Findings of the chosen categories, and what projects earn: project_id, category, tenths, fixed. Categories that are
     not chosen are not planned at all."""
     spark = files.sparkSession
@@ -68,7 +69,7 @@ def all_findings(files: DataFrame, meta: DataFrame, categories=CATEGORIES, dirs=
 
     for category in categories:
         if category == "structure":
-            found = found.unionByName(RP.structure(files, meta, dirs))
+            found = found.unionByName(RP.structure(files, meta, dirs, rings))
             earn(meta.select("project_id", (5 * F.col("has_ci").cast("int") + 3 * F.col("has_docker").cast("int") + 2 * F.col("has_linter").cast("int")).alias("tenths")), category)
         elif category == "security":
             found = found.unionByName(RF.security(files))
@@ -101,10 +102,14 @@ def run_audit(files: DataFrame, categories=CATEGORIES, suppressions: list[dict]
     spark = files.sparkSession
     meta = RP.project_meta(files)
     held: list[DataFrame] = []
+    rings = None
+    if "structure" in categories:
+        with contextlib.suppress(Exception) if isolate else contextlib.nullcontext():  # isolated, it fails again inside its category
+            rings = RP.import_cycles(files)
     if isolate:
-        found, earned = run_isolated(files, meta, held, categories, dirs, advisories, branches)
+        found, earned = run_isolated(files, meta, held, categories, dirs, advisories, branches, rings)
     else:
-        found, earned = all_findings(files, meta, categories, dirs, advisories, branches)
+        found, earned = all_findings(files, meta, categories, dirs, advisories, branches, rings)
     found = A.with_ordinal(found).persist()
     hidden, stale, refund, warnings = found.limit(0), None, None, None
     if suppressions:
@@ -118,11 +123,11 @@ def run_audit(files: DataFrame, categories=CATEGORIES, suppressions: list[dict]
         found_kept = found
     scores = A.category_scores(files.select("project_id"), found, earned, categories, refund)
     kept = A.with_fingerprints(A.with_instances(found_kept), files)
-    overflow = RP.structure_overflow(files) if "structure" in categories else None
+    overflow = RP.structure_overflow(files, rings) if rings is not None else None
     return Audit(meta, kept, hidden, stale, scores, A.overall_score(scores), overflow, warnings=warnings, held=(*held, found))
 
 
-def run_isolated(files: DataFrame, meta: DataFrame, held: list[DataFrame], categories=CATEGORIES, dirs=None, advisories=None, branches=None) -> tuple[DataFrame, DataFrame]:
+def run_isolated(files: DataFrame, meta: DataFrame, held: list[DataFrame], categories=CATEGORIES, dirs=None, advisories=None, branches=None, rings=None) -> tuple[DataFrame, DataFrame]:
     """What `all_findings` gives, by one action a category. The rows of a category that fails are one finding a project. held
     gets what is kept in memory."""
     spark, meta = files.sparkSession, meta.persist()
@@ -130,7 +135,7 @@ def run_isolated(files: DataFrame, meta: DataFrame, held: list[DataFrame], categ
     found, earned = all_findings(files, meta, ())
     for category in categories:
         try:
-            rows, more = (x.persist() for x in all_findings(files, meta, (category,), dirs, advisories, branches))
+            rows, more = (x.persist() for x in all_findings(files, meta, (category,), dirs, advisories, branches, rings))
             held += [rows, more]
             rows.count(), more.count()
         except Exception as why:

@@ -134,17 +134,18 @@ def _runs(spark, sf):
     return rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")
 
 
-_RUNS = """r AS (SELECT DISTINCT source AS project_id, doc_id, unnest(string_split(lower(text), ' ')) AS fingerprint FROM documents),
-cur AS (SELECT * FROM r WHERE doc_id % 2 = 0), base AS (SELECT * FROM r WHERE doc_id % 2 = 1)"""
+_OTHER = """k AS (SELECT project_id, fingerprint, list(doc_id) AS docs, count(*) FILTER (doc_id % 2 = 0) AS now, count(*) FILTER (doc_id % 2 = 1) AS was FROM r GROUP BY ALL)
+SELECT project_id, unnest(docs) AS doc_id, fingerprint FROM k"""
+_RUNS = """r AS (SELECT DISTINCT source AS project_id, doc_id, unnest(string_split(lower(text), ' ')) AS fingerprint FROM documents)"""
 
 
-@query(f"WITH {_RUNS} SELECT project_id, doc_id, fingerprint FROM cur WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.project_id = cur.project_id AND base.fingerprint = cur.fingerprint)")
+@query(f"WITH {_RUNS}, {_OTHER} WHERE was = 0")
 def new_findings(spark, sf):
     cur, base = _runs(spark, sf)
     return A.new_findings(cur, base, F.col("fingerprint"))
 
 
-@query(f"WITH {_RUNS} SELECT project_id, doc_id, fingerprint FROM base WHERE NOT EXISTS (SELECT 1 FROM cur WHERE base.project_id = cur.project_id AND base.fingerprint = cur.fingerprint)")
+@query(f"WITH {_RUNS}, {_OTHER} WHERE now = 0")
 def fixed_findings(spark, sf):
     cur, base = _runs(spark, sf)
     return A.new_findings(base, cur, F.col("fingerprint"))
@@ -184,7 +185,8 @@ def suppress_refund(spark, sf):
     return A.refunds(_matched(spark, sf)[0])
 
 
-@query("SELECT 4 AS seq, 'EV-PURCHASE' AS rule")
+@query(f"""WITH {_FIND}, rules AS (SELECT * FROM (VALUES (0, 'EV-ERROR', 'src/1.ts'), (1, 'EV-ERROR', '2.ts'), (2, 'EV-CLICK', NULL), (4, 'EV-PURCHASE', 'lib/')) r(seq, rule, place))
+SELECT seq, rule FROM rules WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.id = rule AND (place IS NULL OR f.file = place OR ends_with(f.file, '/' || place) OR (ends_with(place, '/') AND contains('/' || f.file, '/' || place))))""")
 def stale_suppressions(spark, sf):
     return A.stale(*_matched(spark, sf)).select("seq", "rule")
 
