@@ -88,9 +88,9 @@ def import_candidates(raw: Column) -> Column:
     return F.concat(F.array(raw), *rewritten, F.array(*(F.concat(raw, F.lit(e)) for e in RESOLVE_EXTS)), F.array(*(F.concat(raw, F.lit(f"/index{e}")) for e in RESOLVE_EXTS)))
 
 
-def glob_regex(pattern: str) -> str:
-    """Regular expression of one ignore-file pattern, for paths relative to its folder; a match covers all below it.
-    `**` spans folders; a slash before the end anchors; a slash at the end means folders only."""
+def glob_regex(pattern: str, below: bool = True) -> str:
+    """Regular expression of one ignore-file pattern, for paths relative to its folder; a match covers all below it, unless `below` is
+    false: then it is the entry alone that fits. `**` spans folders; a slash before the end anchors; a slash at the end means folders only."""
     import re
 
     folders_only = pattern.endswith("/")
@@ -115,7 +115,7 @@ def glob_regex(pattern: str) -> str:
             if body[i] == "\\" and i + 1 < len(body):
                 i += 1
             out, i = out + re.escape(body[i]), i + 1
-    return ("^" if anchored else "^(?:.*/)?") + out + ("/.+$" if folders_only else "(?:/.*)?$")
+    return ("^" if anchored else "^(?:.*/)?") + out + ("$" if not below else "/.+$" if folders_only else "(?:/.*)?$")
 
 
 def ignored(path: Column, lines: list[str]) -> Column:

@@ -16,6 +16,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..operators import findings as A
 from ..operators import graph as G
+from ..operators import ignores as IG
 from ..operators import rules_project as RP
 from ..operators import triage as TR
 from ..schema import REFUND_TENTHS, SEVERITIES, lookup
@@ -364,3 +365,29 @@ def manifest_fields(spark, sf):
     return _table(spark, sf, "events").select("event_id", v.alias("k"), (v % 3 == 0).alias("pinned"))
 
 
+#: Ignore files of the derived trees, by whether a project's number is even, and the files of a tree by doc_id.
+_IGNORE = {0: "# output\n*.log\n!kept.log\n/out/\ncache\n\ndocs/**/draft-?.md\ntmp/*\n!tmp/stay.txt", 1: "*.l*g\n/gen\nsub/cache/\n!dist\n[ab].txt\nlib/**\n!lib/own.ts"}
+_TREE = [
+    "m{}.log", "kept.log", "out/{}.txt", "src/out/{}.txt", "cache", "src/cache/{}/y.txt", "docs/{}/b/draft-1.md", "docs/draft-22.md", "tmp/stay.txt", "tmp/sub/{}.txt", "src/kept.log/{}.ts", "gen/{}/z.ts", "src/gen/{}.ts", "sub/cache", "sub/cache/{}.ts",
+    "dist/{}.js", "src/a.txt/{}", "c.txt", "lib/own.ts", "lib/{}/own.ts", "src/{}.ts", "out", "node_modules/{}/i.js",
+]
+_FITS = {  # for the SQL: each pattern by hand as (verdict, regular expression of an entry, folders only), in order
+    0: [(1, r"(^|/)[^/]*\.log$", 0), (0, r"(^|/)kept\.log$", 0), (1, "^out$", 1), (1, "(^|/)cache$", 0), (1, r"^docs/(.*/)?draft-[^/]\.md$", 0), (1, "^tmp/[^/]*$", 0), (0, r"^tmp/stay\.txt$", 0), (1, "(^|/)(node_modules|dist)$", 0)],
+    1: [(1, r"(^|/)[^/]*\.l[^/]*g$", 0), (1, "^gen$", 0), (1, "^sub/cache$", 1), (0, "(^|/)dist$", 0), (1, r"(^|/)[ab]\.txt$", 0), (1, "^lib/.*$", 0), (0, r"^lib/own\.ts$", 0), (1, "(^|/)(node_modules|dist)$", 0)],
+}
+_VERDICT = "CASE " + " ".join(f"WHEN project % 2 = {k} AND {'is_dir AND ' if only else ''}regexp_matches(entry, '{p}') THEN {v}" for k, fits in _FITS.items() for v, p, only in reversed(fits)) + " ELSE 0 END"
+_ENTRIES = "array_to_string(parts[1:n], '/') AS entry, n < len(parts) AS is_dir"
+
+
+@query(f"""WITH files AS (SELECT DISTINCT doc_id // 40 AS project, replace([{', '.join(f"'{p}'" for p in _TREE)}][(doc_id * 7 + length(coalesce(text, ''))) % {len(_TREE)} + 1], '{{}}', doc_id::VARCHAR) AS path FROM documents),
+entries AS (SELECT project, path, {_ENTRIES} FROM (SELECT project, path, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM files)),
+entry AS (SELECT project, entry, bool_or(is_dir) AS is_dir FROM entries GROUP BY ALL), ignored AS (SELECT project, entry FROM entry WHERE {_VERDICT} = 1)
+SELECT DISTINCT 'p' || project AS project_id, path FROM entries SEMI JOIN ignored USING (project, entry)""")
+def ignored_files(spark, sf):
+    """Files of derived trees that their projects' own ignore files name."""
+    pick = F.element_at(F.array(*map(F.lit, _TREE)), ((F.col("doc_id") * 7 + F.length(F.coalesce("text", F.lit("")))) % len(_TREE) + 1).cast("int"))
+    project = F.floor(F.col("doc_id") / 40)
+    files = _table(spark, sf, "documents").select(project.alias("project"), F.replace(pick, F.lit("{}"), F.col("doc_id").cast("string")).alias("path")).distinct()
+    rules = files.select("project").distinct().select("project", F.lit(".gitignore").alias("path"), F.when(F.col("project") % 2 == 0, _IGNORE[0]).otherwise(_IGNORE[1]).alias("content"))
+    every = files.withColumn("content", F.lit(None).cast("string")).unionByName(rules).withColumn("project_id", F.concat(F.lit("p"), F.col("project").cast("string")))
+    return IG.ignored_paths(every, IG.pattern_rows(every, (".gitignore",)))

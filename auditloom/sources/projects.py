@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import re
@@ -14,13 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import paths as P
+from ..operators.ignores import IGNORE_FILES, without_ignored
 from ..schema import FILES
-
-#: Folders that are never scanned, and the largest file that is read.
-ALWAYS_IGNORED = ["node_modules", ".git", "dist", "build", ".next", "__pycache__", ".venv", "venv", ".cache", "coverage", ".nyc_output", ".turbo"]
-MAX_READ = 15 * 1024 * 1024
-
+from ..work import Rounds
+from .trees import ALWAYS_IGNORED, read_trees
 
 def _lines(path: str) -> list[str]:
     if not os.path.isfile(path):
@@ -29,48 +27,22 @@ def _lines(path: str) -> list[str]:
         return f.read().splitlines()
 
 
-def ignores(lines: list[str]):
-    """path -> whether an ignore file's lines ignore it; the last pattern that fits decides."""
-    rules = []
-    for line in lines:
-        line = line.strip()
-        if line and not line.startswith("#"):
-            keep = line.startswith("!")
-            rules.append((re.compile(P.glob_regex(line[1:] if keep else line), re.S), not keep))
-
-    def test(path: str) -> bool:
-        out = False
-        for pattern, verdict in rules:
-            if pattern.match(path):
-                out = verdict
-        return out
-
-    return test
-
-
-def scan_project(spark: SparkSession, root: str, project_id: str | None = None, ignore_file: str = ".gitignore", extra_ignore: str = ".auditignore") -> DataFrame:
-    """Files of one tree: relative path, size and content (null where it is too large or cannot be read). One tree lies on
-    the driver's machine and is walked there, as Spark's file sources pass over names that begin with a dot or underscore;
-    links are not followed, and ignored folders are not entered. A corpus of trees is a table with the same columns."""
-    root = os.path.abspath(root)
-    ignored = ignores([*ALWAYS_IGNORED, *_lines(f"{root}/{ignore_file}"), *_lines(f"{root}/{extra_ignore}")])
-    rows, name = [], project_id or os.path.basename(root)
-    for top, dirs, names in os.walk(root):
-        at = lambda x: os.path.relpath(os.path.join(top, x), root).replace(os.sep, "/")  # noqa: B023, E731
-        dirs[:] = sorted(d for d in dirs if not os.path.islink(os.path.join(top, d)) and not ignored(at(d) + "/x"))
-        for n in sorted(names):
-            full = os.path.join(top, n)
-            if os.path.islink(full) or ignored(at(n)):
-                continue
-            try:
-                size, content = os.path.getsize(full), None
-                if size <= MAX_READ:
-                    with open(full, encoding="utf-8", errors="replace", newline="") as f:
-                        content = f.read()
-            except OSError:
-                continue
-            rows.append((name, at(n), size, content))
-    return spark.createDataFrame(rows, FILES)
+def scan_project(spark: SparkSession, root: str, project_id: str | None = None, names=IGNORE_FILES) -> DataFrame:
+    """Files of one tree or archive: relative path, size and content (null where it is too large or cannot be read), without what its
+    ignore files name. Read once, in tasks, and written as a table that the rules read columns of."""
+    found = read_trees(spark, root, single="true", **({"project": project_id} if project_id else {}))
+    rows, _ = Rounds(spark, "tree").write(found)
+    unsafe = rows.where("path is null").first()
+    if unsafe:
+        raise ValueError(f"{root}: {unsafe['skipped']}")
+    return without_ignored(rows, names).select(*(c.split()[0] for c in FILES.split(", ")))
+
+
+def scan_corpus(spark: SparkSession, root: str, names=IGNORE_FILES, **options) -> tuple[DataFrame, DataFrame]:
+    """Files of all projects and archives below root, and project_id, path, skipped of what could not be read."""
+    rows, _ = Rounds(spark, "corpus").write(read_trees(spark, root, **options))
+    files = without_ignored(rows.where("path is not null"), names).select(*(c.split()[0] for c in FILES.split(", ")))
+    return files, rows.where("skipped is not null").select("project_id", "path", "skipped")
 
 
 def scan_folders(root: str, spark: SparkSession, project_id: str | None = None) -> DataFrame:
@@ -91,9 +63,16 @@ def tree(folders: DataFrame) -> DataFrame:
     return folders.withColumn("place", F.row_number().over(W.partitionBy("project_id", "parent").orderBy(*order)))
 
 
+def _staging(prefix: str) -> str:
+    """A folder for what a command fetches, gone when it ends."""
+    to = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, to, ignore_errors=True)
+    return to
+
+
 def extract_zip(archive: str, to: str | None = None) -> str:
     """Unpack; an entry that would leave the folder raises."""
-    to = os.path.realpath(to or tempfile.mkdtemp(prefix="auditloom-zip-"))
+    to = os.path.realpath(to or _staging("auditloom-zip-"))
     with zipfile.ZipFile(archive) as z:
         for name in z.namelist():
             there = os.path.realpath(os.path.join(to, name))
@@ -119,7 +98,7 @@ def repo_name(url: str) -> str:
 
 def clone(url: str, timeout_s: int = 120) -> str:
     assert_safe_git_url(url)
-    to = os.path.join(tempfile.mkdtemp(prefix="auditloom-git-"), repo_name(url))
+    to = os.path.join(_staging("auditloom-git-"), repo_name(url))
     subprocess.run(["git", "clone", "--depth", "1", "--", url, to], check=True, timeout=timeout_s, capture_output=True)
     return to
 
