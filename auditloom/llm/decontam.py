@@ -1,13 +1,17 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of letters and digits, lower-cased (A-Z and Latin-1). Every n-gram of every test item is a seed, however common
-in the documents: an edited copy may hold no other. One pass joins documents to items on the seeds and
-aligns each item's words with the document's words around its seeds: match 2, other word -1, gap -1. The score is the best
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Words are runs of letters and digits, lower-cased (A-Z and Latin-1); the n-grams of a test item are its seeds. A first pass over the
+documents counts how many hold each seed. Seeds that none holds go. A seed is common if more than COMMON_ITEMS items share it, or
+more than COMMON_DOCS documents and one in COMMON_SHARE of all; the rest are rare. A second pass joins documents to items:
+a rare seed alone makes a pair of document and item. A common seed makes none, and so a phrase that all items share costs nothing,
+except for an item of which common seeds cover `threshold` of the words or more: nothing rare need be left of its copy, so all its
+seeds join, each beside a second one of the item near the same diagonal. For each pair, the item's words
+are aligned with the document's words around the seeds: match 2, other word -1, gap -1. The score is the best
 local alignment over that of the item with itself; at `threshold` or more the document holds a copy, edited or not. A copy
-without n consecutive words of its item is not seen.
+without n consecutive words of its item is not seen, nor one whose only such words are common, of an item that is not covered by them.
 
 Items are broadcast in blocks of at most BLOCK_BYTES of text, whatever the size of the benchmark; documents are only ever
-read, never shuffled, and every seed hit is aligned.
+read, never shuffled. Counts are summed by seed and bounded by the block.
 
 Defined results: null or empty documents hold nothing; null or empty items are found nowhere; items under n words are
 seeded by all their words; repeated rows are judged each on its own; rows with a null doc_id or item_id are judged too, and ids may have any type; very
@@ -25,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
-from .common import column, slices, table, text_bytes
+from .common import column, row_struct, slices, table, text_bytes
 
 N = 3
 THRESHOLD = 0.45
 BLOCK_BYTES = 8_000_000
+COMMON_ITEMS, COMMON_DOCS, COMMON_SHARE = 64, 64, 1000
 MATCH, OTHER, GAP = 2, 1, 1
 
 _WORD = K.LOWER.copy()
@@ -58,6 +63,7 @@ class Items:
     item: np.ndarray
     at: np.ndarray
     table: np.ndarray  # of 2**k flags, true where some seed's low bits fall
+    alone: np.ndarray  # beside item and at: whether one hit makes a pair
 
     def lookup(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of grams that are seeds, and which."""
@@ -69,13 +75,13 @@ class Items:
         return maybe[same], at[same]
 
 
-def _indexed(ids, words, first, sizes, seed, item, at) -> Items:
+def _indexed(ids, words, first, sizes, seed, item, at, alone=None) -> Items:
     order = np.lexsort((at, item, seed))
-    seed, item, at = seed[order], item[order], at[order]
+    seed, item, at, alone = seed[order], item[order], at[order], np.ones(len(seed), bool) if alone is None else alone[order]
     seeds, start = np.unique(seed, return_index=True)
     flags = np.zeros(1 << max(12, (32 * max(1, len(seeds))).bit_length()), bool)
     flags[seeds & np.uint64(len(flags) - 1)] = True
-    return Items(ids, words, first, sizes, seeds, np.append(start, len(seed)), item, at, flags)
+    return Items(ids, words, first, sizes, seeds, np.append(start, len(seed)), item, at, flags, alone)
 
 
 def build_items(rows: list[tuple], n: int = N) -> Items:
@@ -97,6 +103,25 @@ def build_items(rows: list[tuple], n: int = N) -> Items:
     return _indexed([i for i, _ in rows], words, first, sizes, joined(seed, np.uint64), item, joined(at, np.int64) - first[item])
 
 
+def driving(items: Items, held: np.ndarray, n_docs: int, threshold: float) -> Items:
+    """The seeds that join. held: the number of documents that hold each seed."""
+    size = np.diff(items.posting)
+    seed = np.repeat(np.arange(len(size)), size)
+    pair = np.unique(seed * (len(items.ids) + 1) + items.item)
+    n_items = np.bincount(pair // (len(items.ids) + 1), minlength=len(size))
+    common = ((n_items > COMMON_ITEMS) | (held > max(COMMON_DOCS, n_docs / COMMON_SHARE)))[seed]
+    length = np.diff(items.first)
+    width = np.minimum(length, max(items.sizes, default=0))[items.item]
+    cover = np.zeros(len(items.words) + 1, np.int64)  # how many common seeds lie over each word
+    begin = items.first[items.item] + items.at
+    np.add.at(cover, begin[common], 1)
+    np.add.at(cover, (begin + width)[common], -1)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+    full = (covered[items.first[1:]] - covered[items.first[:-1]]) >= threshold * length
+    use = (held[seed] > 0) & (~common | full[items.item])
+    return _indexed(items.ids, items.words, items.first, items.sizes, items.seeds[seed][use], items.item[use], items.at[use], ~common[use])
+
+
 def _hits(items: Items, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, seed) of each seed in the documents' words."""
     out = []
@@ -171,29 +196,49 @@ def _leaks(items: Items, words: np.ndarray, row: np.ndarray, threshold: float) -
     slack = np.maximum(8, length // 4)
     begin, end = np.searchsorted(row, doc, "left"), np.searchsorted(row, doc, "right")
     lo, hi = np.maximum(begin, diag - slack), np.minimum(end, diag + length + slack)
+    use = items.alone[post] | (length <= max(items.sizes))  # an item of one seed has no second
+    if not use.all():
+        order = np.lexsort((diag, item, doc))
+        near = (np.diff(doc[order]) == 0) & (np.diff(item[order]) == 0) & (np.diff(diag[order]) <= slack[order[1:]])
+        use[order[1:][near]] = use[order[:-1][near]] = True
+        if not use.any():
+            return []
+        doc, item, lo, hi, length, slack = (x[use] for x in (doc, item, lo, hi, length, slack))
     regions = _regions(doc, item, lo, hi, length + 2 * slack)
     regions.sort(key=lambda x: (x[3] - x[2], items.first[x[1] + 1] - items.first[x[1]]))
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    k = 0
-    while k < len(regions):
-        j, cells = k, 0
-        while j < len(regions) and (cells == 0 or cells <= 200_000):
-            cells = (j + 1 - k) * (regions[j][3] - regions[j][2])
-            j += 1
-        part = regions[k:j]
-        texts = [items.words[items.first[t] : items.first[t + 1]] for _, t, _, _ in part]
-        spans = [words[a:b] for _, _, a, b in part]
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}  # share, region, last word in it
+    sides = lambda part: ([items.words[items.first[t] : items.first[t + 1]] for _, t, _, _ in part], [words[a:b] for _, _, a, b in part])
+    for k, j in _runs([b - a for _, _, a, b in regions]):
+        texts, spans = sides(regions[k:j])
         score, last = align(*_padded(texts), *_padded(spans))
         share = score / (MATCH * np.array([len(t) for t in texts]))
-        for i in np.flatnonzero(share >= threshold):
-            d, t, a, _ = part[i]
-            if (d, t) not in best or share[i] > best[d, t][0]:
-                # the same alignment backwards ends where this one starts
-                size, back = int(last[i]) + 1, align(*_padded([texts[i][::-1]]), *_padded([spans[i][: last[i] + 1][::-1]]))[1][0]
-                start = int(begin_of(row, d))
-                best[d, t] = (float(share[i]), a - start + size - 1 - int(back), a - start + size)
+        for i in np.flatnonzero(share >= threshold).tolist():
+            pair = (regions[k + i][0], regions[k + i][1])
+            if pair not in best or share[i] > best[pair][0]:
+                best[pair] = (float(share[i]), k + i, int(last[i]))
+    # the same alignments backwards end where these start
+    found, out = list(best.items()), []
+    for k, j in _runs([last + 1 for _, (_, _, last) in found]):
+        texts, spans = sides([regions[r] for _, (_, r, _) in found[k:j]])
+        back = align(*_padded([t[::-1] for t in texts]), *_padded([x[: last + 1][::-1] for x, (_, (_, _, last)) in zip(spans, found[k:j])]))[1]
+        for ((d, t), (share, r, last)), b in zip(found[k:j], back.tolist()):
+            at = regions[r][2] - begin_of(row, d) + last
+            out.append((d, t, share, at - b, at + 1))
+    return out
+
+
+def _runs(widths: list[int]) -> list[tuple[int, int]]:
+    """Runs of alignments that take a matrix of about 200,000 words, or one each."""
+    out, k = [], 0
+    while k < len(widths):
+        j = k + 1
+        widest = widths[k]
+        while j < len(widths) and (j + 1 - k) * max(widest, widths[j]) <= 200_000:
+            widest = max(widest, widths[j])
+            j += 1
+        out.append((k, j))
         k = j
-    return [(d, t, *v) for (d, t), v in best.items()]
+    return out
 
 
 def begin_of(row: np.ndarray, d: int) -> int:
@@ -213,14 +258,44 @@ def block_items(block: DataFrame, n: int = N) -> Items:
     return build_items(sorted(map(tuple, block.collect()), key=str), n)
 
 
+def _seed_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """How many documents hold each seed, and how many there are. What comes back is a number a seed, summed by Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches):
+        items, n = shared.value, 0
+        held = np.zeros(len(items.seeds), np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            data, offsets = text_bytes(column(batch, "text"))
+            for _, _, part, at in slices(data, offsets):
+                words, row = _words(part, at)
+                where, seed = _hits(items, words, row)
+                held += np.bincount(np.unique(row[where] * np.int64(len(held) + 1) + seed) % (len(held) + 1), minlength=len(held))[: len(held)]
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(held[some], n), pa.int64())], ["seed", "n"])
+
+    got = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    seed, n = got["seed"].to_numpy(), got["n"].to_numpy()
+    held = np.zeros(len(items.seeds), np.int64)
+    held[seed[seed >= 0]] = n[seed >= 0]
+    return held, int(n[seed < 0].sum())
+
+
+def _joining(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float):
+    """A broadcast of the items and driving seeds of each block."""
+    for block in _blocks(benchmark):
+        items = block_items(block, n)
+        yield docs.sparkSession.sparkContext.broadcast(driving(items, *_seed_counts(docs, items), threshold))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, and the words first_word..end_word of the document that align best."""
     spark = docs.sparkSession
     out = None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, first_word long, end_word long"
     kind = to_arrow_type(benchmark.schema["item_id"].dataType)
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block_items(block, n))
+    for shared in _joining(docs, benchmark, n, threshold):
 
         def run(batches, shared=shared):
             items = shared.value
@@ -241,9 +316,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: flo
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text holds no copy of a test item, untouched."""
-    out = docs
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block_items(block, n))
+    out = docs.select(F.col("text").alias("text"), row_struct(docs).alias("row"))
+    for shared in _joining(docs, benchmark, n, threshold):
 
         def run(batches, shared=shared):
             for batch in batches:
@@ -253,8 +327,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold:
                     clean[[i + r for r, *_ in _leaks(shared.value, *_words(part, at), threshold)]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, out.schema)
+    return out.select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
