@@ -26,14 +26,14 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def labels(edges: DataFrame, rounds: Rounds) -> DataFrame:
     """id, before (smallest node that reaches it), after (smallest node that it reaches) of all nodes of the edges."""
     now, _ = rounds.write(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("before"), F.col("id").alias("after"), F.lit(True).alias("moved")))
-    way = lambda df, tells, told, forward: df.select(F.col(tells).alias("tells"), F.col(told).alias("id"), F.lit(forward).alias("forward"))
+    way = lambda df, tells, told, forward, jump=False: df.select(F.col(tells).alias("tells"), F.col(told).alias("id"), F.lit(forward).alias("forward"), F.lit(jump).alias("jump"))
     arcs = way(edges, "a", "b", True).unionByName(way(edges, "b", "a", False))
     none = F.lit(None).cast("long")
     while True:
-        # along edges and from a node's labels; only nodes that moved in the last round have news
-        ways = arcs.unionByName(way(now, "before", "id", True)).unionByName(way(now, "after", "id", False))
-        news = now.where("moved").select(F.col("id").alias("tells"), "before", "after")
-        heard = ways.join(news, "tells").select("id", F.when(F.col("forward"), F.col("before")).alias("before"), F.when(~F.col("forward"), F.col("after")).alias("after"), none.alias("was_before"), none.alias("was_after"))
+        # along edges from nodes that moved in the last round, and from a node's own labels, new or old
+        ways = arcs.unionByName(way(now, "before", "id", True, True)).unionByName(way(now, "after", "id", False, True))
+        told = ways.join(now.select(F.col("id").alias("tells"), "before", "after", "moved"), "tells").where("jump or moved")
+        heard = told.select("id", F.when(F.col("forward"), F.col("before")).alias("before"), F.when(~F.col("forward"), F.col("after")).alias("after"), none.alias("was_before"), none.alias("was_after"))
         every = heard.unionByName(now.select("id", "before", "after", F.col("before").alias("was_before"), F.col("after").alias("was_after")))
         best = every.groupBy("id").agg(*(F.min(c).alias(c) for c in ("before", "after", "was_before", "was_after")))
         step = best.select("id", "before", "after", ((F.col("before") < F.col("was_before")) | (F.col("after") < F.col("was_after"))).alias("moved"))
