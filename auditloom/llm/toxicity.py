@@ -2,8 +2,10 @@
 
 A text's features are the distinct hashed n-grams of its characters (A-Z lower-cased), for each length in ORDERS. With p
 and q the smoothed counts of toxic and other training documents that hold a feature, its value is the log-count ratio
-r = log((p / |p|) / (q / |q|)), and a logistic regression with L2 penalty is fitted to those values. As the model is
-linear, ratio and weight fold into one number a feature, so scoring is one lookup and sum.
+r = log((p / |p|) / (q / |q|)), and a logistic regression with L2 penalty is fitted to those values. Features whose ratio is
+under `least` standard errors, sqrt(1/p + 1/q), are left out: long texts hold thousands of such, which would drown the few that
+tell. `least`, the penalty and the bias that makes 0.5 the best threshold are chosen by cross-validation inside the training
+rows. As the model is linear, ratio and weight fold into one number a feature, so scoring is one lookup and sum.
 
 Training reads at most `max_docs` labelled documents (those with the smallest hash of doc_id) and only the whole texts of
 these; every document is scored on its whole text. labels, lang, source and doc_id are no inputs of a score.
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import column, slices, table, text_bytes
 
-ORDERS = (3, 4, 5)
-BITS = 18
+ORDERS = (4, 5, 6)
+BITS = 20
 FOLDS = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -80,45 +82,73 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
+def _ratios(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.log((p / p.sum()) / (q / q.sum()))
+
+
 def log_count_ratios(flat: np.ndarray, owner_toxic: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) of each feature; owner_toxic: whether the document is toxic of which each entry of flat is a feature."""
-    p = alpha + np.bincount(flat[owner_toxic], minlength=1 << BITS)
-    q = alpha + np.bincount(flat[~owner_toxic], minlength=1 << BITS)
-    return np.log((p / p.sum()) / (q / q.sum()))
+    return _ratios(alpha + np.bincount(flat[owner_toxic], minlength=1 << BITS), alpha + np.bincount(flat[~owner_toxic], minlength=1 << BITS))
 
 
 #: Features that training works on at a time.
 CHUNK = 2_000_000
+#: What cross-validation chooses from.
+LEASTS, PENALTIES, CV_FOLDS = (2.0, 3.0, 4.0), (5.0, 50.0), 3
+
+
+def _chunks(rows: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Runs of whole documents of about CHUNK features."""
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    cuts = [0]
+    while cuts[-1] < len(rows):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + CHUNK, side="right")) - 1))
+    return list(zip(cuts, cuts[1:]))
+
 
+def feature_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many documents hold each feature."""
+    out = np.zeros(1 << BITS, np.int64)
+    for i, j in _chunks(rows):
+        out += np.bincount(np.concatenate(rows[i:j]), minlength=1 << BITS)
+    return out
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 50.0, rounds: int = 60, alpha: float = 1.0) -> Model:
-    """rows: distinct feature numbers of each document. Memory: 4 bytes a feature of each, and a chunk's numbers."""
+
+def _constant(toxic: np.ndarray) -> Model:
     share = (toxic.sum() + 1) / (len(toxic) + 2)
-    constant = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+    return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+
+
+def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 50.0, rounds: int = 60, alpha: float = 1.0, least: float = 0.0, counts=None) -> Model:
+    """rows: distinct feature numbers of each document; counts: of toxic and other documents, where they are known. Memory: 4 bytes
+    a feature of each, and a chunk's numbers."""
     if not toxic.any() or toxic.all():
-        return constant
-    size = 1 << BITS
+        return _constant(toxic)
+    of = lambda which: [r for r, t in zip(rows, toxic) if t == which]
+    p, q = (alpha + c for c in (counts or (feature_counts(of(True)), feature_counts(of(False)))))
+    ratio = _ratios(p, q)
+    keep = np.abs(ratio) >= least * np.sqrt(1 / p + 1 / q)
+    number = np.cumsum(keep) - 1
+    rows = [number[r[keep[r]]].astype(np.int32) for r in rows]
+    size, kept = max(1, int(keep.sum())), ratio[keep]
+    if not len(kept):
+        return _constant(toxic)
     length = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int32, copy=False)
-    at = np.concatenate([[0], np.cumsum(length)])
-    ratio = log_count_ratios(flat, np.repeat(toxic, length), alpha)
-    squares = np.add.reduceat(np.concatenate([(ratio[flat] ** 2).astype(np.float32), [0]]), np.minimum(at[:-1], len(flat)), dtype=np.float64)[length > 0]
-    scale = np.sqrt(squares.sum() / len(rows))
-    value = (ratio / scale).astype(np.float32)
+    squares = np.array([(kept[r] ** 2).sum() for r in rows])
+    scale = max(np.sqrt(squares.sum() / len(rows)), 1e-9)
+    value = (kept / scale).astype(np.float32)
     # each class weighs as much as the other, so that a rare class is not drowned
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     w, bias, y = np.zeros(size, np.float32), 0.0, toxic.astype(float)
     v, vb, m, mb = np.zeros(size), 0.0, np.zeros(size), 0.0
-    cuts = [0]
-    while cuts[-1] < len(rows):  # runs of whole documents of about CHUNK features
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + CHUNK, side="right")) - 1))
+    cuts = _chunks(rows)
     for t in range(1, rounds + 1):  # Adam over all rows
         product, g, gb = value * w, np.zeros(size), 0.0
-        for i, j in zip(cuts, cuts[1:]):
-            part, own = flat[at[i] : at[j]], length[i:j]
+        for i, j in cuts:
+            part, own = np.concatenate(rows[i:j]), length[i:j]
             z = np.full(j - i, bias)
             if len(part):
-                z[own > 0] += np.add.reduceat(product[part], (at[i:j] - at[i])[own > 0])
+                z[own > 0] += np.add.reduceat(product[part], (np.cumsum(own) - own)[own > 0])
             err = weight[i:j] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j])
             g += np.bincount(part, weights=np.repeat(err, own), minlength=size)
             gb += err.sum()
@@ -128,7 +158,39 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 50.0, rounds: i
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= (0.3 * (m / c1) / (np.sqrt(v / c2) + 1e-8)).astype(np.float32)
         bias -= 0.3 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model((w * value).astype(np.float32), float(bias))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[keep] = w * value
+    return Model(weights, float(bias))
+
+
+def best_threshold(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """(F1, threshold) where the harmonic mean of precision and recall is largest: midway between two scores."""
+    order = np.argsort(-z, kind="stable")
+    hits = np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.arange(1, len(z) + 1) + toxic.sum())
+    f1[:-1][np.diff(z[order]) == 0] = 0  # no cut between equal scores
+    k = int(f1.argmax())
+    low = z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1
+    return float(f1[k]), float((z[order[k]] + low) / 2)
+
+
+def cross_validated(rows: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """The model of all rows, with the settings that predict left-out folds best, its bias moved to their best threshold."""
+    fold = np.arange(len(rows)) % CV_FOLDS
+    whole = (feature_counts([r for r, t in zip(rows, toxic) if t]), feature_counts([r for r, t in zip(rows, toxic) if not t]))
+    if min(np.bincount(fold[toxic], minlength=CV_FOLDS).min(), np.bincount(fold[~toxic], minlength=CV_FOLDS).min()) < 2:
+        return train(rows, toxic, counts=whole)
+    left_out = {(least, l2): np.zeros(len(rows)) for least in LEASTS for l2 in PENALTIES}
+    for k in range(CV_FOLDS):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        counts = tuple(c - feature_counts([rows[i] for i in own if toxic[i] == side]) for c, side in zip(whole, (True, False)))
+        for (least, l2), z in left_out.items():
+            model = train([rows[i] for i in rest], toxic[rest], l2, least=least, counts=counts)
+            z[own] = [model.weights[rows[i]].sum(dtype=np.float64) + model.bias for i in own]
+    judged = {s: best_threshold(z, toxic) for s, z in left_out.items()}
+    least, l2 = max(judged, key=lambda s: judged[s][0])
+    out = train(rows, toxic, l2, least=least, counts=whole)
+    return Model(out.weights, out.bias - judged[least, l2][1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model:
@@ -147,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model:
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(i, j - i), column(batch, "toxic").slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "toxic", "features"])
 
     got = rows.mapInArrow(run, "doc_id long, toxic int, features binary").toArrow().sort_by("doc_id")
-    return train([np.frombuffer(x.as_buffer(), np.int32) for c in got["features"].chunks for x in c], got["toxic"].to_numpy() == 1)
+    return cross_validated([np.frombuffer(x.as_buffer(), np.int32) for c in got["features"].chunks for x in c], got["toxic"].to_numpy() == 1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

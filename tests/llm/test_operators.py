@@ -275,6 +275,55 @@ def test_leaks_of_edited_copies_match_all_pairs(spark, beside):
     assert sorted(x["doc_id"] for x in decontam.without_leaks(frame, bench).collect()) == sorted(d for d, _ in rows if d not in {d for d, _ in want})
 
 
+def words_of_text(text):
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    return decontam._words(data, np.array([0, len(data)]))[0]
+
+
+def all_pairs(docs, items):
+    """(doc, item) -> score of all that reach the threshold, each document aligned whole with each item."""
+    out = {}
+    read = {d: words_of_text(t) for d, t in docs}
+    for i, text in items:
+        item = words_of_text(text)
+        score = decontam.align(*decontam._padded([item] * len(docs)), *decontam._padded(list(read.values())))[0] / (decontam.MATCH * len(item))
+        out |= {(d, i): float(s) for d, s in zip(read, score) if s >= decontam.THRESHOLD}
+    return out
+
+
+def edited(text, rate, r):
+    out = []
+    for w in text.split():
+        k = r.random()
+        out += [r.choice(VOCAB)] if k < rate / 2 else [] if k < 0.75 * rate else [w, r.choice(VOCAB)] if k < rate else [w]
+    return " ".join(out)
+
+
+def test_items_that_share_phrases(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "COMMON_ITEMS", 8)
+    monkeypatch.setattr(decontam, "COMMON_DOCS", 8)
+    r = random.Random(9)
+    stem, form = "which of these words comes next in the row", "the answer to the first question of the second part is"
+    items = [(k, f"{stem} {prose(r.randint(14, 25), r)}") for k in range(60)]  # a stem that costs nothing
+    items += [(100 + k, f"{form} v{k} u{k}") for k in range(30)]  # little of their own
+    items += [(200, prose(20, r)), (201, "one two three"), (202, prose(20, r))]
+    docs = [(k, f"{prose(30, r)} {edited(items[k][1], 0.05 * (k % 6), r)} {prose(30, r)}") for k in range(60)]
+    docs += [(100 + k, f"{prose(20, r)} {stem} {prose(20, r)}") for k in range(20)]
+    docs += [(200 + k, f"{prose(20, r)} {form} v{k} u{k} {prose(20, r)}") for k in range(5)]
+    docs += [(300 + k, f"{prose(5, r)} {items[90][1]} {prose(5, r)}") for k in range(40)]  # an item that every tenth document holds
+    docs += [(400, "no one two three but me"), (401, ""), (402, None)] + [(500 + k, prose(60, r)) for k in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontam.find_leaks(frame, bench).collect()}
+    want = all_pairs([d for d in docs if d[1]], items)
+    assert all(got[p] == pytest.approx(want[p]) for p in got) and len(got) >= 0.9 * len(want)
+    assert {p for p in want if p[1] >= 100} <= {*got} and not any(100 <= d < 200 for d, _ in got)
+    built = decontam.block_items(bench)
+    kept = decontam.driving(built, *decontam._seed_counts(frame, built), decontam.THRESHOLD)
+    assert len(kept.seeds) < len(built.seeds) and np.bincount(kept.item[kept.alone], minlength=60)[:60].max() > 0 and np.diff(kept.posting).max() <= 60
+
+
+
 # 1 packing
 
 
