@@ -119,7 +119,7 @@ def _constant(toxic: np.ndarray) -> Model:
     return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 50.0, rounds: int = 60, alpha: float = 1.0, least: float = 0.0, counts=None) -> Model:
+def train(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 5.0, rounds: int = 60, alpha: float = 1.0, least: float = 0.0, counts=None) -> Model:
     """rows: distinct feature numbers of each document; counts: of toxic and other documents, where they are known. Memory: 4 bytes
     a feature of each, and a chunk's numbers."""
     if not toxic.any() or toxic.all():
