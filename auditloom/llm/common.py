@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections import Counter
@@ -39,12 +40,13 @@ class WorkDir:
     """A folder of its own below the shared one, for tables that cut lineage. `free` drops tables that nothing reads any more,
     `drop` the folder; what is left goes when Python ends."""
 
-    opened: list[WorkDir] = []
+    _seen: contextvars.ContextVar[list[WorkDir] | None] = contextvars.ContextVar("work_dirs", default=None)
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
         self._n = 0
-        WorkDir.opened.append(self)
+        if (seen := WorkDir._seen.get()) is not None:
+            seen.append(self)
         atexit.register(self.drop)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -70,15 +72,24 @@ class WorkDir:
             self._delete(self.path)
 
     @classmethod
-    def drop_since(cls, n: int) -> None:
-        """Drop all folders but the first n that were opened: for a caller that has written what it made of them."""
-        while len(cls.opened) > n:
-            cls.opened.pop().drop()
+    @contextlib.contextmanager
+    def opened(cls) -> Iterator[list[WorkDir]]:
+        """The folders that this thread opens inside: for a caller that drops them once it has written what it made of them."""
+        token = cls._seen.set([])
+        try:
+            yield cls._seen.get()
+        finally:
+            cls._seen.reset(token)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def row_struct(df: DataFrame, *without: str) -> Column:
     """All columns of a table but some, as one: its fields cannot clash with columns that an operator adds."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without))
+    return F.struct(*(F.col(quoted(c)) for c in df.columns if c not in without))
 
 
 def text_id() -> Column:

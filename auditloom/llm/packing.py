@@ -76,6 +76,10 @@ def salted(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("salt", F.monotonically_increasing_id())
 
 
+#: Parts in which the pieces of a bucket are ranked; fixed, so that batches and slots do not depend on the session.
+SHARDS = 512
+
+
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
     """Upper ends of at most n_buckets buckets over sorted distinct lengths, with the least padding: the sum over all
     pieces of (end of its bucket - its length)."""
@@ -102,11 +106,9 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) ->
     return out[::-1]
 
 
-def pack(sizes: DataFrame, max_len: int = 2048, n_buckets: int = 8, budget: int = 32_768, shards: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, max_len: int = 2048, n_buckets: int = 8, budget: int = 32_768, shards: int = SHARDS) -> DataFrame:
     """sizes: doc_id, n_tokens, and as a rule salt, a number of the row, which deals out rows without a doc_id. A row a piece: its
     bucket, batch and slot, and the padding it needs there. sizes is read several times: it should be a table."""
-    spark = sizes.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / max_len), F.lit(1)).cast("int") - 1)).alias("piece")
     salt = F.col("salt") if "salt" in sizes.columns else F.lit(0)
     pieces = sizes.select("doc_id", "n_tokens", salt.alias("salt"), piece).select(

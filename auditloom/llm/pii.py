@@ -228,7 +228,7 @@ def sanitise(docs: DataFrame, context: int = CONTEXT, min_texts: int = MIN_TEXTS
     for letter, name in [*((v, k.upper()) for k, v in labels.items()), ("x", "NAME"), ("y", "WORD")]:
         text = F.replace(text, F.lit(_OPEN + letter + _CLOSE), F.lit(f"[{name}]"))
     out = found.rows.select("rid", "row").join(rows.select("rid", text.alias("clean")), "rid", "left")
-    fields = [(F.coalesce("clean", "row.text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    fields = [(F.coalesce("clean", "row.text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
     return out.select(*fields)
 
 

@@ -10,7 +10,7 @@ row. A task never holds a hot key: rows are dealt by key interval, and intervals
 of (key, doc_id), so that slots follow (key, doc_id) at every size.
 
 Defined results: null text has size 1 and crc32 0; null doc_id sorts first; rows equal in key and doc_id stay together; an
-empty table gives no rows; other columns pass through untouched, but for those named like an output column, which go.
+empty table gives no rows; other columns pass through untouched, but for those named like an output column in any case, which go.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WorkDir, column, table
+from .common import WorkDir, column, row_struct, table
 
 KEY_BITS = 60
 LOWEST = -(2**63)
@@ -156,8 +156,8 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, n_probes: int = 64, group_sha
     """The input's columns with size, shard and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     work = WorkDir(spark, "shards")
-    names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    named = docs.select(F.struct(*names).alias("row"), text_key().alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), text_size().alias("size"))
+    names = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    named = docs.select(row_struct(docs, *(c for c in docs.columns if c not in names)).alias("row"), text_key().alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), text_size().alias("size"))
     rows = work.cut(named.select("key", "doc_id", "size"), "keys")
     splitters = find_splitters(rows, n_shards, n_probes, group_share)
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import Seen, WorkDir, column, first_copies, named_texts, row_struct, slices, table, text_bytes, text_id
+from .common import Seen, WorkDir, column, first_copies, named_texts, quoted, row_struct, slices, table, text_bytes, text_id
 
 SIZE = 200
 GRAM = 16
@@ -494,7 +494,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages leave the texts; n_chars follows. Documents stay, even those left empty; null texts
     stay null, rows that repeat lose the same bytes, an empty table stays empty, and all columns keep their names."""
-    return dedup_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return dedup_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 OP10_SQL = """

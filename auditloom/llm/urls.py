@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import row_struct, table
 
 PERIOD_S = 30 * 86_400
 #: The most characters that a host name can have.
@@ -55,15 +55,16 @@ def paths_of(path: Column, depth: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("segments"), F.array_join(F.concat(F.array(F.lit("")), F.slice(parts, 1, i)), "/").alias("path")))
 
 
-def _host_lower(pattern: Column) -> Column:
-    host = F.substring_index(pattern, "/", 1)
-    return F.concat(F.lower(host), F.substr(pattern, F.length(host) + 1))
+def _normal(pattern: Column) -> Column:
+    """A list entry as captures are read: its host in small letters, its path without empty segments."""
+    parts = F.split(pattern, "/")
+    return F.array_join(F.concat(F.array(F.lower(parts[0])), F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x != "")), "/")
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """(pattern, action, valid_from, valid_to) of block and allow entries; valid_to is null while they stand."""
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).when(F.col("action") == "remove", 0)
-    named = entries.select(_host_lower(F.regexp_replace("pattern", r"/+$", "")).alias("pattern"), "listed_at", rank.alias("rank")).where("pattern <> '' and listed_at is not null and rank is not null")
+    named = entries.select(_normal(F.col("pattern")).alias("pattern"), "listed_at", rank.alias("rank")).where("pattern <> '' and listed_at is not null and rank is not null")
     one = named.groupBy("pattern", "listed_at").agg(F.max("rank").alias("rank"))
     until = F.lead("listed_at").over(W.partitionBy("pattern").orderBy("listed_at"))
     spans = one.select("pattern", "rank", F.col("listed_at").alias("valid_from"), until.alias("valid_to"))
@@ -80,7 +81,7 @@ def judge_urls(captures: DataFrame, entries: DataFrame, period_s: int = PERIOD_S
     """captures: url, fetched_at and more. Adds host, blocked, and the deciding entry's action, pattern and start."""
     seconds = lambda c: F.floor(F.unix_micros(c) / (period_s * 1_000_000))
     seen = captures.where("fetched_at is not null").select("url", "fetched_at").distinct().withColumn("host", url_host(F.col("url"))).where((F.col("host") != "") & (F.length("host") <= MAX_HOST))
-    listed = entries.select(_host_lower(F.regexp_replace("pattern", r"/+$", "")).alias("pattern")).select(F.substring_index("pattern", "/", 1).alias("covering")).where("covering <> ''").distinct()
+    listed = entries.select(_normal(F.col("pattern")).alias("pattern")).select(F.substring_index("pattern", "/", 1).alias("covering")).where("covering <> ''").distinct()
     hosts = captures.select(url_host(F.col("url")).alias("host")).where((F.col("host") != "") & (F.length("host") <= MAX_HOST)).distinct()
     covered = hosts.select("host", F.explode(hosts_of(F.col("host"))).alias("h")).select("host", "h.*").join(listed, "covering")
     of_host = covered.groupBy("host").agg(F.collect_list(F.struct("labels", "covering")).alias("covers"))  # at most one for each of a host's labels
@@ -96,10 +97,9 @@ def judge_urls(captures: DataFrame, entries: DataFrame, period_s: int = PERIOD_S
         spans = spans.withColumn("period", F.explode(F.sequence(seconds(F.greatest("valid_from", lo)), seconds(F.least(F.coalesce("valid_to", hi), hi)))))
     held = keys.join(spans, ["pattern", "period"]).where((F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     best = held.groupBy("url", "fetched_at").agg(F.max(F.struct("labels", "segments", "action", "pattern", F.col("valid_from").alias("since"))).alias("best"))
-    best = best.select(F.col("url").alias("_url"), F.col("fetched_at").alias("_at"), "best")
-    names = [c for c in captures.columns if c not in OUT]
-    out = captures.select(*names).join(best, (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
-    return out.select(*names, F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), F.coalesce(F.col("best.action") == "block", F.lit(False)).alias("blocked"), "best.action", "best.pattern", "best.since")
+    names = [c for c in captures.columns if c.lower() not in OUT]
+    out = captures.select("url", "fetched_at", row_struct(captures, *(c for c in captures.columns if c not in names)).alias("row")).join(best, ["url", "fetched_at"], "left")
+    return out.select(*(F.col("row")[c].alias(c) for c in names), F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), F.coalesce(F.col("best.action") == "block", F.lit(False)).alias("blocked"), "best.action", "best.pattern", "best.since")
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
