@@ -29,9 +29,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES[:-1]:
-        opened = len(WorkDir.opened)
-        before, docs = docs, work.cut(stage(spark, docs, sf_dir), name)
-        WorkDir.drop_since(opened)
+        with WorkDir.opened() as opened:
+            before, docs = docs, work.cut(stage(spark, docs, sf_dir), name)
+        for folder in opened:
+            folder.drop()
         if name != STAGES[0][0]:
             work.free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
