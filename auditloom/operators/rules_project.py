@@ -1,11 +1,7 @@
-"""Rules over whole projects: structure, dependencies, CI workflows, and the metadata that they share."""
+"""Rules over whole projects: structure, dependencies, and the metadata that they share."""
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -172,85 +168,3 @@ def dependencies(files: DataFrame, meta: DataFrame, advisories: DataFrame | None
     live = F.filter(X.lines(c), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
     loose = F.size(F.filter(live, lambda x: ~x.contains("==") & ~x.contains(">=") & ~x.contains("~=")))
     return findings(found, hits, 0).unionByName(findings(required, [one(loose > 0, "DEP-PY-001", "medium", 5, note=loose)], 1))
-
-
-GATE = re.compile("test|lint|audit|security|scan|check|verify|gate", re.I)
-UNTRUSTED = re.compile(r"\$\{\{\s*github\.(event\.(issue|pull_request|comment|review|discussion|commits|head_commit)|head_ref)[^}]*\}\}")
-USES = re.compile(r"^\s*(?:-\s+)?uses:\s*([\w.-]+)/([\w./-]+)@([\w./-]+)", re.M | re.A)
-PENALTY = {"critical": 15, "high": 10, "medium": 5, "low": 2}
-
-
-def check_workflow(raw: str, branches: list[str], has_lock: bool) -> list[tuple[str, str, int | None]]:
-    """(rule, severity, line) of one workflow file."""
-    import yaml
-
-    line = lambda mark: raw[: raw.index(mark)].count("\n") + 1 if mark in raw else None
-    try:
-        doc = yaml.safe_load(raw)
-    except (yaml.YAMLError, ValueError):
-        return [("WFL-PARSE", "medium", 1)]
-    if not isinstance(doc, dict):
-        return []
-    out: list[tuple[str, str, int | None]] = []
-    on = doc.get("on", doc.get(True))  # a bare `on` is a boolean in YAML 1.1
-    events = {on} if isinstance(on, str) else set(map(str, on)) if isinstance(on, (list, dict)) else set()
-    jobs = {str(k): v if isinstance(v, dict) else {} for k, v in doc["jobs"].items()} if isinstance(doc.get("jobs"), dict) else {}
-    steps = [(name, s) for name, job in jobs.items() for s in (job.get("steps") if isinstance(job.get("steps"), list) else []) if isinstance(s, dict)]
-    uses = lambda s: s.get("uses") if isinstance(s.get("uses"), str) else ""
-    given = lambda s: s.get("with") if isinstance(s.get("with"), dict) else {}
-    if "pull_request_target" in events:
-        for _, s in steps:
-            ref = given(s).get("ref")
-            if uses(s).startswith("actions/checkout") and isinstance(ref, str) and "github.event.pull_request.head" in ref:
-                out.append(("WFL-001", "critical", line("pull_request_target")))
-    for n, text in enumerate(raw.split("\n"), 1):
-        if UNTRUSTED.search(text) and re.search(r"run:|`|\$\(", text):
-            out.append(("WFL-002", "high", n))
-    for m in USES.finditer(raw):
-        if m[1] not in ("actions", "github") and not re.fullmatch("[0-9a-f]{40}", m[3]):
-            out.append(("WFL-003", "high" if m[3] in ("master", "main", "latest") else "medium", line(m[0].strip())))
-    if "permissions" not in doc and not any("permissions" in j for j in jobs.values()):
-        out.append(("WFL-004", "medium", 1))
-    if re.search(r"permissions:\s*write-all", raw):
-        out.append(("WFL-005", "high", line("write-all")))
-    if branches and isinstance(on, dict):
-        for event in ("push", "pull_request"):
-            listed = on[event].get("branches") if isinstance(on.get(event), dict) else None
-            names = [str(b) for b in listed] if isinstance(listed, list) else []
-            if names and not any(re.search(r"[*?\[]", b) for b in names) and not set(names) & set(branches):
-                out.append(("WFL-006", "high", line(f"{event}:")))
-    if jobs and not any("timeout-minutes" in j for j in jobs.values()):
-        out.append(("WFL-007", "low", line("jobs:")))
-    if events & {"push", "pull_request"} and "concurrency" not in doc:
-        out.append(("WFL-008", "low", 1))
-    for name, job in jobs.items():
-        if job.get("continue-on-error") is True and (GATE.search(name) or GATE.search(str(job.get("name") or ""))):
-            out.append(("WFL-009", "high", line("continue-on-error")))
-        for _, s in (x for x in steps if x[0] == name):
-            if s.get("continue-on-error") is True and (GATE.search(str(s.get("name") or "")) or GATE.search(str(s.get("run") or "")[:60])):
-                out.append(("WFL-009", "high", line("continue-on-error")))
-    if has_lock:
-        out += [("WFL-010", "low", line("setup-node")) for _, s in steps if uses(s).startswith("actions/setup-node") and "cache" not in given(s)]
-    if events & {"pull_request", "pull_request_target"} and re.search(r"runs-on:.*self-hosted", raw):
-        out.append(("WFL-011", "medium", line("self-hosted")))
-    return out
-
-
-def workflow(files: DataFrame, meta: DataFrame, branches: DataFrame | None = None) -> DataFrame:
-    """branches: project_id, branch, where the repository is known. YAML is parsed in Python, on workflow files alone."""
-    mine = files.where(F.col("path").rlike(r"^\.github/workflows/[^/]+\.ya?ml\z") & F.col("content").isNotNull()).select("project_id", "path", "content")
-    mine = mine.join(meta.select("project_id", "has_any_lock"), "project_id")
-    if branches is not None:
-        mine = mine.join(branches.groupBy("project_id").agg(F.array_sort(F.collect_set("branch")).alias("branches")), "project_id", "left")
-    else:
-        mine = mine.withColumn("branches", F.array().cast("array<string>"))
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for project, path, content, lock, known in zip(pdf["project_id"], pdf["path"], pdf["content"], pdf["has_any_lock"], pdf["branches"]):
-                got = check_workflow(content, [] if known is None else list(known), bool(lock))
-                rows.append((project, path, [{"id": i, "severity": s, "line": n, "penalty": PENALTY[s], "note": ""} for i, s, n in got]))
-            yield pd.DataFrame(rows, columns=["project_id", "path", "hits"])
-
-    return findings(mine.mapInPandas(run, f"project_id string, path string, hits {HIT}"), [F.col("hits")], 0)

@@ -12,6 +12,7 @@ from .. import __version__
 from ..operators import findings as A
 from ..operators import rules_files as RF
 from ..operators import rules_project as RP
+from ..operators import rules_workflow as RW
 from ..schema import CATEGORIES, FINDINGS, lookup
 from ..sinks import render
 
@@ -90,7 +91,7 @@ def all_findings(files: DataFrame, meta: DataFrame, categories=CATEGORIES, dirs=
         elif category == "agentic":
             found = found.unionByName(RF.agentic(files))
         elif category == "workflow":
-            found = found.unionByName(RP.workflow(files, meta, branches))
+            found = found.unionByName(RW.workflow(files, meta, branches))
         else:
             raise ValueError(f"unknown category {category}")
     return found, earned

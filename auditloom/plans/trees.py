@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules_files as RF
 from ..operators import rules_project as RP
+from ..operators import rules_workflow as RW
 
 Fragments = list[tuple[int, int, str]]
 FOUND = ("project_id", "file", "id", "line", "severity")
@@ -303,7 +304,7 @@ def rules_workflow(spark, sf):
     branches = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("project_id"), F.when(F.col("doc_id") % 2 == 0, "trunk").otherwise("main").alias("branch"))
     locks = branches.select("project_id", F.lit("package-lock.json").alias("path"), F.lit(2).cast("long").alias("size"), F.lit("{}").alias("content")).where(F.substring("project_id", 2, 20).cast("long") % 4 < 2)
     files = files.unionByName(locks)
-    return _out(RP.workflow(files, RP.project_meta(files), branches))
+    return _out(RW.workflow(files, RP.project_meta(files), branches))
 
 
 # structure
