@@ -289,13 +289,18 @@ def tests(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 #: Spanish words that are no English ones, and words that tell English code.
-SPANISH = (
-    "usuario usuarios contrasena contraseña archivo archivos datos fecha fechas nombre nombres correo pedido pedidos producto productos factura facturas "
-    "mensaje mensajes guardar buscar crear eliminar borrar actualizar enviar recibir cliente clientes servidor servicio servicios configuracion "
-    "configuración respuesta solicitud ejemplo prueba pruebas valor valores lista listas cuenta cuentas tarjeta pago pagos precio cantidad resumen detalle "
-    "detalles registro ingreso salida esto guarda devuelve obtener calcular validar mostrar cargar limpiar"
-).split()
-ENGLISH = "function const return class import export def self value data name user get set create update delete list result response request error true false this".split()
+SPANISH = [
+    "usuario", "usuarios", "contrasena", "contraseña", "archivo", "archivos", "datos", "fecha", "fechas", "nombre", "nombres", "correo", "pedido",
+    "pedidos", "producto", "productos", "factura", "facturas", "mensaje", "mensajes", "guardar", "buscar", "crear", "eliminar", "borrar",
+    "actualizar", "enviar", "recibir", "cliente", "clientes", "servidor", "servicio", "servicios", "configuracion", "configuración", "respuesta",
+    "solicitud", "ejemplo", "prueba", "pruebas", "valor", "valores", "lista", "listas", "cuenta", "cuentas", "tarjeta", "pago", "pagos", "precio",
+    "cantidad", "resumen", "detalle", "detalles", "registro", "ingreso", "salida", "esto", "guarda", "devuelve", "obtener", "calcular", "validar",
+    "mostrar", "cargar", "limpiar",
+]
+ENGLISH = [
+    "function", "const", "return", "class", "import", "export", "def", "self", "value", "data", "name", "user", "get", "set", "create", "update",
+    "delete", "list", "result", "response", "request", "error", "true", "false", "this",
+]
 
 
 def consistency(files: DataFrame) -> tuple[DataFrame, DataFrame]:

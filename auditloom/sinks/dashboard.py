@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import ipaddress
 import os
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import groupby
 from urllib.parse import parse_qs, quote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +15,14 @@ from pyspark.sql import functions as F
 from ..sources.reports import load_reports
 from .render import to_html
 
-#: The only hosts that a request may name, so that no remote page reads reports through a name of its own.
-LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1", "[::1]")
-
 
 def is_local_host(host: str | None) -> bool:
-    """Whether a Host header, with or without a port, names this machine's loopback."""
-    if not host:
+    """Whether a Host header names this machine's loopback, so that no remote page reads reports through a name of its own."""
+    try:
+        name = urlsplit(f"//{host or ''}").hostname or ""
+        return name == "localhost" or ipaddress.ip_address(name).is_loopback
+    except ValueError:
         return False
-    name = host[: host.find("]") + 1] if host.startswith("[") else host.split(":")[0]
-    return name in LOCAL_HOSTS
 
 
 def index_rows(reports: DataFrame) -> DataFrame:
@@ -34,13 +34,15 @@ def index_rows(reports: DataFrame) -> DataFrame:
 
 
 def index_page(reports: DataFrame | None, folder: str) -> str:
-    """One row a report, every value escaped. reports is None where the folder does not exist."""
+    """A section a project, a line a report, every value escaped. reports is None where the folder does not exist."""
     told = [] if reports is None else index_rows(reports).collect()  # one short row for each file of the folder
-    cells = lambda r: "".join(f"<td>{html.escape(str(x))}</td>" for x in (f"{r['score']}/10", r["n_findings"], r["verdicts"] or "-", r["date"] or "-", r["file_name"]))
-    rows = "".join(f'<tr><td><a href="/report?f={quote(r["file_name"])}">{html.escape(r["project"])}</a></td>{cells(r)}</tr>' for r in told)
-    head = "<tr><th>Project</th><th>Score</th><th>Findings</th><th>Verdicts</th><th>Date</th><th>File</th></tr>"
-    body = f"<table>{head}{rows}</table>" if told else "<p>No reports here yet.</p>"
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Reports</title></head><body><h1>{len(told)} reports in <code>{html.escape(folder)}</code></h1>{body}</body></html>\n'
+    show = lambda x: html.escape(str(x))
+    sections = []
+    for project, own in groupby(told, key=lambda r: r["project"]):
+        lines = [f'<li><a href="/report?f={quote(r["file_name"])}">{show(r["file_name"])}</a>: {show(r["score"])} of 10, {r["n_findings"]} findings{", judged " + show(r["verdicts"]) if r["verdicts"] else ""}, {show(r["date"] or "undated")}</li>' for r in own]
+        sections.append(f"<section><h2>{show(project)}</h2><ul>{''.join(lines)}</ul></section>")
+    body = "".join(sections) or "<p>Save a report in this folder and load the page again.</p>"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Saved audits</title></head><body><h1>{len(told)} reports in <code>{show(folder)}</code></h1>{body}</body></html>\n'
 
 
 def report_page(reports: DataFrame | None, name: str) -> str | None:
