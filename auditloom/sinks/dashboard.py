@@ -41,7 +41,7 @@ def index_page(reports: DataFrame | None, folder: str) -> str:
     for project, own in groupby(told, key=lambda r: r["project"]):
         lines = [f'<li><a href="/report?f={quote(r["file_name"])}">{show(r["file_name"])}</a>: {show(r["score"])} of 10, {r["n_findings"]} findings{", judged " + show(r["verdicts"]) if r["verdicts"] else ""}, {show(r["date"] or "undated")}</li>' for r in own]
         sections.append(f"<section><h2>{show(project)}</h2><ul>{''.join(lines)}</ul></section>")
-    body = "".join(sections) or "<p>Save a report in this folder and load the page again.</p>"
+    body = "".join(sections) or "<p>No reports: save one in this folder and load the page again.</p>"
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Saved audits</title></head><body><h1>{len(told)} reports in <code>{show(folder)}</code></h1>{body}</body></html>\n'
 
 
